@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, url_filter
+from tripweave.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def _strength_sql(level: str) -> str:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
