@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, url_filter
+from tripweave.llm import exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, url_filter, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.label_quality(documents, quality_rules.fit(documents, good_labels(spark, sf_dir)))
 
 
+@query("op3_warc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.scratch_path(spark)
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archive(spark, path, verify="true")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -52,6 +60,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path()))
 
 
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), good_labels(spark, sf_dir)
+    return quality_classifier.classify(documents, labels, quality_classifier.fit(documents, labels))
+
+
 @query(
     "op7_exact_dedup",
     r"""
@@ -65,6 +84,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_exact_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, good = table(spark, sf_dir, "documents"), good_labels(spark, sf_dir).filter("good = 1")
+    ordinary = secret_scan.ordinary_strings(documents, good, "doc_id", "text")
+    ratio = secret_scan.train_ratio(secret_scan.random_strings(spark).unionByName(ordinary))
+    found = secret_scan.scan_secrets(documents, ratio)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled pages: bad if of low quality or toxic."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)

@@ -59,10 +59,13 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 class TextBatch:
     """Texts as one byte array; ``from_`` and ``to`` bound each text."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], fold: np.ndarray | None = None):
+        """``fold`` maps bytes to bytes first (newlines between texts must stay white space)."""
         self.n = len(texts)
         raw = ("\n".join(texts) + "\n").encode("utf-8", "surrogatepass")
         self.data = np.frombuffer(raw, np.uint8)
+        if fold is not None:
+            self.data = fold[self.data]
         sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, self.n)
         self.to = np.cumsum(sizes + 1) - 1
         self.from_ = self.to - sizes
