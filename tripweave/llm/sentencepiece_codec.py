@@ -278,10 +278,11 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, ids array<int>, decoded string, corrected long").withColumnRenamed("id", id_col)
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of ids and decoded texts."""
+def digests(encoded: DataFrame, *keep: str, id_col: str = "doc_id") -> DataFrame:
+    """Counts and digests of ids and decoded texts, beside the columns ``keep``."""
     return encoded.select(
         F.col(id_col),
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
