@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tripweave.plans import demand, functions, routes, scans, solver
+from tripweave.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "demand", "functions", "routes", "scans", "solver"]
