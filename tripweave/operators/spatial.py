@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.sources.shared import cut
+
 
 def dist2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared planar distance."""
@@ -44,11 +46,11 @@ def nearest(points: DataFrame, stops: DataFrame, key: str = "id", at: tuple[str,
     places = stops.select("idx", "x", "y")
     if places.isEmpty():
         return points.select(key).limit(0).withColumns({"idx": F.lit(None).cast("long"), "d2": F.lit(None).cast("double")})
-    todo, r, found = points.select(key, *at), first, None
+    todo, r, found = cut(points.select(key, *at)), first, None
     for _ in range(most_rounds):
         ring = range_pairs(todo, places, r, at).groupBy(key).agg(F.min_by("idx", F.struct("d2", "idx")).alias("idx"), F.min("d2").alias("d2"))
         found = ring if found is None else found.unionByName(ring)
-        todo = todo.join(ring.select(key), key, "left_anti")
+        todo = cut(todo.join(ring.select(key), key, "left_anti"))
         r *= 4
         if todo.isEmpty():
             break
@@ -58,6 +60,8 @@ def nearest(points: DataFrame, stops: DataFrame, key: str = "id", at: tuple[str,
 def stops_or_nearest(points: DataFrame, stops: DataFrame, r: float, key: str = "id", at: tuple[str, str] = ("px", "py")) -> DataFrame:
     """(key, idx, ord): stops within r, or else the nearest one."""
     near = nearby_stops(points, stops, r, key, at).select(key, "idx", "ord")
-    lone = points.join(near.select(key).distinct(), key, "left_anti")
+    lone = cut(points.select(key, *at).join(near.select(key), key, "left_anti"))
+    if lone.isEmpty():
+        return near
     far = nearest(lone, stops, key, at, first=4 * r).select(key, "idx").withColumn("ord", F.lit(1))
     return near.unionByName(far)

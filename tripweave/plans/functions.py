@@ -1 +1,215 @@
-"""Queries."""
+"""Queries for scalar functions: geodesy, headings, grids, dates, formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tripweave.functions import geo
+from tripweave.operators import grid, headings
+from tripweave.plans.catalog import query
+from tripweave.settings import HEADING_PENALTY, TURN_COSTS
+from tripweave.sources.driver_tables import Tables
+
+#: Stops as degrees near the city centre, from their grid place.
+LNGLAT = "SELECT idx, 103.7 + x / 100000.0 AS lng, 1.25 + y / 100000.0 AS lat FROM stops"
+
+
+def lnglat(t: Tables):
+    return t.stops.select("idx", (F.lit(103.7) + F.col("x") / 100000.0).alias("lng"), (F.lit(1.25) + F.col("y") / 100000.0).alias("lat"))
+
+
+@query(
+    "haversine",
+    f"""WITH p AS ({LNGLAT}) SELECT idx, round(2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - 1.285621) / 2), 2)
+    + cos(radians(1.285621)) * cos(radians(lat)) * pow(sin(radians(lng - 103.847246) / 2), 2)))), 3) AS metres FROM p""",
+)
+def haversine(t: Tables):
+    return lnglat(t).select("idx", F.round(geo.haversine(F.lit(103.847246), F.lit(1.285621), F.col("lng"), F.col("lat")), 3).alias("metres"))
+
+
+@query(
+    "equirectangular",
+    f"""WITH p AS ({LNGLAT}) SELECT idx, round(6371000.0 * sqrt(pow(radians(lng - 103.847246) * cos(radians((lat + 1.285621) / 2)), 2) + pow(radians(lat - 1.285621), 2)), 3) AS metres FROM p""",
+)
+def equirectangular(t: Tables):
+    return lnglat(t).select("idx", F.round(geo.equirectangular(F.lit(103.847246), F.lit(1.285621), F.col("lng"), F.col("lat")), 3).alias("metres"))
+
+
+@query("svy21_roundtrip", f"WITH p AS ({LNGLAT}) SELECT idx, round(lng, 7) AS lng, round(lat, 7) AS lat, TRUE AS near FROM p")
+def svy21_roundtrip(t: Tables):
+    p = lnglat(t).withColumns(dict(zip(("x", "y"), geo.to_svy21(F.col("lng"), F.col("lat")), strict=True)))
+    back = geo.from_svy21(F.col("x"), F.col("y"))
+    near = (F.abs(F.col("x") - 28001.642) < 50_000) & (F.abs(F.col("y") - 38744.572) < 50_000)
+    return p.select("idx", F.round(back[0], 7).alias("lng"), F.round(back[1], 7).alias("lat"), near.alias("near"))
+
+
+@query(
+    "heading_cosine",
+    f"""WITH p AS ({LNGLAT}), v AS (SELECT idx, radians(lng - 103.84) * cos(radians(1.3)) AS hx, radians(lat - 1.3) AS hy, sin(radians(idx % 360)) AS wx, cos(radians(idx % 360)) AS wy FROM p)
+    SELECT idx, round((hx*wx + hy*wy) / (sqrt(hx*hx + hy*hy) * sqrt(wx*wx + wy*wy)), 6) + 0.0 AS cosine, (idx % 541 - 180 + 360.0) % 360.0 AS heading FROM v""",
+)
+def heading_cosine(t: Tables):
+    hx, hy = geo.heading_vector(F.lit(103.84), F.lit(1.3), F.col("lng"), F.col("lat"))
+    bx, by = geo.bearing_vector(F.col("idx") % 360)
+    return lnglat(t).select("idx", (F.round(geo.cosine(hx, hy, bx, by), 6) + 0.0).alias("cosine"), geo.normal_heading(F.col("idx") % 541 - 180).alias("heading"))
+
+
+@query("heading_range", "SELECT idx, (idx % 700 - 300) BETWEEN -180 AND 360 AS valid FROM stops")
+def heading_range(t: Tables):
+    return t.stops.select("idx", geo.heading_in_range((F.col("idx") % 700 - 300).cast("double")).alias("valid"))
+
+
+@query("parse_time", "SELECT id, (CAST(substr(s, 1, 2) AS BIGINT) * 60 + CAST(substr(s, 3, 2) AS BIGINT)) * 60000 AS ms FROM (SELECT id, lpad(CAST((id % 24) * 100 + id % 60 AS VARCHAR), 4, '0') AS s FROM suggestions) q")
+def parse_time(t: Tables):
+    s = F.lpad(((F.col("id") % 24) * 100 + F.col("id") % 60).cast("string"), 4, "0")
+    return t.suggestions.select("id", headings.parse_hhmm(s).alias("ms"))
+
+
+@query("stop_codes", "SELECT idx, nullif(regexp_extract(d, '^([0-9]{5}) \\(BUS STOP\\)', 1), '') AS code FROM (SELECT idx, CASE WHEN idx % 3 = 0 THEN 'Opp ' ELSE '' END || lpad(CAST(idx AS VARCHAR), 5, '0') || ' (BUS STOP)' AS d FROM stops) q")
+def stop_codes(t: Tables):
+    d = F.concat(F.when(F.col("idx") % 3 == 0, "Opp ").otherwise(""), F.lpad(F.col("idx").cast("string"), 5, "0"), F.lit(" (BUS STOP)"))
+    return t.stops.select("idx", headings.stop_code(d).alias("code"))
+
+
+@query("timestamps", "SELECT id, strftime(make_timestamp(created_ms * 1000), '%Y-%m-%dT%H:%M:%S.000Z') AS iso, created_ms AS back FROM suggestions")
+def timestamps(t: Tables):
+    iso = headings.iso_of(F.col("created_ms"))
+    return t.suggestions.select("id", iso.alias("iso"), headings.epoch_of(iso).alias("back"))
+
+
+@query(
+    "next_working_day",
+    """WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 97 = 0), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS today FROM orders),
+    c AS (SELECT today, today + CAST(k AS INTEGER) AS d FROM days, range(1, 31) AS g(k))
+    SELECT CAST(CAST(today AS DATE) AS VARCHAR) AS today, CAST(CAST(min(d) AS DATE) AS VARCHAR) AS next_day FROM c WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM h) GROUP BY c.today""",
+)
+def next_working_day(t: Tables):
+    orders = t.read("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("today"))
+    found = headings.next_working_day(orders.select("today").distinct(), orders.filter("o_orderkey % 97 = 0").select(F.col("today").alias("day")).distinct())
+    return found.select(F.col("today").cast("string").alias("today"), F.col("next_day").cast("string").alias("next_day"))
+
+
+@query("annealing", "SELECT i, round(500 * exp(-i / 100.0 / 0.1), 6) AS threshold FROM range(0, 100) AS g(i)")
+def annealing(t: Tables):
+    from tripweave.operators.solver import annealing_threshold
+
+    return t.spark.range(100).select(F.col("id").alias("i"), F.round(annealing_threshold(F.col("id")), 6).alias("threshold"))
+
+
+@query("grid_cells", "SELECT CAST(floor(sx / 90.0 + 0.5) AS BIGINT) AS u, CAST(floor(sy / 90.0 + 0.5) AS BIGINT) AS v, count(DISTINCT (sx, sy, id)) AS n FROM suggestions GROUP BY 1, 2")
+def grid_cells(t: Tables):
+    return grid.cells(t.suggestions.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("id").alias("payload")), 90.0).select("u", "v", "n")
+
+
+CELLS = "k AS (SELECT CAST(floor(sx / 90.0 + 0.5) AS BIGINT) AS u, CAST(floor(sy / 90.0 + 0.5) AS BIGINT) AS v, count(DISTINCT (sx, sy, id)) AS n FROM suggestions GROUP BY 1, 2)"
+SCORES = f"{CELLS}, s AS (SELECT a.u, a.v, CAST(sum(b.n) AS BIGINT) AS score FROM k a JOIN k b ON ((a.u-b.u)*(a.u-b.u) + (a.v-b.v)*(a.v-b.v)) * 8100 <= 1000000 GROUP BY 1, 2)"
+
+
+@query("grid_neighbour_counts", f"WITH {SCORES} SELECT u, v, score FROM s")
+def grid_neighbour_counts(t: Tables):
+    c = grid.cells(t.suggestions.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("id").alias("payload")), 90.0)
+    return grid.scores(c, 1000.0, 90.0)
+
+
+@query("cluster_round1", f"WITH {SCORES} SELECT u, v, score FROM s ORDER BY score DESC, u DESC, v DESC LIMIT 1")
+def cluster_round1(t: Tables):
+    c = grid.cells(t.suggestions.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("id").alias("payload")), 90.0)
+    return grid.scores(c, 1000.0, 90.0).orderBy(F.desc("score"), F.desc("u"), F.desc("v")).limit(1)
+
+
+@query("clusters")
+def clusters(t: Tables):
+    points = t.suggestions.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("id").alias("payload"))
+    return grid.cluster(points, 1000.0, 90.0).groupBy("cx", "cy").agg(F.count("*").alias("n")).orderBy("n")
+
+
+LEG = "SELECT l_orderkey AS leg, l_linenumber AS k, l_quantity * 1000 AS ms, CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'sharp_right' WHEN 3 THEN 'sharp_left' ELSE 'straight' END AS turn FROM lineitem"
+
+
+@query(
+    "turn_penalty",
+    f"""WITH i AS ({LEG}) SELECT leg, sum(ms + CASE turn WHEN 'left' THEN 5000 WHEN 'sharp_left' THEN 5000 WHEN 'right' THEN 30000 WHEN 'sharp_right' THEN 20000 ELSE 0 END)
+    + CASE WHEN count(*) >= 2 AND (leg % 100) / 100.0 < 0.5 THEN {HEADING_PENALTY} ELSE 0 END AS ms FROM i GROUP BY leg""",
+)
+def turn_penalty(t: Tables):
+    turn = F.element_at(F.array(*map(F.lit, ("left", "right", "sharp_right", "sharp_left", "straight"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    steps = t.read("lineitem").select(F.col("l_orderkey").alias("leg"), (F.col("l_quantity") * 1000).alias("ms"), turn.alias("turn"))
+    cosines = steps.select("leg").distinct().select("leg", ((F.col("leg") % 100) / 100.0).alias("start_cosine"), F.lit(None).cast("double").alias("end_cosine"))
+    return headings.leg_time(steps, cosines, TURN_COSTS, HEADING_PENALTY)
+
+
+@query("stop_pairs", "SELECT DISTINCT a, b FROM (SELECT stop AS a, lead(stop) OVER (PARTITION BY service ORDER BY pos) AS b FROM paths) q WHERE b IS NOT NULL")
+def stop_pairs(t: Tables):
+    return headings.stop_pairs(t.paths, "service", "pos")
+
+
+HEAD = """h AS (SELECT DISTINCT a, b, sb.x - sa.x AS dx, sb.y - sa.y AS dy FROM (SELECT stop AS a, lead(stop) OVER (PARTITION BY service ORDER BY pos) AS b FROM paths) q
+ JOIN stops sa ON sa.idx = a JOIN stops sb ON sb.idx = b WHERE a <> b), u AS (SELECT a AS stop, b, dx / sqrt(dx*dx+dy*dy) AS ux, dy / sqrt(dx*dx+dy*dy) AS uy FROM h)"""
+
+
+def head_vectors(t: Tables):
+    xy = lambda n: t.stops.select(F.col("idx").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    pairs = headings.stop_pairs(t.paths, "service", "pos").filter("a <> b").join(xy("a"), "a").join(xy("b"), "b")
+    return headings.unit_vectors(pairs.select(F.col("a").alias("stop"), "b", (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")))
+
+
+@query("mean_heading", f"WITH {HEAD} SELECT stop, count(*) AS n, round(sum(ux), 6) AS sx, round(sum(uy), 6) AS sy FROM u GROUP BY stop")
+def mean_heading(t: Tables):
+    m = headings.mean_heading(head_vectors(t))
+    return m.select("stop", "n", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
+
+
+@query("heading_discrepancy", f"WITH {HEAD}, f AS (SELECT stop, arg_min(ux, b) AS fx, arg_min(uy, b) AS fy FROM u GROUP BY 1) SELECT u.stop, round(min(ux*fx + uy*fy), 6) + 0.0 AS least_cosine, min(ux*fx + uy*fy) < 0.9 AS dropped FROM u JOIN f ON f.stop = u.stop GROUP BY u.stop")
+def heading_discrepancy(t: Tables):
+    return headings.discrepancy(head_vectors(t), "b").select("stop", (F.round("least_cosine", 6) + 0.0).alias("least_cosine"), "dropped")
+
+
+@query("etl_counters", f"WITH {HEAD} SELECT count(*) AS stops, count(s.stop) AS found, count(*) - count(s.stop) AS missing FROM stops LEFT JOIN (SELECT DISTINCT stop FROM u) s ON s.stop = idx")
+def etl_counters(t: Tables):
+    found = head_vectors(t).select(F.col("stop").alias("idx"), F.lit(1).alias("hit")).distinct()
+    return t.stops.join(found, "idx", "left").agg(F.count("*").alias("stops"), F.count("hit").alias("found"), (F.count("*") - F.count("hit")).alias("missing"))
+
+
+@query("combine_stop_sources", "WITH a AS (SELECT idx AS code, x AS lat, 'map' AS src FROM stops WHERE idx % 3 <> 0), b AS (SELECT idx AS code, x + 1 AS lat, 'road' || idx AS road FROM stops WHERE idx % 5 <> 0) SELECT coalesce(a.code, b.code) AS code, coalesce(a.lat, b.lat) AS lat, b.road FROM a FULL JOIN b ON a.code = b.code")
+def combine_stop_sources(t: Tables):
+    a = t.stops.filter("idx % 3 <> 0").select(F.col("idx").alias("code"), F.col("x").alias("lat"))
+    b = t.stops.filter("idx % 5 <> 0").select(F.col("idx").alias("code"), (F.col("x") + 1).alias("lat"), F.concat(F.lit("road"), F.col("idx")).alias("road"))
+    return headings.combine_sources(a, b, "code", ["lat"])
+
+
+@query("combine_whole_rows", "WITH a AS (SELECT idx AS code, x AS lat FROM stops WHERE idx % 3 <> 0), b AS (SELECT idx AS code, x + 1 AS lat FROM stops WHERE idx % 5 <> 0) SELECT code, lat FROM b UNION ALL SELECT code, lat FROM a WHERE code NOT IN (SELECT code FROM b)")
+def combine_whole_rows(t: Tables):
+    a = t.stops.filter("idx % 3 <> 0").select(F.col("idx").alias("code"), F.col("x").alias("lat"))
+    b = t.stops.filter("idx % 5 <> 0").select(F.col("idx").alias("code"), (F.col("x") + 1).alias("lat"))
+    return headings.later_wins(a, b, "code")
+
+
+@query("non_stopping", "SELECT idx FROM (SELECT idx, CASE WHEN idx % 4 = 0 THEN 'E' ELSE '' END || idx AS code FROM stops) q WHERE NOT starts_with(code, 'E')")
+def non_stopping(t: Tables):
+    return t.stops.withColumn("code", F.concat(F.when(F.col("idx") % 4 == 0, "E").otherwise(""), F.col("idx"))).filter(~F.col("code").startswith("E")).select("idx")
+
+
+MOVED = "o AS (SELECT idx AS old, x, y FROM stops), nw AS (SELECT idx AS new, x + idx % 41 - 20 AS nx, y AS ny FROM stops WHERE idx % 10 <> 0)"
+
+
+@query("stop_match_candidates", f"WITH {MOVED} SELECT old, new, CAST((x-nx)*(x-nx)+(y-ny)*(y-ny) AS DOUBLE) - CASE WHEN old = new THEN 0.01 ELSE 0 END AS d FROM o, nw WHERE (x-nx)*(x-nx)+(y-ny)*(y-ny) <= 400")
+def stop_match_candidates(t: Tables):
+    return headings.match_candidates(*moved_stops(t), 20.0)
+
+
+def moved_stops(t: Tables):
+    old = t.stops.select(F.col("idx").alias("old"), F.col("x").alias("px"), F.col("y").alias("py"))
+    new = t.stops.filter("idx % 10 <> 0").select(F.col("idx").alias("new"), (F.col("x") + F.col("idx") % 41 - 20).alias("x"), "y")
+    return old, new
+
+
+@query("migrate_stops", f"WITH {MOVED} SELECT old, CASE WHEN old % 10 <> 0 THEN old END AS new, old % 10 = 0 AS defunct FROM o")
+def migrate_stops(t: Tables):
+    return headings.migrate(*moved_stops(t), 20.0)
+
+
+@query("weighted_shuffle", "SELECT id, row_number() OVER (PARTITION BY id % 50 ORDER BY CASE WHEN weight > 0 THEN 0 ELSE 1 END, round(-ln((((id*1103515245+12345) % 2147483648) + 1) / 2147483649.0) / weight, 9), id) AS place FROM suggestions")
+def weighted_shuffle(t: Tables):
+    from tripweave.operators.solver import weighted_order
+
+    return weighted_order(t.suggestions.withColumn("part", F.col("id") % 50), "part", "id", "weight").select("id", F.col("place"))
