@@ -142,7 +142,7 @@ def _columns(k: Templates, texts: list[str], threshold: float) -> list[pa.Array]
     bounds = np.searchsorted(doc, np.arange(b.n + 1))
     out = [(None, 0.0, -1, 0, 0)] * b.n
     who, first = np.unique(doc[hit], return_index=True)
-    for d, own in zip(who.tolist(), np.split(hit, first[1:]), strict=True):
+    for d, own in zip(who.tolist(), np.split(hit, first[1:]) if len(who) else [], strict=True):
         lo, hi = bounds[d], bounds[d + 1]
         out[d] = best_match(k, (own - lo).tolist(), gram[own].tolist(), gram[lo:hi], threshold)
     names, scores, starts, sizes, n = zip(*out, strict=True)
