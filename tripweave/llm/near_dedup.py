@@ -2,20 +2,23 @@
 
 1. Shingles of five words are counted over all texts in a sketch of fixed size
    (``CELLS`` counters; the mean load is subtracted), which gives every shingle
-   an idf: ``FLOOR`` + (1 - ``FLOOR``) * ln(N / df) / ln(N). The floor keeps
-   what many copies share from vanishing against what an edit adds.
+   an idf: ``FLOOR`` + (1 - ``FLOOR``) * ln(N / df) / ln(N). The
+   high floor keeps what many copies share from vanishing against what an edit
+   adds: with a lower one, large groups of near copies fall apart.
 2. Each text draws ``BANDS * ROWS`` consistent weighted samples (Ioffe's
    improved scheme): two texts agree in a sample with the probability of their
    weighted Jaccard similarity. Equal texts collapse into one node first.
-3. Nodes that share a band form a bucket. In each bucket all nodes meet its
-   leader; those not found similar to it meet two further leaders; those still
-   without a link go on in smaller buckets, refined by one more sample each
-   round, until no bucket has two of them. No bucket is capped, none is paired
-   out in full, and each step is a grouped aggregation and a join.
-4. A pair becomes a link when the exact weighted Jaccard similarity of the two
-   whole texts is at least ``threshold``. Pairs whose samples agree far too
-   seldom (``SCREEN``: about five standard deviations below the threshold) are
-   passed over before that.
+3. Nodes that share a band form a bucket with three leaders. Each node first
+   meets the least leader of its buckets. Where it is not in a class with its
+   bucket's leader after that, it meets all three leaders of the bucket. Members
+   still apart meet all members of the bucket: those that agree with them in
+   ``CLOSE`` of the samples are compared exactly, and links that join two classes
+   come out. Buckets of more than ``GROUP`` members or ``GROUP_CHARS`` characters
+   are refined by further samples first, so no group is unbounded. No bucket is
+   capped, and none is paired out in full.
+4. A pair that met becomes a link when the exact weighted Jaccard similarity of
+   the two whole texts is at least ``threshold``. Pairs that agree in fewer than
+   ``SCREEN`` of the samples (five standard deviations below) are passed over.
 5. Classes are the connected components of the links, by repeated minima with
    pointer jumping.
 
@@ -28,6 +31,7 @@ because only id and text are read, and ``keep_one`` returns the input's own.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +47,13 @@ from tripweave.llm.textbatch import U, TextBatch, chunks, mix64, shingle_sets
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-SCREEN = 0.55
-FLOOR = 0.75
-CELL_BITS = 22
+SCREEN, CLOSE = 0.55, 0.68
+GROUP, GROUP_CHARS = 2048, 16_000_000
+SCRAMBLE = 0x155A5A5A5A5A5A55
+FLOOR = 0.95
+CELL_BITS = 20
 CELLS = 1 << CELL_BITS
-SLICE = 1024  # counters in a row of the sketch
+SLICE = 4096  # counters in a row of the sketch
 _SALT = mix64(np.arange(1, SAMPLES + 1, dtype=np.int64).view(U) * U(0x9E3779B97F4A7C15))
 
 
@@ -55,7 +61,7 @@ def _uniform_tables() -> tuple[np.ndarray, ...]:
     """Variates by 16-bit index: r and ln c of Gamma(2, 1), and beta of U(0, 1)."""
     rng = np.random.default_rng(7)
     u = (np.arange(65536) + 0.5) / 65536
-    gamma = np.sort(rng.gamma(2.0, 1.0, 1 << 22))[32::64]  # quantiles of Gamma(2, 1)
+    gamma = np.sort(rng.gamma(2.0, 1.0, 1 << 20))[8::16]  # quantiles of Gamma(2, 1)
     r = gamma.astype(np.float32)
     log_c = np.log(gamma).astype(np.float32)
     return r, log_c, u.astype(np.float32)
@@ -72,7 +78,7 @@ def cell(shingle: np.ndarray) -> np.ndarray:
 
 
 def idf_table(df: DataFrame, text_col: str) -> np.ndarray:
-    """The idf of every cell, float32: CELLS * 4 = 16 MB whatever the input."""
+    """The idf of every cell, float32: CELLS * 4 = 4 MB whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.uint32), 0
@@ -183,18 +189,24 @@ def sample_nodes(df: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
 # ---------------------------------------------------------------- pairs
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, idf, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) with ``similar``: exact weighted Jaccard of the whole texts at or above the threshold."""
-    drawn = nodes.select("node", "samples")
-    near = pairs.join(drawn.withColumnsRenamed({"node": "a", "samples": "sa"}), "a").join(drawn.withColumnsRenamed({"node": "b", "samples": "sb"}), "b")
+def estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, agree): in how many samples the two nodes agree."""
+    drawn = lambda n, s: nodes.select(F.col("nid").alias(n), F.col("samples").alias(s))
+    both = pairs.join(drawn("a", "sa"), "a").join(drawn("b", "sb"), "b")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = cut(near.filter(agree >= int(SCREEN * SAMPLES)).select("a", "b"))
-    if near.isEmpty():
-        return near.withColumn("similar", F.lit(False))
-    wanted = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+    return both.select("a", "b", agree.alias("agree"))
+
+
+def texts_of(wanted: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """(nid, text) of the wanted nodes; a Bloom filter keeps all other texts from being shuffled."""
+    wanted = cut(wanted.join(nodes.select("nid", "node"), "nid"))
     texts = df.select(text_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.filter(maybe_in(wanted, "node")).groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
-    texts = cut(texts)
+    texts = texts.filter(maybe_in(wanted, "node")).groupBy("node").agg(F.first("text").alias("text"))
+    return cut(texts.join(wanted, "node").select("nid", "text"))
+
+
+def verify(near: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose exact weighted Jaccard similarity of the whole texts reaches the threshold."""
 
     def run(batches):
         for batch in batches:
@@ -205,12 +217,12 @@ def verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, idf
                 while to < len(left) and (to == at or held < 1_000_000):
                     held += len(left[to]) + len(right[to])
                     to += 1
-                similar = weighted_jaccard(left[at:to], right[at:to], idf.value) >= threshold
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(similar)], names=["a", "b", "similar"])
+                similar = pa.array(weighted_jaccard(left[at:to], right[at:to], idf.value) >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)], names=["a", "b"]).filter(similar)
                 at = to
 
-    both = near.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similar boolean")
+    both = near.join(texts.withColumnsRenamed({"nid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "text": "tb"}), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def weighted_jaccard(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
@@ -261,78 +273,147 @@ def maybe_in(wanted: DataFrame, col: str, bits_per_row: int = 16, max_blocks: in
     return F.pandas_udf(probe, "boolean")(F.xxhash64(F.col(col)))
 
 
-def _order(seed: int) -> Column:
-    return F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"))
-
-
 def links(nodes: DataFrame, df: DataFrame, text_col: str, idf, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) of nodes."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    keys = nodes.filter("samples IS NOT NULL").withColumn("band", band)
-    keys = keys.withColumn("bucket", F.xxhash64("band", F.slice("samples", F.col("band") * ROWS + 1, ROWS)))
-    keys = keys.select("node", "band", "bucket")
-    leaders = keys.groupBy("bucket").agg(*[F.min(_order(s))["node"].alias(f"l{s}") for s in (1, 2, 3)], F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = cut(keys.join(cut(leaders), "bucket"))
-    found, tested = [], None
-    sides = lambda rows, lead: rows.filter(F.col(lead) != F.col("node")).select(F.least(lead, "node").alias("a"), F.greatest(lead, "node").alias("b"))
-    round_ = 0
+    """Verified pairs (a, b) of nodes, enough to connect every class."""
+    keys = nodes.filter("samples IS NOT NULL").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    keys = keys.select("nid", "band", F.xxhash64("band", F.slice("samples", F.col("band") * ROWS + 1, ROWS)).alias("bucket"))
+    open_ = led(keys)
+    if open_.isEmpty():
+        return nodes.limit(0).select(F.col("nid").alias("a"), F.col("nid").alias("b"))
+    texts = texts_of(open_.select("nid").distinct(), nodes, df, text_col)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        near = estimates(pairs.distinct(), nodes).filter(F.col("agree") >= int(SCREEN * SAMPLES)).select("a", "b")
+        return cut(verify(near, texts, idf, threshold))
+
+    met = lambda rows, lead: rows.filter(F.col("nid") != F.col(lead)).select(F.least(lead, "nid").alias("a"), F.greatest(lead, "nid").alias("b"))
+    # First each node meets the least of its leaders, in which tight groups agree; then, where that left it apart, all leaders.
+    found = tested(met(open_.groupBy("nid").agg(F.min("l1").alias("l1")), "l1"))
+    apart = cut(unsettled(open_, components(found), ["l1"]).filter("NOT settled").select("nid", "l1", "l2", "l3"))
+    found = found.union(tested(met(apart, "l1").union(met(apart, "l2")).union(met(apart, "l3"))))
+    release(nodes)
+    # Where some are still apart, they meet all members of their bucket.
+    root = components(found)
+    marked = cut(unsettled(open_, root, ["l1", "l2", "l3"]).select("nid", "band", "bucket", "settled"))
+    members = bounded(marked, nodes, texts)
+    if members is not None:
+        known = nodes.select("nid", "samples").join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        found = found.union(cut(links_within(members.join(known, "nid").join(texts, "nid"), idf, threshold)))
+        release(nodes)
+    return cut(found.distinct())
+
+
+def unsettled(open_: DataFrame, root: DataFrame, leads: list[str]) -> DataFrame:
+    """Adds ``settled``: the node is a leader of its bucket or, so far, in a class with one."""
+    rows, settled = open_, F.lit(False)
+    own = root.select(F.col("nid"), F.col("root").alias("r"))
+    rows = rows.join(own, "nid", "left")
+    for lead in leads:
+        theirs = root.select(F.col("nid").alias(lead), F.col("root").alias(f"r_{lead}"))
+        rows = rows.join(theirs, lead, "left")
+        settled = settled | (F.col("nid") == F.col(lead)) | F.coalesce(F.col("r") == F.col(f"r_{lead}"), F.lit(False))
+    return rows.withColumn("settled", settled)
+
+
+def bounded(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(nid, bucket, settled): buckets with unsettled members, none of more than ``GROUP`` members or ``GROUP_CHARS`` characters (two always fit).
+
+    Larger ones are refined by ever more samples, of other bands, until they are small enough.
+    """
+    out, round_ = None, 0
+    rows = rows.join(texts.select("nid", F.length("text").alias("chars")), "nid")
     while True:
-        which = ["l1"] if round_ != 1 else ["l2", "l3"]
-        pairs = sides(open_, which[0])
-        for lead in which[1:]:
-            pairs = pairs.union(sides(open_, lead))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            good = cut(verify(pairs, nodes, df, text_col, idf, threshold).filter("similar").select("a", "b"))
-            found.append(good)
-            tested = pairs if tested is None else tested.union(pairs)
-        if round_ >= 1 and open_.isEmpty():
-            break
-        linked = found[0] if found else pairs
-        for more in found[1:]:
-            linked = linked.union(more)
-        # Of each bucket, who is not yet linked with the leaders that it met.
-        met = open_
-        for lead in which:
-            hit = linked.select(F.col("a"), F.col("b"), F.lit(True).alias(f"ok_{lead}"))
-            met = met.withColumn("a", F.least(lead, "node")).withColumn("b", F.greatest(lead, "node")).join(hit, ["a", "b"], "left").drop("a", "b")
-        fine = None
-        for lead in which:
-            ok = (F.col(lead) == F.col("node")) | F.coalesce(F.col(f"ok_{lead}"), F.lit(False))
-            fine = ok if fine is None else fine | ok
-        rest = met.filter(~fine).select("node", "band", "bucket", "l1", "l2", "l3")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), F.min("settled").alias("done"))
+        fits = ((F.col("n") <= GROUP) & (F.col("sum") <= GROUP_CHARS)) | (F.col("n") <= 2)
+        sizes = cut(sizes.filter("n > 1 AND NOT done").select("bucket", fits.alias("fits")))
+        if sizes.isEmpty():
+            return out
+        rows = cut(rows.join(sizes, "bucket"))
+        fit = rows.filter("fits").select("nid", "bucket", "settled")
+        out = fit if out is None else out.union(fit)
+        large = rows.filter("NOT fits").drop("fits")
+        if large.isEmpty():
+            return out
+        more = min(1 + round_, SAMPLES // 2)
+        place = (F.col("band") * ROWS + ROWS + round_ * (round_ + 1) // 2) % (SAMPLES - more + 1) + 1
+        finer = F.xxhash64("bucket", F.slice("samples", place.cast("int"), more))
+        if round_ >= SAMPLES:  # equal in every sample: far above any threshold, so any split that keeps the settled ones will do
+            finer = F.xxhash64("bucket", F.pmod(F.xxhash64("nid"), F.lit(2 << (round_ - SAMPLES))))
+        rows = large.join(nodes.select("nid", "samples"), "nid").select("nid", "band", finer.alias("bucket"), "settled", "chars")
         round_ += 1
-        if round_ == 1:
-            open_ = cut(rest)
-        else:
-            # Smaller buckets: one more sample, of another band, joins the key.
-            place = (F.col("band") * ROWS + ROWS + round_ - 2) % SAMPLES + 1
-            finer = rest.join(nodes.select("node", "samples"), "node").withColumn("bucket", F.xxhash64("bucket", F.element_at("samples", place.cast("int"))))
-            finer = cut(finer.select("node", "band", "bucket"))
-            again = finer.groupBy("bucket").agg(*[F.min(_order(s))["node"].alias(f"l{s}") for s in (1, 2, 3)], F.count("*").alias("n")).filter("n > 1").drop("n")
-            open_ = cut(finer.join(cut(again), "bucket"))
-        if open_.isEmpty():
-            break
-    out = found[0] if found else open_.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    for more in found[1:]:
-        out = out.union(more)
-    return cut(out.distinct())
+
+
+def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) that join different classes within a bucket; at most one fewer than its members.
+
+    Each unsettled member is compared exactly with all others that agree with it in ``CLOSE`` of the
+    samples and are not yet in one class with it. A group is bounded by ``bounded``.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("nid")
+        drawn = np.stack(rows["samples"].to_numpy())
+        nid, done = rows["nid"].to_numpy(), rows["settled"].to_numpy()
+        _, top = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        sets = [weighted_sets(texts, idf.value) for _, texts in chunks(pa.array(rows["text"]))]
+        at = np.cumsum([0, *[len(t) for _, t in chunks(pa.array(rows["text"]))]])
+        doc = np.concatenate([d + k for (d, _, _), k in zip(sets, at, strict=False)])
+        shingle, weight = np.concatenate([x[1] for x in sets]), np.concatenate([x[2] for x in sets]).astype(np.float64)
+        bound = np.searchsorted(doc, np.arange(len(nid) + 1))
+        total = np.bincount(doc, weight, len(nid))
+        a, b = [], []
+        for i in np.flatnonzero(~done):
+            near = np.flatnonzero(((drawn == drawn[i]).sum(axis=1) >= int(CLOSE * SAMPLES)) & (top != top[i]))
+            if not len(near):
+                continue
+            own, own_weight = shingle[bound[i] : bound[i + 1]], weight[bound[i] : bound[i + 1]]
+            size = bound[near + 1] - bound[near]
+            items = np.arange(size.sum()) + np.repeat(bound[near] - (np.cumsum(size) - size), size)
+            hit = np.minimum(np.searchsorted(own, shingle[items]), len(own) - 1)
+            low = np.where(own[hit] == shingle[items], np.minimum(own_weight[hit], weight[items]), 0.0)
+            shared = np.bincount(np.repeat(np.arange(len(near)), size), low, len(near))
+            for j in near[shared >= threshold * (total[i] + total[near] - shared)]:
+                if top[j] != top[i]:
+                    a.append(min(nid[i], nid[j]))
+                    b.append(max(nid[i], nid[j]))
+                    top[top == top[j]] = top[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return members.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+
+
+def led(keys: DataFrame) -> DataFrame:
+    """Members of buckets of two or more, with three leaders of their bucket: the least, the greatest and the least of scrambled numbers."""
+    leaders = keys.groupBy("bucket").agg(F.min("nid").alias("l1"), F.max("nid").alias("l2"), F.min(F.col("nid").bitwiseXOR(F.lit(SCRAMBLE))).alias("l3"), F.count("*").alias("n"))
+    leaders = cut(leaders.filter("n > 1").select("bucket", "l1", "l2", F.col("l3").bitwiseXOR(F.lit(SCRAMBLE)).alias("l3")))
+    return cut(keys.join(leaders, "bucket"))
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle and checkpoint files of what is no longer referred to; it does so when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component."""
-    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("peer")))
-    root = cut(both.groupBy("node").agg(F.least("node", F.min("peer")).alias("root")))
+    """(nid, root): the least node of each connected component."""
+    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("nid"), F.col("b").alias("peer")))
+    root = cut(both.groupBy("nid").agg(F.least("nid", F.min("peer")).alias("root")))
     while True:
-        seen = both.join(root.withColumnsRenamed({"node": "peer", "root": "r"}), "peer").groupBy("node").agg(F.min("r").alias("r"))
-        step = root.join(seen, "node").select("node", F.least("root", "r").alias("next"), F.col("root").alias("old"))
+        seen = both.join(root.withColumnsRenamed({"nid": "peer", "root": "r"}), "peer").groupBy("nid").agg(F.min("r").alias("r"))
+        step = root.join(seen, "nid").select("nid", F.least("root", "r").alias("next"), F.col("root").alias("old"))
         # Pointer jumping: the root of the root.
-        jump = root.withColumnsRenamed({"node": "next", "root": "far"})
-        moved = cut(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), "old"))
+        jump = root.withColumnsRenamed({"nid": "next", "root": "far"})
+        moved = cut(step.join(jump, "next").select("nid", F.least("next", "far").alias("root"), "old"))
         if moved.filter("root <> old").isEmpty():
-            return moved.select("node", "root")
-        root = moved.select("node", "root")
+            return moved.select("nid", "root")
+        root = moved.select("nid", "root")
+
+
+def numbered_nodes(rows: DataFrame) -> DataFrame:
+    """One row for each node: nid (a number within this run), node, id (the least), n, samples."""
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("samples").alias("samples"))
+    return cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -340,13 +421,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sc = df.sparkSession.sparkContext
     idf = sc.broadcast(idf_table(df, text_col))
     rows = cut(sample_nodes(df, idf, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("samples").alias("samples"))
-    nodes = cut(nodes)
+    nodes = numbered_nodes(rows)
     root = components(links(nodes, df, text_col, idf, threshold))
-    named = nodes.join(root, "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root"))
-    named = cut(named)
+    named = cut(nodes.select("nid", "node", "id", "n").join(root, "nid", "left").select("node", "id", "n", F.coalesce("root", "nid").alias("root")))
     classes = cut(named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")))
     named = cut(named.join(classes, "root").select("node", "class_id", "class_size", F.col("n").alias("text_copies")))
+    release(df)
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "text_copies")
 
 
@@ -358,17 +438,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     sc = df.sparkSession.sparkContext
     idf = sc.broadcast(idf_table(df, text_col))
     rows = cut(sample_nodes(df, idf, id_col, text_col))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("samples").alias("samples")))
-    root = components(links(nodes, df, text_col, idf, threshold))
-    # Nodes that are not the best of their class go; equal texts inside the rest collapse.
-    of = root.join(nodes.select("node", "id"), "node")
-    best = of.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("node"))
-    gone = cut(root.select("node").join(best, "node", "left_anti").union(nodes.filter("n > 1").select("node")))
+    nodes = numbered_nodes(rows)
+    root = components(links(nodes, df, text_col, idf, threshold)).join(nodes.select("nid", "node", "id"), "nid")
+    best = F.min_by("nid", F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))
+    # Texts that are not the best of their class go; rows of one text collapse.
+    worse = cut(root.join(root.groupBy("root").agg(best.alias("nid")).select("nid"), "nid", "left_anti").select("node"))
+    folded = nodes.filter("n > 1").join(worse, "node", "left_anti").select("node", F.lit(True).alias("fold"))
+    special = cut(worse.withColumn("fold", F.lit(False)).unionByName(folded))
+    release(df)
     cols = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(F.struct(*cols).alias("row"), text_node(F.col(text_col)).alias("node")).withColumn("maybe", maybe_in(gone, "node"))
-    again = nodes.filter("n > 1").join(root.select("node").join(best, "node", "left_anti"), "node", "left_anti").select("node")
-    suspect = keyed.filter("maybe").drop("maybe").join(gone.distinct().withColumn("hit", F.lit(True)), "node", "left")
-    clear = suspect.filter("hit IS NULL").select("row.*")
+    keyed = df.select(F.struct(*cols).alias("row"), text_node(F.col(text_col)).alias("node")).withColumn("maybe", maybe_in(special, "node"))
+    suspect = keyed.filter("maybe").join(special, "node", "left")
     rank = F.struct(F.col(f"row.{id_col}").isNull(), F.col(f"row.{id_col}"), F.xxhash64("row"))
-    folded = suspect.filter("hit").drop("hit").join(cut(again), "node", "left_semi").groupBy("node").agg(F.min_by("row", rank).alias("row")).select("row.*")
-    return keyed.filter(~F.col("maybe")).select("row.*").union(clear).union(folded)
+    one = suspect.filter("fold").groupBy("node").agg(F.min_by("row", rank).alias("row"))
+    clear = keyed.filter(~F.col("maybe")).select("row").union(suspect.filter("fold IS NULL").select("row"))
+    return clear.union(one.select("row")).select("row.*")
