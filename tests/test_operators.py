@@ -250,3 +250,45 @@ def test_job_expiry_and_cache(spark):
     now[0] = 11
     cache.get()
     assert len(loads) == 2
+
+
+def test_insertion_step_equals_model(spark):
+    from tripweave.operators import insertion
+
+    rng = random.Random(5)
+    n = 25
+    edges = {(a, b): float(abs(a - b) * 40_000 + (7_000 if b < a else 0) + ((a * 7 + b * 13) % 11) * 1_000) for a in range(n) for b in range(n)}
+    rides, wanted, model, asked = [], [], {}, {}
+    for r in range(60):
+        stops = rng.sample(range(n), rng.randint(2, 7))
+        k = rng.randint(1, len(stops) - 1)
+        model[r] = solver.Ride([[s, [0]] for s in stops[:k]], [[s, [0]] for s in stops[k:]])
+        rides += [(r, "U", i, s) for i, s in enumerate(stops[:k])] + [(r, "D", i, s) for i, s in enumerate(stops[k:])]
+        for q in range(4):
+            asked[r, q] = rng.sample(range(n), rng.randint(1, 3)), rng.sample(range(n), rng.randint(1, 3))
+            wanted += [(r, q, role, s, i) for role, side in zip("SE", asked[r, q], strict=True) for i, s in enumerate(side)]
+    travel = spark.createDataFrame([(a, b, ms) for (a, b), ms in edges.items()], "src long, dst long, ms double")
+    got = insertion.insertion_step(
+        spark.createDataFrame(rides, "ride int, side string, pos int, stop long"), spark.createDataFrame(wanted, "ride int, req int, role string, idx long, ord int"), travel, 900_000, 60_000
+    ).collect()
+    by = {(x["ride"], x["req"]): x for x in got}
+    c = solver.Costs(edges, 60_000)
+    for (r, q), (starts, ends) in asked.items():
+        new = solver.try_insert(model[r], 9, starts, ends, c, 900_000)
+        assert (new is None) == ((r, q) not in by)
+        if new is not None:
+            assert (next(s for s, rs in new.up if 9 in rs), next(s for s, rs in new.down if 9 in rs)) == (by[r, q]["up"], by[r, q]["down"])
+
+
+def test_polyline(spark):
+    from tripweave.functions import formats
+
+    df = spark.createDataFrame([("_p~iF~ps|U_ulLnnqC_mqNvxq`@",), ("",), (None,)], "t string")
+    got = [[(p["lat"], p["lng"]) for p in r[0]] for r in df.select(formats.polyline_points(F.col("t"))).collect()]
+    assert got == [[(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)], [], []]
+
+
+def test_shuffle_is_repeatable(spark):
+    df = spark.range(50)
+    one, again, other = ([r["id"] for r in routes.shuffled(df, s).collect()] for s in (1, 1, 2))
+    assert one == again != other and sorted(one) == list(range(50))

@@ -91,3 +91,15 @@ def overlap(a: Column, b: Column) -> Column:
 def first_of_equal(routes: DataFrame, stops: str = "stops", key: str = "service") -> DataFrame:
     """Of routes with one list of stops the least key stays."""
     return routes.groupBy(stops).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+
+
+def replacement_delta(rows: DataFrame, travel: DataFrame, new: str) -> DataFrame:
+    """Adds ``delta``: the change of length when ``new`` takes the place of ``stop`` between ``prev_stop`` and ``next_stop``."""
+    for a, b, out in (("prev_stop", new, "_pc"), (new, "next_stop", "_cn"), ("prev_stop", "stop", "_po"), ("stop", "next_stop", "_on")):
+        rows = with_travel(rows, travel, a, b, out)
+    return rows.withColumn("delta", F.col("_pc") + F.col("_cn") - F.col("_po") - F.col("_on")).drop("_pc", "_cn", "_po", "_on")
+
+
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """Uniform random order by a seeded hash of the rows, repeatable."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripweave.plans import demand, functions, routes, scans, solver
+from tripweave.plans import demand, functions, insertion, routes, scans, solver
 from tripweave.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "demand", "functions", "routes", "scans", "solver"]
+__all__ = ["ORACLES", "QUERIES", "demand", "functions", "insertion", "routes", "scans", "solver"]
