@@ -7,15 +7,18 @@ running polynomial sums modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; bounds the temporaries at about 100 MB.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text handled at once; bounds the temporaries at about 50 MB.
+CHUNK_BYTES = 1_000_000
+SLICE_ROWS = 256
 
 U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -45,15 +48,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(position of the first, texts) with nulls as empty, of about CHUNK_BYTES each."""
-    values = texts.to_pylist()
-    at, held = 0, 0
-    for i, t in enumerate(values):
-        held += len(t) if t else 1
-        if held >= CHUNK_BYTES or i - at >= 30_000:
-            yield at, [x or "" for x in values[at : i + 1]]
-            at, held = i + 1, 0
-    if at < len(values):
-        yield at, [x or "" for x in values[at:]]
+    at, held, out = 0, 0, []
+    for begin in range(0, len(texts), SLICE_ROWS):
+        for t in texts.slice(begin, SLICE_ROWS).to_pylist():
+            out.append(t or "")
+            held += len(t) if t else 1
+            if held >= CHUNK_BYTES:
+                yield at, out
+                at, held, out = at + len(out), 0, []
+    if out:
+        yield at, out
+    give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back: workers outlive their task and sit idle beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class TextBatch:
