@@ -14,8 +14,6 @@ domain's rate; with no labels at all every page is allowed by the method.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,6 @@ TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au",
 #: Fixed values: (verdict, host, path prefix) of the contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 Z, MAX_BAD = 1.645, 0.2
-LEVELS = ("host", "domain", "suffix")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,8 +54,8 @@ def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _strength(groups: DataFrame, name: str) -> DataFrame:
-    """Moment estimate of a level's prior strength, between 1 and 1000; a single row."""
+def _strength(groups: DataFrame) -> tuple[float, float]:
+    """Moment estimate of a level's prior strength, between 1 and 1000, and the rate of all."""
     g = groups.agg(
         F.sum("n").alias("n"), F.sum("bad").alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"),
         F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("bb"), F.count("*").alias("j"),
@@ -68,17 +65,16 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     scale = F.col("n") - F.col("nn") / F.col("n")
     var = F.when(scale > 0, spread / scale)
     k = F.when(var > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), p * (1 - p) / var - 1))).otherwise(1000.0)
-    return g.select(k.alias(f"k_{name}"), p.alias("p_all"))
+    row = g.select(k, p).first()
+    return tuple(row) if row else (1.0, 0.0)
 
 
-def host_reputation(labelled: DataFrame, hosts: DataFrame) -> DataFrame:
+def host_reputation(hosts: DataFrame) -> DataFrame:
     """``hosts`` (host, domain, suffix, n, bad) with p_bad and its lower bound."""
     by = {"host": hosts.filter("n > 0").select("host", "domain", "suffix", "n", "bad")}
     by["domain"] = by["host"].groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by["suffix"] = by["domain"].groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    scales = reduce(lambda a, b: a.join(b), [_strength(by["suffix"], "suffix"), _strength(by["domain"], "domain").drop("p_all"), _strength(by["host"], "host").drop("p_all")])
-    scale = scales.first()  # one row of four numbers
-    k_suffix, p_all, k_domain, k_host = tuple(scale) if scale else (1.0, 0.0, 1.0, 1.0)
+    (k_suffix, p_all), (k_domain, _), (k_host, _) = (_strength(by[level]) for level in ("suffix", "domain", "host"))
     shrunk = lambda prior, k: (F.col("bad") + k * prior) / (F.col("n") + k)
     suffix = by["suffix"].select("suffix", shrunk(F.lit(p_all), k_suffix).alias("p_suffix"))
     domain = by["domain"].join(suffix, "suffix").select("domain", shrunk(F.col("p_suffix"), k_domain).alias("p_domain"))
@@ -97,7 +93,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: floa
     marks = outcomes.filter("id IS NOT NULL").groupBy("id").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
     per_host = slim.join(marks, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = cut(per_host.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    judged = slim.join(host_reputation(outcomes, hosts).select("host", "p_bad", "bound"), "host")
+    judged = slim.join(host_reputation(hosts).select("host", "p_bad", "bound"), "host")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
     return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_bad", "bound")
