@@ -108,7 +108,8 @@ def label_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = slim.withColumn("_maybe", maybe_repeated(slim, "_h", slim.count(), **size))
     rank = F.struct(-F.col("_len"), F.col("_id").isNull(), F.col("_id"), F.col("_row"))
     groups = marked.filter("_maybe").groupBy("_sha").agg(F.min_by(F.struct("_id", "_row"), rank).alias("_keep"), F.count("*").alias("_n"))
-    repeated = marked.filter("_maybe").join(groups, "_sha").select(
+    # Written first, so that both sides of the join are shuffled and AQE can split a hot group.
+    repeated = marked.filter("_maybe").join(cut(groups), "_sha").select(
         F.col("_id").alias(id_col), F.col("_keep._id").alias("keep_id"), F.col("_n").alias("group_size"),
         (F.col("_row") == F.col("_keep._row")).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
