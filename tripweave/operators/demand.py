@@ -103,11 +103,19 @@ def served_by(path: DataFrame, riders: DataFrame, r: float) -> DataFrame:
 
 
 def related(riders: DataFrame, start_r: float, end_r: float) -> DataFrame:
-    """(id, other): pairs close at both ends, before the detour test."""
-    a = riders.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("ex").alias("ax"), F.col("ey").alias("ay"))
-    b = riders.select(F.col("id").alias("other"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
-    pairs = range_pairs(a, b, start_r).filter("id <> other")
-    return pairs.filter(dist2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= end_r * end_r).select("id", "other")
+    """(id, other): pairs close at both ends, before the detour test.
+
+    Trips with the same ends are compared once: the range join runs over distinct trips, and riders join theirs.
+    """
+    ends = ["sx", "sy", "ex", "ey"]
+    trips = riders.select(*ends).distinct()
+    a = trips.select("sx", "sy", "ex", "ey", F.col("sx").alias("px"), F.col("sy").alias("py"))
+    b = trips.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    near = range_pairs(a, b, start_r).filter(dist2(F.col("ex"), F.col("ey"), F.col("bx"), F.col("by")) <= end_r * end_r)
+    near = near.select(*ends, "x", "y", "bx", "by")
+    others = riders.select(F.col("id").alias("other"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    pairs = riders.select("id", *ends).join(near, ends).join(others, ["x", "y", "bx", "by"])
+    return pairs.filter("id <> other").select("id", "other")
 
 
 def on_every(route_requests: DataFrame, related_pairs: DataFrame) -> DataFrame:
