@@ -36,6 +36,7 @@ _MULT = U(0x9E3779B97F4A7C15)
 _BASE = U(0x100000001B3)
 _UNBASE = U(pow(int(_BASE), -1, 2**64))
 NONE = 2**31 - 1
+CHUNK = 2_000_000  # characters whose distinct segments are encoded together
 
 
 class Vocabulary:
@@ -262,7 +263,7 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         v = vocabulary(model)
         for batch in batches:
-            for at, texts in chunks(batch.column(1)):
+            for at, texts in chunks(batch.column(1), CHUNK):
                 ids, n, wrong = encode_batch(v, texts, check)
                 ends = np.cumsum(n)
                 flat = ids.tolist()

@@ -46,14 +46,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) with nulls as empty, of about CHUNK_BYTES each."""
+def chunks(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """(position of the first, texts) with nulls as empty, of about ``most`` (CHUNK_BYTES) characters each."""
+    most = most or CHUNK_BYTES
     at, held, out = 0, 0, []
     for begin in range(0, len(texts), SLICE_ROWS):
         for t in texts.slice(begin, SLICE_ROWS).to_pylist():
             out.append(t or "")
             held += len(t) if t else 1
-            if held >= CHUNK_BYTES:
+            if held >= most:
                 yield at, out
                 at, held, out = at + len(out), 0, []
     if out:
