@@ -550,6 +550,22 @@ def test_large_buckets_are_refined(spark, monkeypatch):
     assert near_dedup.near_classes(df).select("class_id").distinct().count() <= 3
 
 
+def test_leaders_of_different_classes_meet(spark):
+    """In a bucket {0, 1, 2} with 0 and 1 in one class, 1 still meets 2."""
+    rng = random.Random(10)
+    a = " ".join(f"w{rng.randrange(50000)}" for _ in range(300))
+    texts = [a, near_copy(a, rng, 4)]
+    texts.append(near_copy(texts[1], rng, 4))
+    idf = np.ones(near_dedup.CELLS, np.float32)
+    _, drawn = near_dedup.samples(*near_dedup.weighted_sets(texts, idf), 3)
+    nodes = spark.createDataFrame([(i, drawn[i].tolist(), t) for i, t in enumerate(texts)], "nid long, samples array<int>, text string")
+    root = spark.createDataFrame([(0, 0), (1, 0)], "nid long, root long")
+    whole = near_dedup.mixed(nodes.selectExpr("nid", "0 AS band", "7L AS bucket"), root, nodes.select("nid", "text"))
+    members = near_dedup.bounded(whole, nodes)
+    found = near_dedup.links_within(members.join(nodes, "nid"), spark.sparkContext.broadcast(idf), 0.8)
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(1, 2)]
+
+
 # ------------------------------------------------------------- queries
 
 

@@ -10,12 +10,10 @@
    weighted Jaccard similarity. Equal texts collapse into one node first.
 3. Nodes that share a band form a bucket with three leaders. Each node first
    meets the least leader of its buckets. Where it is not in a class with its
-   bucket's leader after that, it meets all three leaders of the bucket. Members
-   still apart meet all members of the bucket: those that agree with them in
-   ``CLOSE`` of the samples are compared exactly, and links that join two classes
-   come out. Buckets of more than ``GROUP`` members or ``GROUP_CHARS`` characters
-   are refined by further samples first, so no group is unbounded. No bucket is
-   capped, and none is paired out in full.
+   bucket's leader after that, it meets all three leaders of the bucket. In
+   buckets that then still hold more than one class, members meet those of other
+   classes. Buckets of more than ``GROUP`` members or ``GROUP_CHARS`` characters
+   are refined by further samples first, so no group is unbounded.
 4. A pair that met becomes a link when the exact weighted Jaccard similarity of
    the two whole texts is at least ``threshold``. Pairs that agree in fewer than
    ``SCREEN`` of the samples (five standard deviations below) are passed over.
@@ -292,13 +290,12 @@ def links(nodes: DataFrame, df: DataFrame, text_col: str, idf, threshold: float)
     apart = cut(unsettled(open_, components(found), ["l1"]).filter("NOT settled").select("nid", "l1", "l2", "l3"))
     found = found.union(tested(met(apart, "l1").union(met(apart, "l2")).union(met(apart, "l3"))))
     release(nodes)
-    # Where some are still apart, they meet all members of their bucket.
-    root = components(found)
-    marked = cut(unsettled(open_, root, ["l1", "l2", "l3"]).select("nid", "band", "bucket", "settled"))
-    members = bounded(marked, nodes, texts)
+    # Where a bucket still holds more than one class, members meet those of other classes.
+    whole = cut(mixed(open_.select("nid", "band", "bucket"), components(found), texts))
+    members = bounded(whole, nodes)
     if members is not None:
-        known = nodes.select("nid", "samples").join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        found = found.union(cut(links_within(members.join(known, "nid").join(texts, "nid"), idf, threshold)))
+        known = nodes.select("nid", "samples").join(texts, "nid")
+        found = cut(found.union(links_within(members.join(known, "nid"), idf, threshold)))
         release(nodes)
     return cut(found.distinct())
 
@@ -315,21 +312,34 @@ def unsettled(open_: DataFrame, root: DataFrame, leads: list[str]) -> DataFrame:
     return rows.withColumn("settled", settled)
 
 
-def bounded(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(nid, bucket, settled): buckets with unsettled members, none of more than ``GROUP`` members or ``GROUP_CHARS`` characters (two always fit).
+def mixed(rows: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
+    """(nid, band, bucket, root, chars, n, sum): buckets of three or more members in more than one class, those of the same members once.
+
+    Two members have met, as both are leaders.
+    """
+    rows = rows.join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rows = rows.join(texts.select("nid", F.length("text").cast("long").alias("chars")), "nid")
+    marks = [F.bit_xor(F.xxhash64("nid", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
+    once = sizes.filter("n > 2 AND low < high").groupBy("n", "sum", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+    return rows.join(once.select("bucket", "n", "sum"), "bucket")
+
+
+def bounded(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(nid, bucket, root, side): parts of buckets with more than one class, none of more than ``GROUP`` members or ``GROUP_CHARS`` characters (two always fit).
 
     Larger ones are refined by ever more samples, of other bands, until they are small enough.
     """
     out, round_ = None, 0
-    rows = rows.join(texts.select("nid", F.length("text").alias("chars")), "nid")
+    rows = rows.select("nid", "band", "bucket", "root", "chars")
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), F.min("settled").alias("done"))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), (F.min("root") == F.max("root")).alias("done"))
         fits = ((F.col("n") <= GROUP) & (F.col("sum") <= GROUP_CHARS)) | (F.col("n") <= 2)
         sizes = cut(sizes.filter("n > 1 AND NOT done").select("bucket", fits.alias("fits")))
         if sizes.isEmpty():
             return out
         rows = cut(rows.join(sizes, "bucket"))
-        fit = rows.filter("fits").select("nid", "bucket", "settled")
+        fit = rows.filter("fits").select("nid", "bucket", "root", F.lit(0).alias("side"))
         out = fit if out is None else out.union(fit)
         large = rows.filter("NOT fits").drop("fits")
         if large.isEmpty():
@@ -337,41 +347,48 @@ def bounded(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame |
         more = min(1 + round_, SAMPLES // 2)
         place = (F.col("band") * ROWS + ROWS + round_ * (round_ + 1) // 2) % (SAMPLES - more + 1) + 1
         finer = F.xxhash64("bucket", F.slice("samples", place.cast("int"), more))
-        if round_ >= SAMPLES:  # equal in every sample: far above any threshold, so any split that keeps the settled ones will do
+        if round_ >= SAMPLES:  # equal in every sample: far above any threshold
             finer = F.xxhash64("bucket", F.pmod(F.xxhash64("nid"), F.lit(2 << (round_ - SAMPLES))))
-        rows = large.join(nodes.select("nid", "samples"), "nid").select("nid", "band", finer.alias("bucket"), "settled", "chars")
+        rows = large.join(nodes.select("nid", "samples"), "nid").select("nid", "band", finer.alias("bucket"), "root", "chars")
         round_ += 1
 
 
 def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) that join different classes within a bucket; at most one fewer than its members.
+    """Links (a, b) that join different classes within a group; at most one fewer than its members.
 
-    Each unsettled member is compared exactly with all others that agree with it in ``CLOSE`` of the
-    samples and are not yet in one class with it. A group is bounded by ``bounded``.
+    Members are compared exactly where they agree in ``CLOSE`` of the samples and are not yet in one class:
+    each of side 0 with each other, each of side 1 with each of side 2.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("nid")
+        rows = rows.sort_values(["side", "nid"])
         drawn = np.stack(rows["samples"].to_numpy())
-        nid, done = rows["nid"].to_numpy(), rows["settled"].to_numpy()
-        _, top = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        nid, side = rows["nid"].to_numpy(), rows["side"].to_numpy()
+        _, top, size = np.unique(rows["root"].to_numpy(), return_inverse=True, return_counts=True)
         sets = [weighted_sets(texts, idf.value) for _, texts in chunks(pa.array(rows["text"]))]
         at = np.cumsum([0, *[len(t) for _, t in chunks(pa.array(rows["text"]))]])
         doc = np.concatenate([d + k for (d, _, _), k in zip(sets, at, strict=False)])
         shingle, weight = np.concatenate([x[1] for x in sets]), np.concatenate([x[2] for x in sets]).astype(np.float64)
+        shingle, code = np.unique(shingle, return_inverse=True)
         bound = np.searchsorted(doc, np.arange(len(nid) + 1))
         total = np.bincount(doc, weight, len(nid))
+        main = top == size.argmax()
+        who = np.flatnonzero((side == 1) | ((side == 0) & ~main))
+        own = np.zeros(len(shingle))
+        place = np.arange(len(nid))
         a, b = [], []
-        for i in np.flatnonzero(~done):
-            near = np.flatnonzero(((drawn == drawn[i]).sum(axis=1) >= int(CLOSE * SAMPLES)) & (top != top[i]))
+        for i in who:
+            meets = (side == 2) if side[i] else (main | (place > i))
+            near = np.flatnonzero(meets & (top != top[i]))
+            near = near[(drawn[near] == drawn[i]).sum(axis=1) >= int(CLOSE * SAMPLES)]
             if not len(near):
                 continue
-            own, own_weight = shingle[bound[i] : bound[i + 1]], weight[bound[i] : bound[i + 1]]
-            size = bound[near + 1] - bound[near]
-            items = np.arange(size.sum()) + np.repeat(bound[near] - (np.cumsum(size) - size), size)
-            hit = np.minimum(np.searchsorted(own, shingle[items]), len(own) - 1)
-            low = np.where(own[hit] == shingle[items], np.minimum(own_weight[hit], weight[items]), 0.0)
-            shared = np.bincount(np.repeat(np.arange(len(near)), size), low, len(near))
+            mine = slice(bound[i], bound[i + 1])
+            own[code[mine]] = weight[mine]
+            count = bound[near + 1] - bound[near]
+            items = np.arange(count.sum()) + np.repeat(bound[near] - (np.cumsum(count) - count), count)
+            shared = np.bincount(np.repeat(np.arange(len(near)), count), np.minimum(own[code[items]], weight[items]), len(near))
+            own[code[mine]] = 0
             for j in near[shared >= threshold * (total[i] + total[near] - shared)]:
                 if top[j] != top[i]:
                     a.append(min(nid[i], nid[j]))
