@@ -550,6 +550,19 @@ def test_large_buckets_are_refined(spark, monkeypatch):
     assert near_dedup.near_classes(df).select("class_id").distinct().count() <= 3
 
 
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    """Every two members of different classes of a bucket beyond the bound share a bounded group, on sides that are compared."""
+    monkeypatch.setattr(near_dedup, "GROUP", 64)
+    roots = {n: n % 40 if n % 3 else 0 for n in range(200)}
+    rows = spark.createDataFrame([(n, 7, r, 100) for n, r in roots.items()], "nid long, bucket long, root long, chars long")
+    groups = defaultdict(lambda: ([], []))
+    for r in near_dedup.blocks(rows).collect():
+        groups[r["bucket"]][r["side"] - 1].append(r["nid"])
+    met = {frozenset((a, b)) for first, second in groups.values() for a in first for b in second}
+    assert all(frozenset((a, b)) in met for a in roots for b in roots if roots[a] != roots[b])
+    assert max(len(a) + len(b) for a, b in groups.values()) <= 64
+
+
 def test_leaders_of_different_classes_meet(spark):
     """In a bucket {0, 1, 2} with 0 and 1 in one class, 1 still meets 2."""
     rng = random.Random(10)

@@ -13,7 +13,10 @@
    bucket's leader after that, it meets all three leaders of the bucket. In
    buckets that then still hold more than one class, members meet those of other
    classes. Buckets of more than ``GROUP`` members or ``GROUP_CHARS`` characters
-   are refined by further samples first, so no group is unbounded.
+   are refined by further samples first, and those of their members that are
+   still in different classes then meet block by block, so no group is unbounded.
+   No bucket is capped. The work on a large bucket grows with its members times
+   those outside its largest class.
 4. A pair that met becomes a link when the exact weighted Jaccard similarity of
    the two whole texts is at least ``threshold``. Pairs that agree in fewer than
    ``SCREEN`` of the samples (five standard deviations below) are passed over.
@@ -295,8 +298,15 @@ def links(nodes: DataFrame, df: DataFrame, text_col: str, idf, threshold: float)
     members = bounded(whole, nodes)
     if members is not None:
         known = nodes.select("nid", "samples").join(texts, "nid")
+        rooted = lambda rows, root: rows.join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
         found = cut(found.union(links_within(members.join(known, "nid"), idf, threshold)))
         release(nodes)
+        # The parts of a large bucket met apart from each other; now all of its members that are still in different classes meet.
+        large = whole.filter(f"n > {GROUP} OR sum > {GROUP_CHARS}").select("nid", "bucket", "chars")
+        if not large.isEmpty():
+            pairs_of_blocks = blocks(rooted(large, components(found)))
+            found = cut(found.union(links_within(pairs_of_blocks.join(known, "nid"), idf, threshold)))
+            release(nodes)
     return cut(found.distinct())
 
 
@@ -328,7 +338,8 @@ def mixed(rows: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
 def bounded(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(nid, bucket, root, side): parts of buckets with more than one class, none of more than ``GROUP`` members or ``GROUP_CHARS`` characters (two always fit).
 
-    Larger ones are refined by ever more samples, of other bands, until they are small enough.
+    Larger ones are refined by ever more samples, of other bands, until they are small enough. That joins most
+    of what belongs together at little cost; ``blocks`` lets the parts meet.
     """
     out, round_ = None, 0
     rows = rows.select("nid", "band", "bucket", "root", "chars")
@@ -353,6 +364,25 @@ def bounded(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
         round_ += 1
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """(nid, bucket, root, side): pairs of blocks of large buckets, in which every two members of different classes meet.
+
+    Of two members in different classes at least one is outside the largest class of the bucket. Those (side 1)
+    are dealt into blocks, and so are all members (side 2); each block of the first meets each of the second.
+    A block has about a quarter of what ``GROUP`` and ``GROUP_CHARS`` allow.
+    """
+    by_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    needed = lambda n, chars: F.ceil(F.greatest(n * 4 / GROUP, chars * 4 / GROUP_CHARS, F.lit(1))).cast("int")
+    outside = main.select("bucket", F.col("main.root").alias("main"), needed(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("k1"), needed(F.col("n"), F.col("chars")).alias("k2"), (F.col("n") > F.col("main.n")).alias("apart"))
+    rows = cut(rows.join(cut(outside.filter("apart").drop("apart")), "bucket"))
+    deal = lambda k: F.pmod(F.xxhash64("nid"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    first = rows.filter("root <> main").select("nid", "bucket", "root", F.lit(1).alias("side"), deal("k1").alias("x"), each("k2").alias("y"))
+    second = rows.select("nid", "bucket", "root", F.lit(2).alias("side"), each("k1").alias("x"), deal("k2").alias("y"))
+    return first.union(second).select("nid", F.xxhash64("bucket", "x", "y").alias("bucket"), "root", "side")
+
+
 def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b) that join different classes within a group; at most one fewer than its members.
 
