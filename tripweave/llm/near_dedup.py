@@ -48,7 +48,7 @@ from tripweave.llm.textbatch import U, TextBatch, chunks, mix64, shingle_sets
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-SCREEN, CLOSE = 0.55, 0.68
+SCREEN = 0.55
 GROUP, GROUP_CHARS = 2048, 16_000_000
 SCRAMBLE = 0x155A5A5A5A5A5A55
 FLOOR = 0.95
@@ -386,7 +386,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b) that join different classes within a group; at most one fewer than its members.
 
-    Members are compared exactly where they agree in ``CLOSE`` of the samples and are not yet in one class:
+    Members are compared exactly where they agree in ``SCREEN`` of the samples and are not yet in one class:
     each of side 0 with each other, each of side 1 with each of side 2.
     """
 
@@ -410,7 +410,7 @@ def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
         for i in who:
             meets = (side == 2) if side[i] else (main | (place > i))
             near = np.flatnonzero(meets & (top != top[i]))
-            near = near[(drawn[near] == drawn[i]).sum(axis=1) >= int(CLOSE * SAMPLES)]
+            near = near[(drawn[near] == drawn[i]).sum(axis=1) >= int(SCREEN * SAMPLES)]
             if not len(near):
                 continue
             mine = slice(bound[i], bound[i + 1])
