@@ -328,6 +328,30 @@ def test_licenses(spark, hostile, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_other_lengths():
+    """Notices with words put in or left out, amid other text, against all windows of all lengths."""
+    k = license_scan.Templates()
+    rng = random.Random(12)
+    other = lambda n: " ".join("x%d" % rng.randrange(10**6) for _ in range(n))
+    w = license_scan.TEMPLATES[3][1].split(" ")
+    cases = [[*w[:40], other(20), *w[40:]], w[: int(len(w) * 0.7)], [*w[:40], other(60), *w[40:]], w[: len(w) // 2]]
+    texts = [" ".join([other(60), *c, other(60)]) for c in cases]
+    got = license_scan._columns(k, texts, license_scan.THRESHOLD)
+    for i, t in enumerate(texts):
+        grams = TextBatch([t], license_scan.FOLD).windows(2)[1].tolist()
+        c, m = k.counts[3], len(k.grams[3])
+        best = 0.0
+        for s in range(len(grams)):
+            seen, shared = Counter(), 0
+            for e, g in enumerate(grams[s:], 1):
+                shared += seen[g] < c[g]
+                seen[g] += 1
+                best = max(best, 2 * shared / (m + e))
+        assert (got[0][i].as_py() == "MIT") == (best >= license_scan.THRESHOLD)
+        assert got[1][i].as_py() == pytest.approx(best if best >= license_scan.THRESHOLD else 0.0)
+    assert [x.as_py() for x in got[0]] == ["MIT", "MIT", None, None]
+
+
 # ------------------------------------------------------------- 6 classifier
 
 

@@ -8,7 +8,9 @@ m * t / (2 - t) <= n <= m * (2 - t) / t, and then shares at least
 t * (m + n) / 2 bigrams. Texts with fewer words than the lower bound, or with
 fewer of the template's bigrams in all, are pruned without a comparison. The
 windows are the template's own number of words, laid so that one shared bigram
-is in its place; they are compared in full, bigrams counted with repeats.
+is in its place; they are compared in full, bigrams counted with repeats. Where
+none of them reaches the threshold, windows of all lengths within the bounds
+follow, from one shared bigram to another: no other window scores more.
 
 Defined results: a null or empty text has no licence; of equal scores the
 template listed first and the leftmost window win; equal rows score alike.
@@ -16,6 +18,7 @@ template listed first and the leftmost window win; equal rows score alike.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -99,7 +102,7 @@ def best_match(k: Templates, place: list[int], gram: list[int], all_grams: np.nd
     best: tuple = (None, 0.0, -1, 0)
     found = set()
     for t in sorted(seen):
-        m = len(k.grams[t])
+        m, any_ = len(k.grams[t]), False
         least, _ = size_bounds(m, threshold)
         if len(all_grams) < least or 2 * sum(seen[t].values()) < threshold * (m + least):
             continue
@@ -110,12 +113,43 @@ def best_match(k: Templates, place: list[int], gram: list[int], all_grams: np.nd
                 continue
             score = dice(k.counts[t], Counter(window.tolist()))
             if score >= threshold:
+                any_ = True
                 found.add(k.names[t])
                 if score > best[1]:
                     best = (k.names[t], score, start, len(window) + 1)
+        if not any_:
+            score, start, size = best_window(k.counts[t], m, place, gram, threshold)
+            if score >= threshold:
+                found.add(k.names[t])
+                if score > best[1]:
+                    best = (k.names[t], score, start, size + 1)
     return (*best, len(found))
 
 
+def best_window(counts: Counter, m: int, place: list[int], gram: list[int], threshold: float) -> tuple[float, int, int]:
+    """(score, first bigram, number of bigrams) of the best window of any length within the size bounds."""
+    least, most = size_bounds(m, threshold)
+    need = max(1, math.ceil(threshold * (m + least) / 2 - 1e-9))
+    hits = [(p, g) for p, g in zip(place, gram, strict=True) if g in counts]
+    best = (0.0, -1, 0)
+    for i in range(len(hits) - need + 1):
+        start = hits[i][0]
+        if hits[i + need - 1][0] - start + 1 > most:
+            continue
+        shared, used = 0, Counter()
+        for p, g in hits[i : i + int(most) + 1]:
+            size = p - start + 1
+            if size > most:
+                break
+            if used[g] < counts[g]:
+                used[g] += 1
+                shared += 1
+                score = 2 * shared / (m + size)
+                if score > best[0]:
+                    best = (score, start, size)
+    return best
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """Per row: id, license (null if none), score, first_word, n_words, n_licenses."""
     known = Templates(templates)
