@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, rows_of
-from tripweave.llm import exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, sentencepiece_codec, url_filter, warc
+from tripweave.llm import common, exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, sentencepiece_codec, url_filter, warc
 from tripweave.llm.textbatch import TextBatch, chunks, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -565,42 +565,109 @@ def test_samples_estimate_similarity():
         assert abs((drawn[i] == drawn[j]).mean() - exact) < 0.2
 
 
-def test_large_buckets_are_refined(spark, monkeypatch):
-    """Groups beyond the bound are split, and their links are still found."""
-    rng = random.Random(8)
-    a = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
-    df = spark.createDataFrame([(i, near_copy(a, rng, 3)) for i in range(60)], "doc_id long, text string")
-    monkeypatch.setattr(near_dedup, "GROUP", 8)
-    assert near_dedup.near_classes(df).select("class_id").distinct().count() <= 3
+def brute_classes(rows, idf, threshold=0.8):
+    """Least id of each document's class, from all pairs that share a shingle; weights are occurrences times idf."""
+    sets, where = {}, defaultdict(list)
+    for i, t in rows:
+        doc, shingle, weight = near_dedup.weighted_sets([t or ""], idf)
+        sets[i] = dict(zip(shingle.tolist(), weight.tolist(), strict=True)) or {("text", t or ""): 1.0}
+        for x in sets[i]:
+            where[x].append(i)
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for l in where.values():
+        for k, i in enumerate(l):
+            for j in l[k + 1 :]:
+                if find(i) != find(j):
+                    shared = sum(min(w, sets[j][x]) for x, w in sets[i].items() if x in sets[j])
+                    if shared >= threshold * (sum(sets[i].values()) + sum(sets[j].values()) - shared):
+                        root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_near_query_matches_brute_force(spark, monkeypatch, group):
+    """Classes over the whole table equal those of an exhaustive search; with tiny groups too, where blocks meet."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_classes([(r["doc_id"], r["text"]) for r in documents.collect()], near_dedup.idf_table(documents, "text"))
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    size = Counter(want.values())
+    assert all(r["class_size"] == size[r["class_id"]] for r in got.values())
+
+
+def test_idf_weighs_what_is_frequent_less():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(40.0, near_dedup.CELLS).astype(float)
+    counts[[5, 77]] += [2000, 90_000]
+    idf = near_dedup.idf_of(counts, 100_000)
+    assert (idf > 0.999).mean() > 0.9999  # a crowded sketch leaves rare shingles alone
+    assert 0.8 <= idf[77] < 0.81 and 0.85 < idf[5] < 0.88
 
 
-def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
-    """Every two members of different classes of a bucket beyond the bound share a bounded group, on sides that are compared."""
+@pytest.mark.parametrize("group", [1024, 8])
+def test_star_and_chain_are_one_class(spark, monkeypatch, group):
+    """Copies alike to the original alone, and versions alike to their neighbours alone, come out as one class each."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    rng = random.Random(8)
+    star = " ".join(f"w{rng.randrange(50000)}" for _ in range(600))
+    rows = [(9999, star)] + [(i, near_copy(star, rng, 10)) for i in range(300)]
+    chain = " ".join(f"v{rng.randrange(50000)}" for _ in range(600))
+    for i in range(40):
+        rows.append((20_000 + i, chain))
+        w = chain.split(" ")
+        w[i * 15 : i * 15 + 12] = ["u%d" % rng.randrange(10**9) for _ in range(12)]
+        chain = " ".join(w)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    cls = {r["doc_id"]: r["class_id"] for r in got.collect()}
+    far = [len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) / len(shingles(rows[i][1]) | shingles(rows[i + 1][1])) for i in range(1, 300)]
+    assert max(far) < 0.8
+    assert {c for i, c in cls.items() if i < 10_000} == {0} and {c for i, c in cls.items() if i >= 20_000} == {20_000}
+
+
+def test_components_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "EDGES", 50)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(300) if i % 60 != 59] + [(rng.randrange(1000, 1200), rng.randrange(1200, 1400)) for _ in range(200)]
+    root = {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    tables = common.Scratch(spark)
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long").repartition(7)
+    got = {r["nid"]: r["root"] for r in near_dedup.components(df, tables).collect()}
+    assert got == {i: find(i) for i in root}
+    tables.close()
+
+
+def test_mixed_groups_meet_and_are_bounded(spark, monkeypatch):
+    """Every two members of different classes of a bucket share a bounded group, on sides that are compared."""
     monkeypatch.setattr(near_dedup, "GROUP", 64)
     roots = {n: n % 40 if n % 3 else 0 for n in range(200)}
-    rows = spark.createDataFrame([(n, 7, r, 100) for n, r in roots.items()], "nid long, bucket long, root long, chars long")
-    groups = defaultdict(lambda: ([], []))
-    for r in near_dedup.blocks(rows).collect():
-        groups[r["bucket"]][r["side"] - 1].append(r["nid"])
-    met = {frozenset((a, b)) for first, second in groups.values() for a in first for b in second}
+    members = spark.createDataFrame([(n, 100, 7, 200) for n in roots] + [(n, 100, 8, 20) for n in range(20)], "nid long, chars long, bucket long, n long")
+    root = spark.createDataFrame(list(roots.items()), "nid long, root long")
+    tables = common.Scratch(spark)
+    groups = defaultdict(lambda: ([], [], []))
+    for r in near_dedup.mixed_groups(members, root, tables).collect():
+        groups[r["bucket"]][r["side"]].append(r["nid"])
+    met = {frozenset((a, b)) for _, first, second in groups.values() for a in first for b in second}
     assert all(frozenset((a, b)) in met for a in roots for b in roots if roots[a] != roots[b])
-    assert max(len(a) + len(b) for a, b in groups.values()) <= 64
+    assert max(sum(map(len, g)) for g in groups.values()) <= 64
+    assert [sorted(own) for own, _, _ in groups.values() if own] == [list(range(20))]
+    tables.close()
 
 
-def test_leaders_of_different_classes_meet(spark):
-    """In a bucket {0, 1, 2} with 0 and 1 in one class, 1 still meets 2."""
-    rng = random.Random(10)
-    a = " ".join(f"w{rng.randrange(50000)}" for _ in range(300))
-    texts = [a, near_copy(a, rng, 4)]
-    texts.append(near_copy(texts[1], rng, 4))
-    idf = np.ones(near_dedup.CELLS, np.float32)
-    _, drawn = near_dedup.samples(*near_dedup.weighted_sets(texts, idf), 3)
-    nodes = spark.createDataFrame([(i, drawn[i].tolist(), t) for i, t in enumerate(texts)], "nid long, samples array<int>, text string")
-    root = spark.createDataFrame([(0, 0), (1, 0)], "nid long, root long")
-    whole = near_dedup.mixed(nodes.selectExpr("nid", "0 AS band", "7L AS bucket"), root, nodes.select("nid", "text"))
-    members = near_dedup.bounded(whole, nodes)
-    found = near_dedup.links_within(members.join(nodes, "nid"), spark.sparkContext.broadcast(idf), 0.8)
-    assert [(r["a"], r["b"]) for r in found.collect()] == [(1, 2)]
+def test_chunks_are_bounded_in_rows():
+    texts = ["a"] * 70_000
+    assert sum(len(shingle_sets(TextBatch(t), 5)[0]) for _, t in chunks(pa.array(texts))) == 70_000
+    with pytest.raises(ValueError):
+        shingle_sets(TextBatch(texts), 5)
 
 
 # ------------------------------------------------------------- queries

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from functools import reduce
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][\w+.-]*:", path) else (pafs.LocalFileSystem(), path)
+
+
+class Scratch:
+    """Written tables of one run in the shared folder: they cut lineage, survive lost executors, and go when ``close`` is called."""
+
+    def __init__(self, spark: SparkSession):
+        self.path, self.n = f"{ensure_shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        self.n += 1
+        where = f"{self.path}/{self.n}"
+        df.write.parquet(where)
+        return df.sparkSession.read.schema(df.schema).parquet(where)
+
+    def close(self) -> None:
+        """Delete all tables; what is still lazy must not refer to them."""
+        system, path = file_system(self.path)
+        if system.get_file_info(path).type != pafs.FileType.NotFound:
+            system.delete_dir(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only when the counted ``rows`` are within ``limit``; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

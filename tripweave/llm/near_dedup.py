@@ -1,60 +1,68 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles of five words are counted over all texts in a sketch of fixed size
-   (``CELLS`` counters; the mean load is subtracted), which gives every shingle
-   an idf: ``FLOOR`` + (1 - ``FLOOR``) * ln(N / df) / ln(N). The
-   high floor keeps what many copies share from vanishing against what an edit
-   adds: with a lower one, large groups of near copies fall apart.
+   (``CELLS`` counters), which gives every shingle an idf: ``FLOOR`` +
+   (1 - ``FLOOR``) * ln(N / df) / ln(N). What a counter holds above the common
+   load of all counters is the frequency; what does not rise out of their spread
+   counts as rare, so a crowded sketch adds no noise. The floor keeps what many
+   copies share from vanishing against what an edit adds: with a lower one,
+   large groups of near copies fall apart.
 2. Each text draws ``BANDS * ROWS`` consistent weighted samples (Ioffe's
    improved scheme): two texts agree in a sample with the probability of their
    weighted Jaccard similarity. Equal texts collapse into one node first.
-3. Nodes that share a band form a bucket with three leaders. Each node first
-   meets the least leader of its buckets. Where it is not in a class with its
-   bucket's leader after that, it meets all three leaders of the bucket. In
-   buckets that then still hold more than one class, members meet those of other
-   classes. Buckets of more than ``GROUP`` members or ``GROUP_CHARS`` characters
-   are refined by further samples first, and those of their members that are
-   still in different classes then meet block by block, so no group is unbounded.
-   No bucket is capped. The work on a large bucket grows with its members times
-   those outside its largest class.
-4. A pair that met becomes a link when the exact weighted Jaccard similarity of
+3. Nodes that share a band form a bucket. The leader of a bucket is the member
+   whose buckets are largest: in a group of copies that is the text nearest to
+   all others. Each node meets the strongest of its leaders, and the two members
+   of a bucket of two meet.
+4. In buckets that then still hold more than one class, members of different
+   classes meet. Buckets of more than ``GROUP`` members or ``GROUP_CHARS``
+   characters are dealt into pairs of blocks: whoever is outside the largest
+   class meets all, so no group is unbounded and no bucket is capped. The work
+   on a large bucket grows with its members times those outside its largest class.
+5. A pair that met becomes a link when the exact weighted Jaccard similarity of
    the two whole texts is at least ``threshold``. Pairs that agree in fewer than
    ``SCREEN`` of the samples (five standard deviations below) are passed over.
-5. Classes are the connected components of the links, by repeated minima with
-   pointer jumping.
+6. Classes are the connected components of the links: partitions contract their
+   edges by union-find, and rounds of minima join what is left.
 
 Defined results: texts without words (null, empty, white space) are in a class
 only with texts equal to them (null counts as empty); texts of one to four
-words have one shingle of all their words; null ids sort last; an empty table
-gives an empty result. Columns of the input never clash with working columns,
-because only id and text are read, and ``keep_one`` returns the input's own.
+words have one shingle of all their words; very long texts count whole, and two
+of them form a group even beyond ``GROUP_CHARS``; equal similarities need no
+order, as classes don't depend on it; repeated rows are in one class; null ids
+sort last; an empty table gives an empty result. Columns of the input never
+clash with working columns, because only id and text are read, and ``keep_one``
+returns the input's own.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import cut
+from tripweave.llm.common import Scratch, cut
 from tripweave.llm.exact_dedup import BLOCK_BITS, _positions
-from tripweave.llm.textbatch import U, TextBatch, chunks, mix64, shingle_sets
+from tripweave.llm.textbatch import CHUNK_ROWS, U, TextBatch, chunks, mix64, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 SCREEN = 0.55
-GROUP, GROUP_CHARS = 2048, 16_000_000
-SCRAMBLE = 0x155A5A5A5A5A5A55
-FLOOR = 0.95
+GROUP, GROUP_CHARS = 1024, 8_000_000
+FAN = 4096  # members that meet one copy of a leader
+FLOOR = 0.8
+SPREAD = 6.0  # standard deviations by which a counter must rise above the common load
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 SLICE = 4096  # counters in a row of the sketch
+EDGES = 1_000_000  # contracted at once
 _SALT = mix64(np.arange(1, SAMPLES + 1, dtype=np.int64).view(U) * U(0x9E3779B97F4A7C15))
 
 
@@ -78,6 +86,14 @@ def cell(shingle: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- idf
 
 
+def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
+    """The idf of every cell from the texts counted in it, of ``n`` texts in all."""
+    load = np.median(counts)
+    spread = max(1.4826 * np.median(np.abs(counts - load)), np.sqrt(load))
+    frequency = np.where(counts > load + SPREAD * spread, np.clip(counts - load, 1, max(n, 1)), 1)
+    return (FLOOR + (1 - FLOOR) * np.log(max(n, 1) / frequency) / max(np.log(max(n, 2)), 1e-9)).astype(np.float32)
+
+
 def idf_table(df: DataFrame, text_col: str) -> np.ndarray:
     """The idf of every cell, float32: CELLS * 4 = 4 MB whatever the input."""
 
@@ -106,14 +122,12 @@ def idf_table(df: DataFrame, text_col: str) -> np.ndarray:
     # Two levels, so that no group gathers a row from every task.
     sums = parts.groupBy("slice", "pick").applyInPandas(add, kind).groupBy("slice").applyInPandas(add, kind)
     counts, n = np.zeros((CELLS // SLICE, SLICE), np.float64), 0
-    for row in sums.select("slice", "counts", "n").toLocalIterator():  # at most CELLS / SLICE rows
+    for row in sums.select("slice", "counts", "n").collect():  # at most CELLS / SLICE + 1 rows of 32 KB
         if row["slice"] < 0:
             n = row["n"]
         else:
             counts[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
-    load = counts.sum() / CELLS
-    frequency = np.clip(counts.reshape(-1) - load, 1, max(n, 1))
-    return (FLOOR + (1 - FLOOR) * np.log(max(n, 1) / frequency) / max(np.log(max(n, 2)), 1e-9)).astype(np.float32)
+    return idf_of(counts.reshape(-1), n)
 
 
 # ---------------------------------------------------------------- samples
@@ -168,62 +182,86 @@ def text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def sample_nodes(df: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, node, samples); samples are null for texts without a word."""
+def sample_nodes(df: DataFrame, idf: Broadcast, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, node, chars, samples); samples are null for texts without a word."""
 
     def run(batches):
         table = idf.value
         for batch in batches:
-            for at, texts in chunks(batch.column(2)):
+            for at, texts in chunks(batch.column(3)):
                 who, drawn = samples(*weighted_sets(texts, table), len(texts))
                 has = np.zeros(len(texts), bool)
                 has[who] = True
                 offsets = np.concatenate([[0], np.cumsum(has * SAMPLES)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(drawn.reshape(-1)), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), lists], names=["id", "node", "samples"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in batch.columns[:3]], lists], names=["id", "node", "chars", "samples"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    read = df.select(F.col(id_col).alias("id"), text_node(F.col(text_col)).alias("node"), F.col(text_col))
-    return read.mapInArrow(run, f"id {kind}, node binary, samples array<int>")
+    text = F.col(text_col)
+    read = df.select(F.col(id_col).alias("id"), text_node(text).alias("node"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), text)
+    return read.mapInArrow(run, f"id {kind}, node binary, chars long, samples array<int>")
 
 
-# ---------------------------------------------------------------- pairs
-
-
-def estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, agree): in how many samples the two nodes agree."""
-    drawn = lambda n, s: nodes.select(F.col("nid").alias(n), F.col("samples").alias(s))
-    both = pairs.join(drawn("a", "sa"), "a").join(drawn("b", "sb"), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.select("a", "b", agree.alias("agree"))
+def numbered_nodes(rows: DataFrame) -> DataFrame:
+    """One row for each node: nid (a number within this run), node, id (the least), n, chars, samples."""
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("samples").alias("samples"))
+    return nodes.withColumn("nid", F.monotonically_increasing_id())
 
 
-def texts_of(wanted: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
-    """(nid, text) of the wanted nodes; a Bloom filter keeps all other texts from being shuffled."""
-    wanted = cut(wanted.join(nodes.select("nid", "node"), "nid"))
-    texts = df.select(text_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.filter(maybe_in(wanted, "node")).groupBy("node").agg(F.first("text").alias("text"))
-    return cut(texts.join(wanted, "node").select("nid", "text"))
+# ---------------------------------------------------------------- candidates
 
 
-def verify(near: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity of the whole texts reaches the threshold."""
+def buckets_of(nodes: DataFrame, tables: Scratch) -> DataFrame:
+    """(nid, chars, bucket, n, lead, strength): members of buckets of two or more with their leader, whose buckets have ``strength`` members in all."""
+    hashes = F.array(*[F.xxhash64(F.lit(b), F.slice("samples", b * ROWS + 1, ROWS)) for b in range(BANDS)])
+    keys = nodes.filter("samples IS NOT NULL").select("nid", "chars", F.explode(hashes).alias("bucket"))
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    own = keys.join(sizes, "bucket").groupBy("nid", "chars").agg(F.sum("n").alias("strength"), F.collect_list(F.struct("bucket", "n")).alias("own"))  # at most BANDS each
+    members = tables.keep(own.select("nid", "chars", "strength", F.inline("own")))
+    leads = members.groupBy("bucket").agg(F.max(F.struct("strength", (-F.col("nid")).alias("rev"))).alias("top"))
+    leads = leads.select("bucket", (-F.col("top.rev")).alias("lead"), F.col("top.strength").alias("strength"))
+    return tables.keep(members.drop("strength").join(leads, "bucket"))
 
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            at = 0
-            while at < len(left):
-                to, held = at, 0
-                while to < len(left) and (to == at or held < 1_000_000):
-                    held += len(left[to]) + len(right[to])
-                    to += 1
-                similar = pa.array(weighted_jaccard(left[at:to], right[at:to], idf.value) >= threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)], names=["a", "b"]).filter(similar)
-                at = to
 
-    both = near.join(texts.withColumnsRenamed({"nid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "text": "tb"}), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def texts_of(members: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, tables: Scratch) -> DataFrame:
+    """(nid, samples, text) of all members; a Bloom filter keeps most other texts from being shuffled."""
+    wanted = tables.keep(members.select("nid").distinct().join(nodes.select("nid", "node", "samples"), "nid"))
+    texts = df.select(text_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.filter(maybe_in(wanted, "node")).groupBy("node").agg(F.first("text").alias("text"))
+    return tables.keep(texts.join(wanted, "node").select("nid", "samples", "text"))
+
+
+def led_pairs(members: DataFrame) -> DataFrame:
+    """(nid, lead, n): each node with the strongest of its leaders, and the members of buckets of two."""
+    best = members.groupBy("nid").agg(F.max_by(F.struct("lead", "n"), F.struct("strength", -F.col("lead"), "n")).alias("best")).select("nid", "best.*")
+    twos = members.filter("n = 2").select("nid", "lead", "n")
+    return best.union(twos).filter("nid <> lead").groupBy("nid", "lead").agg(F.max("n").alias("n"))
+
+
+def met_links(pairs: DataFrame, known: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """Links (a, b) among pairs (nid, lead, n). A leader of many is copied, ``FAN`` members to a copy, so that no task meets all of them."""
+    copies = lambda n: F.ceil(n / FAN)
+    left = pairs.withColumn("salt", F.pmod(F.xxhash64("nid"), copies(F.col("n")))).select("nid", "lead", "salt")
+    leads = pairs.groupBy("lead").agg(F.max("n").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies(F.col("n")) - 1)))
+    leads = leads.select("lead", "salt").join(known.select(F.col("nid").alias("lead"), F.col("samples").alias("ls"), F.col("text").alias("lt")), "lead")
+    both = left.join(known, "nid").join(leads, ["lead", "salt"]).select("lead", "nid", "ls", "samples", "lt", "text")
+    return both.mapInArrow(lambda batches: (out for b in batches for out in _verified(b, idf.value, threshold)), "a long, b long")
+
+
+def _verified(batch: pa.RecordBatch, idf: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) whose samples pass the screen and whose exact weighted Jaccard similarity reaches the threshold."""
+    drawn = [c.flatten().to_numpy().reshape(-1, SAMPLES) for c in batch.columns[2:4]]
+    batch = batch.filter(pa.array((drawn[0] == drawn[1]).sum(axis=1) >= int(SCREEN * SAMPLES)))
+    a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    sizes = np.cumsum(np.add(*[pa.compute.utf8_length(c).to_numpy() for c in batch.columns[4:6]])) if len(a) else a
+    at = 0
+    while at < len(a):
+        to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000)) + 1
+        to = min(to, at + CHUNK_ROWS, len(a))
+        left, right = (c.slice(at, to - at).to_pylist() for c in batch.columns[4:6])
+        hit = weighted_jaccard(left, right, idf) >= threshold
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(a[at:to], b[at:to])[hit], "b": np.maximum(a[at:to], b[at:to])[hit]})
+        at = to
 
 
 def weighted_jaccard(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
@@ -261,7 +299,7 @@ def maybe_in(wanted: DataFrame, col: str, bits_per_row: int = 16, max_blocks: in
 
     table = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
     marks = wanted.select(F.xxhash64(col).alias("h")).mapInArrow(mark, "block int, bits binary")
-    for row in marks.groupBy("block").applyInPandas(merge, "block int, bits binary").toLocalIterator():
+    for row in marks.groupBy("block").applyInPandas(merge, "block int, bits binary").collect():  # at most max_blocks rows of 8 KB
         table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     shared = wanted.sparkSession.sparkContext.broadcast(table)
 
@@ -274,113 +312,34 @@ def maybe_in(wanted: DataFrame, col: str, bits_per_row: int = 16, max_blocks: in
     return F.pandas_udf(probe, "boolean")(F.xxhash64(F.col(col)))
 
 
-def links(nodes: DataFrame, df: DataFrame, text_col: str, idf, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) of nodes, enough to connect every class."""
-    keys = nodes.filter("samples IS NOT NULL").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
-    keys = keys.select("nid", "band", F.xxhash64("band", F.slice("samples", F.col("band") * ROWS + 1, ROWS)).alias("bucket"))
-    open_ = led(keys)
-    if open_.isEmpty():
-        return nodes.limit(0).select(F.col("nid").alias("a"), F.col("nid").alias("b"))
-    texts = texts_of(open_.select("nid").distinct(), nodes, df, text_col)
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        near = estimates(pairs.distinct(), nodes).filter(F.col("agree") >= int(SCREEN * SAMPLES)).select("a", "b")
-        return cut(verify(near, texts, idf, threshold))
-
-    met = lambda rows, lead: rows.filter(F.col("nid") != F.col(lead)).select(F.least(lead, "nid").alias("a"), F.greatest(lead, "nid").alias("b"))
-    # First each node meets the least of its leaders, in which tight groups agree; then, where that left it apart, all leaders.
-    found = tested(met(open_.groupBy("nid").agg(F.min("l1").alias("l1")), "l1"))
-    apart = cut(unsettled(open_, components(found), ["l1"]).filter("NOT settled").select("nid", "l1", "l2", "l3"))
-    found = found.union(tested(met(apart, "l1").union(met(apart, "l2")).union(met(apart, "l3"))))
-    release(nodes)
-    # Where a bucket still holds more than one class, members meet those of other classes.
-    whole = cut(mixed(open_.select("nid", "band", "bucket"), components(found), texts))
-    members = bounded(whole, nodes)
-    if members is not None:
-        known = nodes.select("nid", "samples").join(texts, "nid")
-        rooted = lambda rows, root: rows.join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        found = cut(found.union(links_within(members.join(known, "nid"), idf, threshold)))
-        release(nodes)
-        # The parts of a large bucket met apart from each other; now all of its members that are still in different classes meet.
-        large = whole.filter(f"n > {GROUP} OR sum > {GROUP_CHARS}").select("nid", "bucket", "chars")
-        if not large.isEmpty():
-            pairs_of_blocks = blocks(rooted(large, components(found)))
-            found = cut(found.union(links_within(pairs_of_blocks.join(known, "nid"), idf, threshold)))
-            release(nodes)
-    return cut(found.distinct())
-
-
-def unsettled(open_: DataFrame, root: DataFrame, leads: list[str]) -> DataFrame:
-    """Adds ``settled``: the node is a leader of its bucket or, so far, in a class with one."""
-    rows, settled = open_, F.lit(False)
-    own = root.select(F.col("nid"), F.col("root").alias("r"))
-    rows = rows.join(own, "nid", "left")
-    for lead in leads:
-        theirs = root.select(F.col("nid").alias(lead), F.col("root").alias(f"r_{lead}"))
-        rows = rows.join(theirs, lead, "left")
-        settled = settled | (F.col("nid") == F.col(lead)) | F.coalesce(F.col("r") == F.col(f"r_{lead}"), F.lit(False))
-    return rows.withColumn("settled", settled)
-
-
-def mixed(rows: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
-    """(nid, band, bucket, root, chars, n, sum): buckets of three or more members in more than one class, those of the same members once.
-
-    Two members have met, as both are leaders.
-    """
-    rows = rows.join(root, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    rows = rows.join(texts.select("nid", F.length("text").cast("long").alias("chars")), "nid")
-    marks = [F.bit_xor(F.xxhash64("nid", F.lit(k))).alias(f"mark{k}") for k in range(2)]
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
-    once = sizes.filter("n > 2 AND low < high").groupBy("n", "sum", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
-    return rows.join(once.select("bucket", "n", "sum"), "bucket")
-
-
-def bounded(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """(nid, bucket, root, side): parts of buckets with more than one class, none of more than ``GROUP`` members or ``GROUP_CHARS`` characters (two always fit).
+def mixed_groups(members: DataFrame, root: DataFrame, tables: Scratch) -> DataFrame:
+    """(nid, bucket, root, side): groups of bounded size in which members of different classes of a bucket meet.
 
-    Larger ones are refined by ever more samples, of other bands, until they are small enough. That joins most
-    of what belongs together at little cost; ``blocks`` lets the parts meet.
-    """
-    out, round_ = None, 0
-    rows = rows.select("nid", "band", "bucket", "root", "chars")
-    while True:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"), (F.min("root") == F.max("root")).alias("done"))
-        fits = ((F.col("n") <= GROUP) & (F.col("sum") <= GROUP_CHARS)) | (F.col("n") <= 2)
-        sizes = cut(sizes.filter("n > 1 AND NOT done").select("bucket", fits.alias("fits")))
-        if sizes.isEmpty():
-            return out
-        rows = cut(rows.join(sizes, "bucket"))
-        fit = rows.filter("fits").select("nid", "bucket", "root", F.lit(0).alias("side"))
-        out = fit if out is None else out.union(fit)
-        large = rows.filter("NOT fits").drop("fits")
-        if large.isEmpty():
-            return out
-        more = min(1 + round_, SAMPLES // 2)
-        place = (F.col("band") * ROWS + ROWS + round_ * (round_ + 1) // 2) % (SAMPLES - more + 1) + 1
-        finer = F.xxhash64("bucket", F.slice("samples", place.cast("int"), more))
-        if round_ >= SAMPLES:  # equal in every sample: far above any threshold
-            finer = F.xxhash64("bucket", F.pmod(F.xxhash64("nid"), F.lit(2 << (round_ - SAMPLES))))
-        rows = large.join(nodes.select("nid", "samples"), "nid").select("nid", "band", finer.alias("bucket"), "root", "chars")
-        round_ += 1
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """(nid, bucket, root, side): pairs of blocks of large buckets, in which every two members of different classes meet.
-
-    Of two members in different classes at least one is outside the largest class of the bucket. Those (side 1)
-    are dealt into blocks, and so are all members (side 2); each block of the first meets each of the second.
-    A block has about a quarter of what ``GROUP`` and ``GROUP_CHARS`` allow.
+    Buckets of the same members count once; those of two have met. A bucket of at most ``GROUP`` members and
+    ``GROUP_CHARS`` characters is one group (side 0). In a larger one, of two members in different classes at
+    least one is outside the largest class: those (side 1) are dealt into blocks, and so are all members (side 2),
+    and each block of the first meets each of the second. A block has about a quarter of what a group may have.
     """
-    by_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    rows = members.filter("n > 2").select("nid", "chars", "bucket").join(root, "nid", "left")
+    rows = tables.keep(rows.withColumn("root", F.coalesce("root", "nid")))
+    marks = [F.bit_xor(F.xxhash64("nid", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    by_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), *marks)
+    sums = [F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.bit_xor("mark0").alias("mark0"), F.bit_xor("mark1").alias("mark1")]
+    whole = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "chars")).alias("main"), *sums).filter("main.n < n")
+    once = whole.groupBy("n", "chars", "mark0", "mark1").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("one"))
     needed = lambda n, chars: F.ceil(F.greatest(n * 4 / GROUP, chars * 4 / GROUP_CHARS, F.lit(1))).cast("int")
-    outside = main.select("bucket", F.col("main.root").alias("main"), needed(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("k1"), needed(F.col("n"), F.col("chars")).alias("k2"), (F.col("n") > F.col("main.n")).alias("apart"))
-    rows = cut(rows.join(cut(outside.filter("apart").drop("apart")), "bucket"))
+    n, chars, main = F.col("n"), F.col("chars"), F.col("one.main")
+    small = (n <= GROUP) & (chars <= GROUP_CHARS)
+    plan = once.select(F.col("one.bucket").alias("bucket"), main["root"].alias("main"), small.alias("small"), needed(n - main["n"], chars - main["chars"]).alias("k1"), needed(n, chars).alias("k2"))
+    rows = rows.select("nid", "bucket", "root").join(plan, "bucket")
     deal = lambda k: F.pmod(F.xxhash64("nid"), F.col(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    first = rows.filter("root <> main").select("nid", "bucket", "root", F.lit(1).alias("side"), deal("k1").alias("x"), each("k2").alias("y"))
-    second = rows.select("nid", "bucket", "root", F.lit(2).alias("side"), each("k1").alias("x"), deal("k2").alias("y"))
-    return first.union(second).select("nid", F.xxhash64("bucket", "x", "y").alias("bucket"), "root", "side")
+    each = lambda k, f: F.transform(F.sequence(F.lit(0), F.col(k) - 1), f)
+    place = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    first = F.when(F.col("root") != F.col("main"), each("k2", lambda y: place(deal("k1"), y, 1)))
+    second = each("k1", lambda x: place(x, deal("k2"), 2))
+    places = F.when(F.col("small"), F.array(place(F.lit(0), F.lit(0), 0))).otherwise(F.concat(F.coalesce(first, F.filter(second, lambda _: F.lit(False))), second))
+    rows = rows.select("nid", "bucket", "root", F.inline(places))
+    return rows.select("nid", F.xxhash64("bucket", "x", "y").alias("bucket"), "root", "side")
 
 
 def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
@@ -429,52 +388,91 @@ def links_within(members: DataFrame, idf, threshold: float) -> DataFrame:
     return members.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
-def led(keys: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with three leaders of their bucket: the least, the greatest and the least of scrambled numbers."""
-    leaders = keys.groupBy("bucket").agg(F.min("nid").alias("l1"), F.max("nid").alias("l2"), F.min(F.col("nid").bitwiseXOR(F.lit(SCRAMBLE))).alias("l3"), F.count("*").alias("n"))
-    leaders = cut(leaders.filter("n > 1").select("bucket", "l1", "l2", F.col("l3").bitwiseXOR(F.lit(SCRAMBLE)).alias("l3")))
-    return cut(keys.join(leaders, "bucket"))
+def links(nodes: DataFrame, df: DataFrame, text_col: str, idf: Broadcast, threshold: float, tables: Scratch) -> DataFrame:
+    """Verified pairs (a, b) of nodes, enough to connect every class."""
+    members = buckets_of(nodes, tables)
+    known = texts_of(members, nodes, df, text_col, tables)
+    found = tables.keep(met_links(led_pairs(members), known, idf, threshold))
+    groups = mixed_groups(members, components(found, tables), tables)
+    return found.union(tables.keep(links_within(groups.join(known, "nid"), idf, threshold)))
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete shuffle and checkpoint files of what is no longer referred to; it does so when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+# ---------------------------------------------------------------- classes
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(nid, root): the least node of each connected component."""
-    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("nid"), F.col("b").alias("peer")))
-    root = cut(both.groupBy("nid").agg(F.least("nid", F.min("peer")).alias("root")))
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that edges connect it to) of all ends of the edges."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    root = np.arange(len(ids))
     while True:
-        seen = both.join(root.withColumnsRenamed({"nid": "peer", "root": "r"}), "peer").groupBy("nid").agg(F.min("r").alias("r"))
-        step = root.join(seen, "nid").select("nid", F.least("root", "r").alias("next"), F.col("root").alias("old"))
-        # Pointer jumping: the root of the root.
-        jump = root.withColumnsRenamed({"nid": "next", "root": "far"})
-        moved = cut(step.join(jump, "next").select("nid", F.least("next", "far").alias("root"), "old"))
-        if moved.filter("root <> old").isEmpty():
-            return moved.select("nid", "root")
-        root = moved.select("nid", "root")
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
-def numbered_nodes(rows: DataFrame) -> DataFrame:
-    """One row for each node: nid (a number within this run), node, id (the least), n, samples."""
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("samples").alias("samples"))
-    return cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
+def components(edges: DataFrame, tables: Scratch) -> DataFrame:
+    """(nid, root): the least node of each connected component of edges (a, b).
+
+    Each task contracts its edges, ``EDGES`` at a time, to stars. A node with
+    several centres links them for the next round; every round lowers a centre
+    until each node has one.
+    """
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, root = contracted(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+            return pa.RecordBatch.from_pydict({"nid": ids, "root": root})
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= EDGES:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    while True:
+        few = 1 + edges.count() // EDGES
+        part = tables.keep(edges.select("a", "b").coalesce(few).mapInArrow(stars, "nid long, root long"))
+        # One root for each flush that a node is in.
+        if few == 1 or part.groupBy("nid").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").isEmpty():
+            return part.groupBy("nid").agg(F.min("root").alias("root"))
+        roots = part.groupBy("nid").agg(F.sort_array(F.collect_set("root")).alias("roots"))
+        edges = roots.select(F.explode(F.array_union(F.array("nid"), "roots")).alias("b"), F.col("roots")[0].alias("a")).filter("a <> b")
+        edges = tables.keep(edges.distinct())
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, tables: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, root)."""
+    idf = df.sparkSession.sparkContext.broadcast(idf_table(df, text_col))
+    try:
+        rows = tables.keep(sample_nodes(df, idf, id_col, text_col))
+        nodes = tables.keep(numbered_nodes(rows))
+        root = components(links(nodes, df, text_col, idf, threshold, tables), tables)
+    finally:
+        idf.destroy()
+    return rows, nodes, root
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, class_id (least id of the class), class_size, text_copies."""
-    sc = df.sparkSession.sparkContext
-    idf = sc.broadcast(idf_table(df, text_col))
-    rows = cut(sample_nodes(df, idf, id_col, text_col))
-    nodes = numbered_nodes(rows)
-    root = components(links(nodes, df, text_col, idf, threshold))
-    named = cut(nodes.select("nid", "node", "id", "n").join(root, "nid", "left").select("node", "id", "n", F.coalesce("root", "nid").alias("root")))
-    classes = cut(named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")))
-    named = cut(named.join(classes, "root").select("node", "class_id", "class_size", F.col("n").alias("text_copies")))
-    release(df)
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "text_copies")
+    tables = Scratch(df.sparkSession)
+    try:
+        rows, nodes, root = _classes(df, id_col, text_col, threshold, tables)
+        named = tables.keep(nodes.select("nid", "node", "id", "n").join(root, "nid", "left").select("node", "id", "n", F.coalesce("root", "nid").alias("root")))
+        classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
+        named = named.join(classes, "root").select("node", "class_id", "class_size", F.col("n").alias("text_copies"))
+        return cut(rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "text_copies"))
+    finally:
+        tables.close()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -482,17 +480,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     Rows that tie in the id are told apart by their text, then by all columns.
     """
-    sc = df.sparkSession.sparkContext
-    idf = sc.broadcast(idf_table(df, text_col))
-    rows = cut(sample_nodes(df, idf, id_col, text_col))
-    nodes = numbered_nodes(rows)
-    root = components(links(nodes, df, text_col, idf, threshold)).join(nodes.select("nid", "node", "id"), "nid")
-    best = F.min_by("nid", F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))
-    # Texts that are not the best of their class go; rows of one text collapse.
-    worse = cut(root.join(root.groupBy("root").agg(best.alias("nid")).select("nid"), "nid", "left_anti").select("node"))
-    folded = nodes.filter("n > 1").join(worse, "node", "left_anti").select("node", F.lit(True).alias("fold"))
-    special = cut(worse.withColumn("fold", F.lit(False)).unionByName(folded))
-    release(df)
+    tables = Scratch(df.sparkSession)
+    try:
+        _, nodes, root = _classes(df, id_col, text_col, threshold, tables)
+        root = root.join(nodes.select("nid", "node", "id"), "nid")
+        best = F.min_by("nid", F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))
+        # Texts that are not the best of their class go; rows of one text collapse.
+        worse = root.join(root.groupBy("root").agg(best.alias("nid")).select("nid"), "nid", "left_anti").select("node")
+        worse = tables.keep(worse)
+        folded = nodes.filter("n > 1").join(worse, "node", "left_anti").select("node", F.lit(True).alias("fold"))
+        special = cut(worse.withColumn("fold", F.lit(False)).unionByName(folded))
+    finally:
+        tables.close()
     cols = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.select(F.struct(*cols).alias("row"), text_node(F.col(text_col)).alias("node")).withColumn("maybe", maybe_in(special, "node"))
     suspect = keyed.filter("maybe").join(special, "node", "left")

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporaries at about 50 MB.
 CHUNK_BYTES = 1_000_000
+#: Texts handled at once: fewer than 65,536, so that a text's number fits beside a shingle.
+CHUNK_ROWS = 16_384
 SLICE_ROWS = 256
 
 U = np.uint64
@@ -47,14 +49,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) with nulls as empty, of about ``most`` (CHUNK_BYTES) characters each."""
+    """(position of the first, texts) with nulls as empty, of about ``most`` (CHUNK_BYTES) characters and at most CHUNK_ROWS texts each."""
     most = most or CHUNK_BYTES
     at, held, out = 0, 0, []
     for begin in range(0, len(texts), SLICE_ROWS):
         for t in texts.slice(begin, SLICE_ROWS).to_pylist():
             out.append(t or "")
             held += len(t) if t else 1
-            if held >= most:
+            if held >= most or len(out) >= CHUNK_ROWS:
                 yield at, out
                 at, held, out = at + len(out), 0, []
     if out:
@@ -137,6 +139,8 @@ def shingle_sets(batch: TextBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     A text of fewer than ``k`` words, but at least one, has one shingle of all its words.
     """
+    if batch.n > 65_536:
+        raise ValueError("a batch of more than 65,536 texts: take chunks")
     at, h = batch.windows(k)
     doc = batch.doc[at]
     short = np.flatnonzero((batch.n_words > 0) & (batch.n_words < k))
