@@ -72,6 +72,12 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def row_hash(df: DataFrame, row: str) -> Column:
+    """A hash of the columns of ``df`` that are held in the struct ``row``; columns with maps have none and take no part."""
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*[F.col(f"{row}.`{c}`") for c in hashed])
+
+
 def strip_spaces(text: Column) -> Column:
     """Delete every character of the contracts' white space."""
     return reduce(lambda c, ch: F.replace(c, F.lit(ch), F.lit("")), SPACES, text)
@@ -82,8 +88,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def prefix_sum(df: DataFrame, part: list[str], order: str, value: str, out: str, fan: int = 1024) -> DataFrame:
-    """Exclusive running sum of ``value`` within ``part`` by the dense integer ``order``.
+def prefix_sum(df: DataFrame, part: list[str], order: str, value: str, out: str, fan: int = 1024, kind: str = "long") -> DataFrame:
+    """Exclusive running sum of ``value`` within ``part`` by the integer ``order``.
 
     Two levels, so that no window group holds more than ``fan`` rows of the
     lower level: chunks of ``fan`` are summed first, and the sums prefixed.
@@ -97,6 +103,19 @@ def prefix_sum(df: DataFrame, part: list[str], order: str, value: str, out: str,
     return (
         low.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(chunks, [*part, "_chunk"])
-        .withColumn(out, (F.col("_chunk_base") + F.col("_run")).cast("long"))
+        .withColumn(out, (F.col("_chunk_base") + F.col("_run")).cast(kind))
         .drop("_chunk", "_chunk_base", "_run")
     )
+
+
+def ranked(df: DataFrame, out: str, *order: Column) -> DataFrame:
+    """``df`` with its place 1, 2, .. in the order of the given columns, without a window over all rows.
+
+    Range partitions are sorted on their own and numbered; the counts of the partitions give each its base.
+    The order must be total for reruns to agree.
+    """
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    base = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_k")).select("_part", base.alias("_base"))  # a row for each partition
+    return rows.join(F.broadcast(counts), "_part").withColumn(out, F.col("_base") + F.col("_at") + 1).drop("_part", "_at", "_base")

@@ -47,8 +47,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import Scratch, cut
-from tripweave.llm.exact_dedup import BLOCK_BITS, _positions
+from tripweave.llm.common import Scratch, cut, row_hash
+from tripweave.llm.exact_dedup import maybe_in
 from tripweave.llm.textbatch import CHUNK_ROWS, U, TextBatch, chunks, mix64, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -278,40 +278,6 @@ def weighted_jaccard(left: list[str], right: list[str], idf: np.ndarray) -> np.n
     return shared / np.maximum(total - shared, 1e-30)
 
 
-def maybe_in(wanted: DataFrame, col: str, bits_per_row: int = 16, max_blocks: int = 8192) -> Column:
-    """A column over ``col``: false where it is certainly not in ``wanted`` (a Bloom filter of at most 64 MB)."""
-    n_blocks, rows = 1, wanted.count()
-    while n_blocks < max_blocks and n_blocks * BLOCK_BITS < rows * bits_per_row:
-        n_blocks *= 2
-
-    def mark(batches):
-        for batch in batches:
-            at = np.unique(_positions(batch.column(0).to_numpy(), n_blocks))
-            block = at >> 16
-            for k in np.unique(block):
-                bits = np.zeros(BLOCK_BITS, bool)
-                bits[at[block == k] & 0xFFFF] = True
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(k)], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bits": [bits.tobytes()]})
-
-    table = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-    marks = wanted.select(F.xxhash64(col).alias("h")).mapInArrow(mark, "block int, bits binary")
-    for row in marks.groupBy("block").applyInPandas(merge, "block int, bits binary").collect():  # at most max_blocks rows of 8 KB
-        table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    shared = wanted.sparkSession.sparkContext.broadcast(table)
-
-    def probe(h: pd.Series) -> pd.Series:
-        flat, at = shared.value.reshape(-1), _positions(h.to_numpy(), n_blocks)
-        hit = (flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return pd.Series((hit[: len(h)] & hit[len(h) :]).astype(bool))
-
-    probe.__annotations__ = {"h": pd.Series, "return": pd.Series}
-    return F.pandas_udf(probe, "boolean")(F.xxhash64(F.col(col)))
-
-
 def mixed_groups(members: DataFrame, root: DataFrame, tables: Scratch) -> DataFrame:
     """(nid, bucket, root, side): groups of bounded size in which members of different classes of a bucket meet.
 
@@ -495,7 +461,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     cols = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.select(F.struct(*cols).alias("row"), text_node(F.col(text_col)).alias("node")).withColumn("maybe", maybe_in(special, "node"))
     suspect = keyed.filter("maybe").join(special, "node", "left")
-    rank = F.struct(F.col(f"row.{id_col}").isNull(), F.col(f"row.{id_col}"), F.xxhash64("row"))
+    own = F.col(f"row.`{id_col}`")
+    rank = F.struct(own.isNull(), own, row_hash(df, "row"))
     one = suspect.filter("fold").groupBy("node").agg(F.min_by("row", rank).alias("row"))
     clear = keyed.filter(~F.col("maybe")).select("row").union(suspect.filter("fold IS NULL").select("row"))
     return clear.union(one.select("row")).select("row.*")
