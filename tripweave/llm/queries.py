@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_source_mix")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "pieces")
 
 
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def model_path() -> str:
 
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path()))
+    return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path()), "corrected")
 
 
 @query("op5_license_scan")
