@@ -4,7 +4,9 @@ Writing: each task streams its rows into gzip-compressed WARC/1.1 files of the
 shared folder, one gzip member a record. A member's extra field holds its
 packed and plain length, so a reader can step over it. File names are new for
 each attempt; the committing driver lists the files of the attempts that count
-in ``index.json``, so lost or repeated tasks leave no records behind.
+in an ``index-*.json`` of its own, so lost or repeated tasks leave no records
+behind. Readers take the files of all indexes: mode ``append`` adds to an archive,
+``overwrite`` replaces its earlier indexes and files.
 
 Reading: partitions are runs of whole files, planned by size. A record's headers
 are unpacked first; filters on record_type and on other header columns are
@@ -13,12 +15,19 @@ pass, and not at all with option ``payload=false``. Option ``verify=true``
 compares each unpacked payload with its digest.
 
 A payload equal to that of a ``response`` may be stored as a ``revisit``, which
-holds headers only and names the response it refers to.
+holds headers only and names the response it refers to. Which payloads repeat is
+decided by digest: payloads that certainly occur once go straight to the writer,
+and of the others only headers shuffle, and one payload for each digest.
 
 Defined results: a null payload counts as empty; null ids, urls and references
 are left out and read as null; an empty table writes an archive without files;
 records of equal id, url and payload are written as they come, all but one as
-revisits.
+revisits, and of ids that tie the first row is the response; very long payloads
+are whole records, written and read one at a time; columns of the input other
+than id, url and payload aren't read, so their names can't clash. A file that is
+cut short or no gzip raises ``ValueError``; members of other writers (without
+lengths, or records without our headers) are read by unpacking them, with what
+they lack as null.
 """
 
 from __future__ import annotations
@@ -39,13 +48,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from tripweave.llm.common import ensure_shared_dir
+from tripweave.llm.common import Scratch, cut, ensure_shared_dir, file_system
+from tripweave.llm.exact_dedup import maybe_in, maybe_repeated
 
 SCHEMA = "page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 HEADER_COLUMNS = ("page_id", "record_type", "refers_to", "target_uri", "payload_bytes", "payload_digest")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER_HEAD = struct.Struct("<BBBBIBBH2sHII")  # gzip header with one extra subfield "sl": packed and plain length
+WRITE_ROWS = 64  # made Python objects at once
 HEAD_BYTES = 2048  # unpacked at first to find the end of the headers
 
 
@@ -53,27 +64,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][\w+.-]*:", path) else (pafs.LocalFileSystem(), path)
-
-
 def _clean(value: str) -> str:
     """A header value on one line."""
     return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id, record_type: str, refers_to, uri, payload: bytes) -> bytes:
-    """A WARC record as one gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id, record_type: str, refers_to, uri, payload: bytes | None, size: int | None = None, sha1: str | None = None) -> bytes:
+    """A WARC record as one gzip member. A revisit may come without its payload, with that payload's size and hexadecimal digest."""
+    if payload is not None or sha1 is None:
+        payload = payload or b""
+        size, name = len(payload), digest(payload)
+    else:
+        name = base64.b32encode(bytes.fromhex(sha1)).decode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if record_type == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{name}"]
     if uri is not None:
         lines.append(f"WARC-Target-URI: {_clean(uri)}")
     if record_type == "revisit":
         lines.append(f"WARC-Profile: {PROFILE}")
         if refers_to is not None:
             lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-    lines += [f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     plain = "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, -15)
     packed = pack.compress(plain) + pack.flush()
@@ -112,15 +124,19 @@ def records(data, size: int, wanted=lambda row: True, payload: bool = True, veri
         first = data.read(MEMBER_HEAD.size + HEAD_BYTES)
         if first[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {at}")
-        sized = first[3] == 4 and first[12:14] == b"sl"
+        sized = first[3:4] == b"\x04" and first[12:14] == b"sl" and len(first) >= MEMBER_HEAD.size
         if sized:
             packed_size = MEMBER_HEAD.unpack(first[: MEMBER_HEAD.size])[10]
+            if at + MEMBER_HEAD.size + packed_size + 8 > size:
+                raise ValueError(f"the member at byte {at} is cut short")
             unpack, body = zlib.decompressobj(-15), first[MEMBER_HEAD.size : MEMBER_HEAD.size + packed_size]
         else:  # another writer's member: its end is known only once it is unpacked
             unpack, body, packed_size = zlib.decompressobj(31), first, None
         plain, rest = unpack.decompress(body, 65536), data
         while b"\r\n\r\n" not in plain:
-            more = unpack.unconsumed_tail or rest.read(HEAD_BYTES)
+            more = unpack.unconsumed_tail or (b"" if unpack.eof else rest.read(HEAD_BYTES))
+            if not more:
+                raise ValueError(f"the member at byte {at} ends within its headers")
             plain += unpack.decompress(more, 65536)
         h, begin = parse_headers(plain)
         row = header_row(h)
@@ -154,6 +170,17 @@ def records(data, size: int, wanted=lambda row: True, payload: bool = True, veri
             yield row
 
 
+def indexes(where: str) -> list[tuple[str, list[tuple[str, int]]]]:
+    """(name, its (file, size)) of all indexes of an archive, in order of their names."""
+    system, path = file_system(where)
+    out = []
+    for info in system.get_file_info(pafs.FileSelector(path, allow_not_found=False)):
+        if re.fullmatch(r"index-.*\.json", info.base_name):
+            with system.open_input_stream(info.path) as file:
+                out.append((info.base_name, [tuple(x) for x in json.loads(file.read())]))
+    return sorted(out)
+
+
 @dataclass
 class Files(InputPartition):
     names: list[tuple[str, int]]
@@ -176,9 +203,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        system, path = _system(self.path)
-        with system.open_input_stream(f"{path}/index.json") as file:
-            names = json.loads(file.read())
+        names = sorted(x for _, files in indexes(self.path) for x in files)
         most, runs, held = int(self.options.get("partitionbytes", 64 << 20)), [], 0
         for name, size in names:
             if not runs or held + size > most:
@@ -189,7 +214,7 @@ class WarcReader(DataSourceReader):
         return [Files(x) for x in runs] or [Files([])]
 
     def read(self, partition: Files):
-        system, path = _system(self.path)
+        system, path = file_system(self.path)
         payload, verify = self.options.get("payload", "true") == "true", self.options.get("verify", "false") == "true"
         wanted = lambda row: all(row[c] in values and row[c] is not None for c, values in self.tests)
         rows, held = [], 0
@@ -213,19 +238,19 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
-        self.path, self.most = options["path"], int(options.get("filebytes", 256 << 20))
+        self.path, self.most, self.overwrite = options["path"], int(options.get("filebytes", 256 << 20)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, path = _system(self.path)
+        system, path = file_system(self.path)
         system.create_dir(path, recursive=True)
         files, out, size, name = [], None, 0, ""
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
+                for row in (x for k in range(0, batch.num_rows, WRITE_ROWS) for x in batch.slice(k, WRITE_ROWS).to_pylist()):
                     if out is None:
                         name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    data = record(row["page_id"], row["record_type"], row["refers_to"], row["target_uri"], row["payload"] or b"")
+                    data = record(row["page_id"], row["record_type"], row["refers_to"], row["target_uri"], row["payload"], row["payload_bytes"], row["payload_digest"])
                     out.write(data)
                     size += len(data)
                     if size >= self.most:
@@ -239,14 +264,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
-        system, path = _system(self.path)
+        system, path = file_system(self.path)
         system.create_dir(path, recursive=True)
+        old = indexes(self.path) if self.overwrite else []
         names = sorted(tuple(f) for m in messages if m is not None for f in m.files)
-        with system.open_output_stream(f"{path}/index.json", compression=None) as file:
+        with system.open_output_stream(f"{path}/index-{uuid.uuid4().hex}.json", compression=None) as file:
             file.write(json.dumps(names).encode())
+        for name, files in old:
+            for gone in [name, *[f for f, _ in files]]:
+                system.delete_file(f"{path}/{gone}")
 
     def abort(self, messages):
-        system, path = _system(self.path)
+        system, path = file_system(self.path)
         for m in messages:
             for name, _ in m.files if m is not None else []:
                 system.delete_file(f"{path}/{name}")
@@ -270,20 +299,32 @@ class WarcDataSource(DataSource):
 def plan_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Rows to write: of equal payloads of at least ``min_bytes`` the one of the largest id is the response.
 
-    ``df`` must be a stored table, whose rows are numbered alike each time it is read.
+    ``df`` must be a stored table, whose rows are numbered alike each time it is read. Payloads shuffle
+    only where the row is the response of a digest that repeats (or passes for one in a Bloom filter).
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.withColumn("_sha", F.sha1("payload")).withColumn("_fits", F.octet_length("payload") >= min_bytes)
-    # struct order: null ids below all others, then the first row.
-    first = F.max_by(F.struct("page_id", "_row"), F.struct(F.col("page_id").isNotNull(), F.col("page_id"), -F.col("_row")))
-    groups = rows.filter("_fits").groupBy("_sha").agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(groups.withColumn("_fits", F.lit(True)), ["_sha", "_fits"], "left")
-    again = F.col("_first").isNotNull() & (F.col("_row") != F.col("_first._row"))
-    return joined.select(
-        "page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first.page_id")).alias("refers_to"),
-        "target_uri", F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"), "payload",
+    slim = rows.select("page_id", "target_uri", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha"), "_row").filter(F.col("payload_bytes") >= min_bytes)
+    tables = Scratch(df.sparkSession)
+    try:
+        slim = tables.keep(slim.withColumn("_h", F.xxhash64("_sha")))
+        maybe = maybe_repeated(slim, "_h", slim.count())
+        suspect = tables.keep(slim.filter(maybe).drop("_h"))
+        # struct order: null ids below all others, then the first row.
+        first = F.max_by(F.struct("page_id", "_row"), F.struct(F.col("page_id").isNotNull(), F.col("page_id"), -F.col("_row")))
+        groups = tables.keep(suspect.groupBy("_sha").agg(first.alias("_first")))
+        known = suspect.join(groups, "_sha").withColumn("_again", F.col("_row") != F.col("_first._row"))
+        revisits = known.filter("_again").select("page_id", F.lit("revisit").alias("record_type"), F.col("_first.page_id").alias("refers_to"), "target_uri", "payload_bytes", F.col("_sha").alias("payload_digest"), F.lit(None).cast("binary").alias("payload"))
+        revisits, firsts = cut(revisits), cut(groups.select(F.col("_first._row").alias("_row")))
+    finally:
+        tables.close()
+    once = rows.withColumn("_h", F.xxhash64(F.sha1("payload"))).filter((F.octet_length("payload") < min_bytes) | ~maybe).drop("_h")
+    stay = once.unionByName(rows.filter(maybe_in(firsts, "_row")).join(firsts, "_row", "left_semi").select(*rows.columns))
+    plain = stay.select(
+        "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "target_uri",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"), "payload",
     )
+    return plain.unionByName(revisits)
 
 
 def register(spark: SparkSession) -> None:
@@ -291,10 +332,10 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def archive(df: DataFrame, path: str, **how) -> None:
-    """Write ``df`` as an archive under ``path``, a folder that all executors reach."""
+def archive(df: DataFrame, path: str, mode: str = "append", **how) -> None:
+    """Write ``df`` as an archive under ``path``, a folder that all executors reach; ``mode`` is append or overwrite."""
     register(df.sparkSession)
-    plan_records(df, **how).write.format("warc").mode("append").save(path)
+    plan_records(df, **how).write.format("warc").mode(mode).save(path)
 
 
 def read_archive(spark: SparkSession, path: str, **options: str) -> DataFrame:
