@@ -1,6 +1,6 @@
 """Secret scans with DataFrame functions only.
 
-Three fixed patterns give the base spans. Beside them, runs of 20 or more
+Three fixed patterns give the base spans. Beside them, runs of 16 or more
 credential characters are candidates for a likelihood-ratio test between two
 character Markov models: one of random strings, one of ordinary identifiers.
 Both are bigram tables over 54 symbols (letters by case, digits as one, marks
@@ -11,14 +11,22 @@ exceeds ``MIN_TOTAL`` and ``MIN_MEAN`` a transition, and that touches no base
 span, is added as kind ``markov``.
 
 Offsets of matches follow from the lengths of what the pattern matches and of
-what lies between, so no match position is searched for twice.
+what lies between, so no match position is searched for twice. All folds over
+matches are running sums, maxima or minima in pieces of ``PIECE`` (``running``),
+and a token is split into its characters once, so the time grows with the length
+of a text and the number of its matches, however long a token is.
 
 Defined results: a null text has no spans and counts as empty; offsets count
-code points; without labelled texts the ordinary model is uniform.
+code points; very long texts, tokens and lists of matches are taken whole;
+repeated rows and ids give a row each, with equal spans for equal texts; a table
+without rows gives none; columns of the input other than id and text aren't
+read, so their names can't clash; without labelled texts the ordinary model is
+uniform; of labels that tie in their hash the least id trains.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,32 +36,67 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # of 16 characters or more: the same spans as of AKIA[A-Z0-9]+ with shorter ones dropped
 HEX = r"[0-9a-f]{32,}"  # likewise
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 MIN_SECRET = 8
 MIN_TOTAL, MIN_MEAN = 8.0, 0.35
 TRAIN_DOCS, RANDOM_STRINGS = 300, 4000
 SYMBOLS = 54  # a-z, A-Z, digit, mark
+PIECE = 256
+SPANS = "array<struct<start:int,end:int,token:string>>"
+FAR = 2**31 - 1
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start,end>> of the leftmost non-overlapping matches, in code points."""
-    return _spans(_found(text, pattern), F.split(text, pattern, -1))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Inclusive running results of an associative ``op`` over array<long>, in two levels.
+
+    Appending to an array copies it, so no fold appends more than ``PIECE`` entries at the lower
+    level; at the upper one there is an entry for each piece.
+    """
+
+    def fold(array: Column) -> Column:
+        start = F.struct(F.lit(zero).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            return let(op(state["at"], x), lambda v: F.struct(v.alias("at"), F.array_append(state["out"], v).alias("out")))
 
+        return F.aggregate(array, start, step, lambda state: state["out"])
 
-def _spans(found: Column, between: Column) -> Column:
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(F.element_at(found, i))
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+    def pieces(v: Column) -> Column:
+        each = F.sequence(F.lit(1), F.size(v), F.lit(PIECE))
+        return let(
+            F.transform(each, lambda i: fold(F.slice(v, i, PIECE))),
+            lambda parts: let(
+                fold(F.transform(parts, lambda p: F.element_at(p, -1))),
+                lambda ends: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(let(F.element_at(ends, i), lambda before: F.transform(p, lambda x: op(before, x)))))),
+            ),
+        )
+
+    return let(values, lambda v: F.when(F.size(v) > 0, pieces(v)).otherwise(F.array().cast("array<long>")))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,token>> of the leftmost non-overlapping matches, in code points."""
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def spans(found: Column) -> Column:
+        between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
+        ends = running(F.zip_with(between, F.transform(found, lambda x: F.length(x).cast("long")), lambda b, n: b + F.coalesce(n, F.lit(0))), _sum, 0)
+        return F.zip_with(found, F.slice(ends, 1, F.size(found)), lambda x, end: F.struct((end - F.length(x)).cast("int").alias("start"), end.cast("int").alias("end"), x.alias("token")))
+
+    return let(_found(text, pattern), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(SPANS)))
 
 
 def _if_any(text: Column, pattern: str, spans: Column) -> Column:
@@ -61,15 +104,18 @@ def _if_any(text: Column, pattern: str, spans: Column) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def _symbol(ascii_code: Column) -> Column:
-    """0 to 53 for a character code."""
-    return (
-        F.when(ascii_code.between(97, 122), ascii_code - 97).when(ascii_code.between(65, 90), ascii_code - 39).when(ascii_code.between(48, 57), 52).otherwise(53)
-    )
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def symbols(token: Column) -> Column:
+    """0 to 53 for each character."""
 
+    def symbol(char: Column) -> Column:
+        code = F.ascii(char)
+        return F.when(code.between(97, 122), code - 97).when(code.between(65, 90), code - 39).when(code.between(48, 57), 52).otherwise(53)
 
-def _code(token: Column, i: Column) -> Column:
-    return _symbol(F.ascii(token.substr(i, F.lit(1))))
+    return F.transform(F.split(token, ""), symbol)
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -92,9 +138,8 @@ def ordinary_strings(documents: DataFrame, good: DataFrame, id_col: str, text_co
 
 def train_ratio(samples: DataFrame) -> list[float]:
     """ln P(next | this) under the random model less that under the ordinary one, by this * SYMBOLS + next."""
-    pair = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
-    pairs = samples.filter(F.length("token") > 1).withColumn("i", pair)
-    pairs = pairs.select("random", (_code(F.col("token"), F.col("i")) * SYMBOLS + _code(F.col("token"), F.col("i") + 1)).alias("pair"))
+    pair = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: x * SYMBOLS + y)
+    pairs = samples.filter(F.length("token") > 1).select("random", F.explode(let(symbols(F.col("token")), pair)).alias("pair"))
     counts = [[1.0] * SYMBOLS * SYMBOLS, [1.0] * SYMBOLS * SYMBOLS]
     for row in pairs.groupBy("random", "pair").count().collect():  # at most 2 * 54 * 54 rows
         counts[row["random"]][row["pair"]] += row["count"]
@@ -103,8 +148,29 @@ def train_ratio(samples: DataFrame) -> list[float]:
 
 
 def log_ratio(token: Column, ratio: Column) -> Column:
-    step = lambda s, i: s + F.element_at(ratio, (_code(token, i) * SYMBOLS + _code(token, i + 1) + 1).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step)
+    """Sum of the ratios of all neighbouring characters."""
+    none = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, c: Column) -> Column:
+        more = F.when(state["before"] < 0, F.lit(0.0)).otherwise(F.element_at(ratio, state["before"] * SYMBOLS + c + 1))
+        return F.struct(c.alias("before"), (state["sum"] + more).alias("sum"))
+
+    return F.aggregate(symbols(token), none, step, lambda state: state["sum"])
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """Those ``spans`` that overlap none of ``base`` (both array<struct<start,end>>), by one pass over all in order."""
+    tagged = lambda x, own: F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end")))
+
+    def free(every: Column) -> Column:
+        reach = running(F.transform(every, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(0).cast("long")), F.greatest, 0)
+        ahead = F.reverse(running(F.transform(F.reverse(every), lambda s: F.when(s["own"] == 0, s["start"]).otherwise(FAR).cast("long")), F.least, FAR))
+        rows = F.arrays_zip(every.alias("s"), reach.alias("reach"), ahead.alias("ahead"))
+        kept = F.filter(rows, lambda r: (r["s"]["own"] == 1) & (r["reach"] <= r["s"]["start"]) & (r["ahead"] >= r["s"]["end"]))
+        return F.transform(kept, lambda r: F.struct(r["s"]["start"].alias("start"), r["s"]["end"].alias("end")))
+
+    both = (F.size(spans) > 0) & (F.size(base) > 0)
+    return F.when(both, let(F.array_sort(F.concat(tagged(base, 0), tagged(spans, 1))), free)).otherwise(spans)
 
 
 def _with_kind(spans: Column, kind: int) -> Column:
@@ -121,24 +187,18 @@ def scan_secrets(df: DataFrame, ratio: list[float], id_col: str = "doc_id", text
     table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")
     t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    secrets = _found(text, ASSIGN, 2)
-    long_enough = F.transform(F.arrays_zip(spans_of(text, ASSIGN).alias("span"), secrets.alias("secret")), lambda z: F.struct(z["span"]["start"].alias("start"), F.when(F.length(z["secret"]) >= MIN_SECRET, z["span"]["end"]).alias("end")))
-    assign = F.filter(long_enough, lambda s: s["end"].isNotNull())
-    t = t.withColumns({"assign": _if_any(text, ASSIGN, assign), "access": _if_any(text, ACCESS, spans_of(text, ACCESS)), "hex": _if_any(text, HEX, spans_of(text, HEX))})
-    odd = F.filter(
-        F.transform(
-            F.arrays_zip(spans_of(text, CANDIDATE).alias("span"), _found(text, CANDIDATE).alias("token")),
-            lambda z: F.struct(z["span"]["start"].alias("start"), z["span"]["end"].alias("end"), log_ratio(z["token"], table).alias("llr")),
-        ),
-        lambda s: (s["llr"] > MIN_TOTAL) & (s["llr"] > MIN_MEAN * (s["end"] - s["start"] - 1)),
-    )
-    odd = F.transform(odd, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    t = t.withColumn("markov", _if_any(text, CANDIDATE, odd))
+    secret = lambda token: F.length(F.regexp_extract(token, ASSIGN, 2)) >= MIN_SECRET
+    assign = _plain(F.filter(spans_of(text, ASSIGN), lambda s: secret(s["token"])))
+    t = t.withColumns({"assign": _if_any(text, ASSIGN, assign), "access": _if_any(text, ACCESS, _plain(spans_of(text, ACCESS))), "hex": _if_any(text, HEX, _plain(spans_of(text, HEX)))})
+
+    def odd(s: Column) -> Column:
+        return let(log_ratio(s["token"], table), lambda llr: (llr > MIN_TOTAL) & (llr > MIN_MEAN * (s["end"] - s["start"] - 1)))
+
+    t = t.withColumn("candidates", _if_any(text, CANDIDATE, _plain(F.filter(spans_of(text, CANDIDATE), odd))))
+    t = t.withColumn("markov", outside(F.col("candidates"), F.concat("assign", "access", "hex")))
     kinds = {k: _with_kind(F.col(k), n + 1) for n, k in enumerate(KINDS)}
-    t = t.withColumn("base", F.concat(kinds["assign"], kinds["access"], kinds["hex"]))
-    more = F.filter(kinds["markov"], lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    t = t.withColumn("more", more)
+    base = F.concat(*[kinds[k] for k in KINDS[:3]])
     return t.select(
-        F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.size("more").cast("long").alias("n_markov"),
-        _joined(F.col("base")).alias("base"), _joined(F.concat("base", "more")).alias("spans"),
+        F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.size("markov").cast("long").alias("n_markov"),
+        _joined(base).alias("base"), _joined(F.concat(base, kinds["markov"])).alias("spans"),
     )
