@@ -14,8 +14,11 @@ class (smallest hash of id), by Newton steps with a ridge; sites are counted
 over all documents.
 
 Defined results: null and empty texts have the evidence of a text without
-words; a null source or language is a site of its own; without two classes of
-labels the evidence is zero; several labels of one id are averaged.
+words; very long texts count whole; a null source or language is a site of its
+own; without two classes of labels the evidence is zero; several labels of one id
+are averaged, and repeated rows of an id each count; of training labels that tie
+in their hash the least id is taken; an empty table gives an empty result; only
+the four named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import cut
+from tripweave.llm.common import broadcast_if_small, cut
 from tripweave.llm.quality_rules import PRIOR, judge, line_table
 from tripweave.llm.textbatch import TextBatch, chunks
 
 TRAIN_PER_CLASS = 500
 MIN_POSTERIOR = 0.5
+SMALL_PATHS = 20_000  # paths that are broadcast; more are joined by shuffle
 FEATURES = 13
 
 
@@ -130,7 +134,8 @@ def classify(df: DataFrame, labels: DataFrame, model: Logit, id_col: str = "doc_
     (p_all, k_host), (_, k_path) = _strength(hosts), _strength(paths)
     hosts = hosts.select("host", ((F.col("good") + k_host * p_all) / (F.col("n") + k_host)).alias("p_host"))
     paths = paths.join(hosts, "host").select("host", "path", "p_host", ((F.col("good") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path"))
-    out = rows.join(cut(paths), ["host", "path"])
+    paths = cut(paths)
+    out = rows.join(broadcast_if_small(paths, paths.count(), SMALL_PATHS), ["host", "path"])
     posterior = F.col("logit") + _logit(F.col("p_path")) - _logit(F.lit(p_all))
     out = out.withColumn("p_good", 1 / (1 + F.exp(-posterior)))
     return out.select(F.col("id").alias(id_col), "p_doc", "p_path", "p_host", "p_good", (F.col("p_good") >= min_posterior).alias("kept"))

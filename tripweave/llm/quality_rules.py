@@ -14,8 +14,9 @@ take no part, for their lines may be well formed. If a class has no text, the
 fixed weights ``PRIOR`` serve.
 
 Defined results: a null or empty text has no words, fails the base rules and
-goes; lines without a word get no label; equal rows are judged alike; columns
-of the input pass unchanged through ``keep_good``.
+goes; lines without a word get no label; very long texts and lines count whole;
+equal rows are judged alike; labellings that tie take boilerplate; an empty table
+gives an empty result; columns of the input pass unchanged through ``keep_good``.
 """
 
 from __future__ import annotations

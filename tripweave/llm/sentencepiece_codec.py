@@ -13,9 +13,16 @@ they differ the library's ids stand, and the count is reported in
 Decoding joins the pieces' bytes, turns space marks into spaces and drops the
 space that encoding put in front.
 
+The agenda relies on a model that leaves characters and spaces as they are and
+puts one space in front: ``Vocabulary`` asks the library and raises ``ValueError``
+for a model that does otherwise.
+
 Defined results: null and empty texts have no ids and decode to the empty
 text; characters outside the vocabulary become byte pieces; a space mark in
-the text decodes to a space, as in the library.
+the text decodes to a space, as in the library; pairs that tie in score merge
+from the left; very long texts and segments are encoded whole; repeated rows and
+ids give a row each; an empty table gives an empty result; only id and text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ _MULT = U(0x9E3779B97F4A7C15)
 _BASE = U(0x100000001B3)
 _UNBASE = U(pow(int(_BASE), -1, 2**64))
 NONE = 2**31 - 1
+PROBE = "ﬁ  Ａ\t x \n"  # a ligature, a wide letter, repeated and final spaces: what normalisers change
 CHUNK = 2_000_000  # characters whose distinct segments are encoded together
 
 
@@ -46,6 +54,8 @@ class Vocabulary:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize(PROBE) != (" " + PROBE).replace(" ", MARK):
+            raise ValueError("the model changes characters or spaces before it encodes")
         n = sp.vocab_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]

@@ -8,8 +8,12 @@ lower posterior bound of its host's rate of bad pages exceeds ``max_bad``. A
 rule that fits overrides the reputation.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, which form a host of their own; hosts without labels take their
-domain's rate; with no labels at all every page is allowed by the method.
+path, which form a host of their own; very long urls are taken whole; hosts
+without labels take their domain's rate; with no labels at all every page is
+allowed by the method; repeated ids give a row each and share the id's outcomes,
+several outcomes of one id all count; rules that tie in length are tried in the
+order of their text, the last wins; an empty table gives an empty result; only id
+and url are read, so other columns can't clash.
 """
 
 from __future__ import annotations
