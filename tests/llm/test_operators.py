@@ -360,6 +360,20 @@ def test_sentencepiece_equals_library():
             assert sentencepiece_codec.decode_ids(v, own) == (v.library.decode(own) if own else "")
 
 
+def test_agenda_alone_gives_the_ids(spark):
+    """Over a whole table the library corrects nothing."""
+    got = queries.QUERIES["op4_sentencepiece"](spark, str(DATA))
+    assert got.agg(F.sum("corrected")).first()[0] == 0 and got.filter("n_tokens > 0").count() > 100
+
+
+def test_models_that_normalise_are_refused(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text: "▁" + text.strip())
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Vocabulary(queries.model_path())
+
+
 def test_sentencepiece_query(spark, hostile, empty, docs):
     v = sentencepiece_codec.vocabulary(queries.model_path())
     for df in (hostile, docs.limit(40)):
@@ -405,7 +419,7 @@ def test_license_query_matches_brute_force(spark, tmp_path):
     for i in range(70):
         w = list(rng.choice(license_scan.TEMPLATES)[1].split(" "))[: rng.choice([12, 60, 90])]
         for _ in range(rng.choice([0, 0, 1, 3, 8])):
-            at = rng.randrange(len(w))
+            at = rng.randrange(len(w) + 1)
             w[at : at + rng.choice([0, 1, 5])] = ["x%d" % rng.randrange(99) for _ in range(rng.choice([0, 1, 4]))]
         if rng.random() < 0.2:
             w = w + w[: len(w) // 2]
