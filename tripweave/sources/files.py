@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -98,22 +99,28 @@ class _Pages(InputPartition):
         self.names = names
 
 
+def _system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][\w+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 class _PagedReader(DataSourceReader):
-    """Pages page-0.json, page-1.json, .. up to the first empty or missing one; each a JSON object with a list under ``field``."""
+    """Pages <prefix>-0.json, <prefix>-1.json, .. of each prefix up to its first empty or missing one; each a JSON object with a list under ``field``."""
 
     def __init__(self, options):
         self.path, self.field, self.each = options["path"], options.get("field", "value"), int(options.get("pagesperpartition", 8))
+        self.prefixes = json.loads(options.get("prefixes", '["page"]'))
 
     def partitions(self):
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(self.path) if re.match(r"[a-zA-Z][\w+.-]*:", self.path) else (fs.LocalFileSystem(), self.path)
+        system, root = _system(self.path)
         names = []
-        for n in range(1 << 20):
-            name = f"{root}/page-{n}.json"
-            if system.get_file_info(name).type != fs.FileType.File or not self._rows(system, name):
-                break
-            names.append(name)
+        for prefix in self.prefixes:
+            for n in range(1 << 20):
+                name = f"{root}/{prefix}-{n}.json"
+                if system.get_file_info(name).type.name != "File" or not self._rows(system, name):
+                    break
+                names.append(name)
         return [_Pages(names[i : i + self.each]) for i in range(0, len(names), self.each)] or [_Pages([])]
 
     def _rows(self, system, name: str) -> list:
@@ -121,9 +128,7 @@ class _PagedReader(DataSourceReader):
             return json.loads(file.read())[self.field]
 
     def read(self, partition):
-        from pyarrow import fs
-
-        system = fs.FileSystem.from_uri(self.path)[0] if re.match(r"[a-zA-Z][\w+.-]*:", self.path) else fs.LocalFileSystem()
+        system, _ = _system(self.path)
         for name in partition.names:
             for row in self._rows(system, name):
                 yield (json.dumps(row),)
@@ -143,7 +148,70 @@ class PagedJson(DataSource):
         return _PagedReader(self.options)
 
 
-def read_paged(spark: SparkSession, path: str, schema: str, field: str = "value") -> DataFrame:
+def read_paged(spark: SparkSession, path: str, schema: str, field: str = "value", prefixes: list[str] | None = None) -> DataFrame:
+    """An export in pages; with ``prefixes`` one run of pages for each search prefix, as of a search by "00", "01", .. "99"."""
     spark.dataSource.register(PagedJson)
-    rows = spark.read.format("paged_json").option("field", field).load(path)
+    rows = spark.read.format("paged_json").options(field=field, prefixes=json.dumps(prefixes or ["page"])).load(path)
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+# ------------------------------------------------------------- answers of routers
+
+ROUTER_SCHEMA = "src long, dst long, time long, points array<array<double>>, instructions array<struct<sign:string,time:long>>"
+DIRECTIONS_SCHEMA = "src long, dst long, routes array<struct<legs:array<struct<duration_in_traffic:struct<value:long>>>,overview_polyline:struct<points:string>>>"
+
+
+def read_router(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers of a road router, one JSON object a line, as (legs, points, steps).
+
+    legs: (src, dst, ms), null where no route was found; points: (src, dst, k, lat, lng); steps: (src, dst, k, ms, turn).
+    """
+    rows = spark.read.schema(ROUTER_SCHEMA).json(path)
+    points = rows.select("src", "dst", F.posexplode("points").alias("k", "p")).select("src", "dst", "k", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lng"))
+    steps = rows.select("src", "dst", F.posexplode("instructions").alias("k", "i")).select("src", "dst", "k", F.col("i.time").alias("ms"), F.col("i.sign").alias("turn"))
+    return rows.select("src", "dst", F.col("time").alias("ms")), points, steps
+
+
+def read_directions(spark: SparkSession, path: str) -> DataFrame:
+    """Answers of a directions service, one JSON object a line: (src, dst, ms, polyline).
+
+    The time is that of all legs of the first route in traffic, in milliseconds; null without a route.
+    """
+    first = F.try_element_at("routes", F.lit(1))
+    seconds = F.aggregate(F.transform(first["legs"], lambda leg: leg["duration_in_traffic"]["value"]), F.lit(0).cast("long"), lambda s, x: s + x)
+    return spark.read.schema(DIRECTIONS_SCHEMA).json(path).select("src", "dst", (seconds * 1000).alias("ms"), first["overview_polyline"]["points"].alias("polyline"))
+
+
+# ------------------------------------------------------------- annotations
+
+
+def annotation_file(path: str) -> str:
+    """The working copy of a stop list, beside it and named by a digest of its first 4,096 bytes; made if it isn't there.
+
+    A copy that is there must hold as many stops as the list, or ``ValueError`` says that it is corrupt.
+    """
+    system, own = _system(path)
+    with system.open_input_stream(own) as file:
+        data = file.read()
+    copy = f"{own.rpartition('/')[0] or '.'}/with-headings-{hashlib.md5(data[:4096], usedforsecurity=False).hexdigest()}.json"
+    if system.get_file_info(copy).type.name == "File":
+        with system.open_input_stream(copy) as file:
+            if len(json.loads(file.read())) != len(json.loads(data)):
+                raise ValueError(f"{copy} doesn't hold the stops of {path}")
+    else:
+        with system.open_output_stream(copy, compression=None) as file:
+            file.write(data)
+    return copy
+
+
+def annotate(copy: str, index: int, heading: float) -> dict:
+    """Sets the heading of one stop of a working copy; the stop as it is now."""
+    if isinstance(heading, bool) or not isinstance(heading, int | float):
+        raise TypeError("a heading is a number")
+    system, own = _system(copy)
+    with system.open_input_stream(own) as file:
+        stops = json.loads(file.read())
+    stops[index] = {**stops[index], "Heading": heading}
+    with system.open_output_stream(own, compression=None) as file:
+        file.write(json.dumps(stops, indent=2).encode())
+    return stops[index]
