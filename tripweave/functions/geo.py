@@ -27,8 +27,8 @@ def equirectangular(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> C
 
 
 def heading_vector(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> tuple[Column, Column]:
-    """(east, north) between two places on a local plane."""
-    return F.radians(lng2 - lng1) * F.cos(F.radians(lat1)), F.radians(lat2 - lat1)
+    """(east, north) between two places on a plane at their mean latitude."""
+    return F.radians(lng2 - lng1) * F.cos(F.radians((lat1 + lat2) / 2)), F.radians(lat2 - lat1)
 
 
 def cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

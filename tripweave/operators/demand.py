@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.operators.sequences import uniq_by
+from tripweave.operators.routes import stop_detour, with_costs
+from tripweave.operators.sequences import uniq_by, with_travel
 from tripweave.operators.spatial import dist2, range_pairs, stops_or_nearest
 from tripweave.settings import RETRIGGER_MS, Settings
 
@@ -26,15 +27,28 @@ def similar_to(df: DataFrame, seed: dict, s: Settings) -> DataFrame:
 
 
 def similar_pairs(seeds: DataFrame, df: DataFrame, s: Settings) -> DataFrame:
-    """As ``similar_to`` for a table of seeds: a range join on the start."""
-    points = seeds.select(F.col("id").alias("seed_id"), F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("ex").alias("seed_ex"), F.col("ey").alias("seed_ey"), F.col("time_ms").alias("seed_time"), F.col("days_mask").alias("seed_days"))
+    """(seed_id, id): as ``similar_to`` for a table of seeds.
+
+    An equi-join on the cell of the start, the cell of the end and the time slot. Cells are twice as wide as
+    the radius, so a seed reaches into two of each kind; the exact predicates follow. Of equal trips the least
+    id stays.
+    """
     known = F.lit(s.include_anonymous) | F.col("user_id").isNotNull() | F.col("email").isNotNull()
+    reach = {"sx": s.start_cluster_radius, "sy": s.start_cluster_radius, "ex": s.end_cluster_radius, "ey": s.end_cluster_radius, "time_ms": max(s.time_allowance, 1)}
+    keys = [f"_{c}" for c in reach]
+    cell = lambda c, shift: F.floor((F.col(c) + shift) / (2 * reach[c]))
     rows = df.filter(known & (F.col("created_ms") > s.created_since))
-    pairs = range_pairs(points, rows, s.start_cluster_radius, to=("sx", "sy"), inclusive=False).drop("d2")
-    days = F.lit(not s.match_days) | (F.col("days_mask").bitwiseAND(F.col("seed_days")) > 0)
+    rows = rows.select("id", "sx", "sy", "ex", "ey", "time_ms", "days_mask", "email", *[cell(c, 0).alias(f"_{c}") for c in reach])
+    points = seeds
+    for c, r in reach.items():
+        points = points.withColumn(f"_{c}", F.explode(F.sequence(cell(c, -r), cell(c, r))))
+    points = points.select(*keys, F.col("id").alias("seed_id"), *[F.col(c).alias(f"seed_{c}") for c in ("sx", "sy", "ex", "ey", "time_ms", "days_mask")])
+    pairs = points.join(rows, keys)
+    days = F.lit(not s.match_days) | (F.col("days_mask").bitwiseAND(F.col("seed_days_mask")) > 0)
+    start = dist2(F.col("sx"), F.col("sy"), F.col("seed_sx"), F.col("seed_sy")) < s.start_cluster_radius**2
     end = dist2(F.col("ex"), F.col("ey"), F.col("seed_ex"), F.col("seed_ey")) < s.end_cluster_radius**2
-    hits = pairs.filter((F.abs(F.col("time_ms") - F.col("seed_time")) <= s.time_allowance) & days & end)
-    return uniq_by(hits, ["seed_id", "sx", "sy", "ex", "ey", "time_ms", "email"], ["id"])
+    hits = pairs.filter((F.abs(F.col("time_ms") - F.col("seed_time_ms")) <= s.time_allowance) & days & start & end)
+    return hits.groupBy("seed_id", "sx", "sy", "ex", "ey", "time_ms", "email").agg(F.min("id").alias("id")).select("seed_id", "id")
 
 
 def mark_triggered(df: DataFrame, ids: DataFrame, now_ms: int, column: str = "last_trigger_ms") -> DataFrame:
@@ -57,35 +71,34 @@ def candidate_stops(df: DataFrame, stops: DataFrame, s: Settings) -> DataFrame:
     return start.withColumn("role", F.lit("S")).unionByName(end.withColumn("role", F.lit("E")))
 
 
-def od_pairs(candidates: DataFrame) -> DataFrame:
-    """(id, o, d, o_ord, d_ord): origin and destination stops of each rider, distinct ends."""
+def od_pairs(candidates: DataFrame, distinct_ends: bool = True) -> DataFrame:
+    """(id, o, d, o_ord, d_ord): origin and destination stops of each rider, distinct ends unless told otherwise."""
     o = candidates.filter("role = 'S'").select("id", F.col("idx").alias("o"), F.col("ord").alias("o_ord"))
     d = candidates.filter("role = 'E'").select("id", F.col("idx").alias("d"), F.col("ord").alias("d_ord"))
-    return o.join(d, "id").filter("o <> d")
-
+    pairs = o.join(d, "id")
+    return pairs.filter("o <> d") if distinct_ends else pairs
 
-def detour(travel: DataFrame, ods: DataFrame, via: DataFrame) -> DataFrame:
-    """``ods`` (id, o, d) with every stop ``via`` (other, role, idx): the extra time of going there."""
-    t = lambda a, b, out: travel.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("ms").alias(out))
-    legs = ods.join(via, "id")
-    return legs.join(t("o", "d", "od"), ["o", "d"]).join(t("o", "idx", "oc"), ["o", "idx"]).join(t("idx", "d", "cd"), ["idx", "d"]).withColumn("detour", F.col("oc") + F.col("cd") - F.col("od"))
 
+def compatible(travel, candidates: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """The ``pairs`` (id, other) for which one origin and destination of ``id`` takes a start and an end stop of ``other`` within the detour budget.
 
-def compatible(travel: DataFrame, ods: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
-    """(id, other): others for which one origin and destination of ``id`` passes a start and an end stop within the detour budget.
-
-    ``ods``: (id, o, d); ``pool``: (id, other, role, idx) candidate stops of others.
+    A stop c fits (o, d) if c on the way from o to d, or d on the way from o to c, or d on the way from c
+    to o costs less than the budget. Each (id, o, d, c) is tested once, however many others stop at c.
     """
-    near = detour(travel, ods, pool).filter(F.col("detour") <= s.budget)
+    ids = pairs.select("id").distinct()
+    ods = od_pairs(candidates.join(ids, "id", "left_semi"), distinct_ends=False).select("id", "o", "d")
+    pool = pairs.join(candidates.select(F.col("id").alias("other"), "role", F.col("idx").alias("c")), "other")
+    tests = with_costs(ods.join(pool.select("id", "c").distinct(), "id"), travel, s.dwell, "od", "oc", "cd", "dc", "do", "co")
+    fits = F.least(stop_detour("o", "c", "d"), stop_detour("o", "d", "c"), stop_detour("c", "d", "o")) < s.budget
+    near = tests.filter(fits).select("id", "o", "d", "c").join(pool, ["id", "c"])
     both = near.groupBy("id", "o", "d", "other").agg(F.max(F.col("role") == "S").alias("s"), F.max(F.col("role") == "E").alias("e")).filter("s AND e")
     return both.select("id", "other").distinct()
 
 
-def top_ods(travel: DataFrame, ods: DataFrame, s: Settings) -> DataFrame:
+def top_ods(travel, ods: DataFrame, s: Settings) -> DataFrame:
     """(id, o, d, ms, rank): the fastest pairs of each rider, those close to the best only."""
-    t = travel.select(F.col("src").alias("o"), F.col("dst").alias("d"), "ms")
     w = Window.partitionBy("id").orderBy("ms", "o_ord", "d_ord")
-    ranked = ods.join(t, ["o", "d"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.top_ods)
+    ranked = with_travel(ods, travel, "o", "d", "ms").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.top_ods)
     best = F.min("ms").over(Window.partitionBy("id"))
     return ranked.withColumn("best", best).filter(F.col("ms") - F.col("best") < s.suboptimal_allowance).select("id", "o", "d", "ms", "rank")
 
@@ -103,7 +116,7 @@ def served_by(path: DataFrame, riders: DataFrame, r: float) -> DataFrame:
 
 
 def related(riders: DataFrame, start_r: float, end_r: float) -> DataFrame:
-    """(id, other): pairs close at both ends, before the detour test.
+    """(id, other): pairs close at both ends, before the detour test of ``compatible``.
 
     Trips with the same ends are compared once: the range join runs over distinct trips, and riders join theirs.
     """
@@ -118,6 +131,11 @@ def related(riders: DataFrame, start_r: float, end_r: float) -> DataFrame:
     return pairs.filter("id <> other").select("id", "other")
 
 
+def related_compatible(travel, riders: DataFrame, candidates: DataFrame, start_r: float, end_r: float, s: Settings) -> DataFrame:
+    """(id, other): pairs close at both ends that are also compatible."""
+    return compatible(travel, candidates, related(riders, start_r, end_r), s)
+
+
 def on_every(route_requests: DataFrame, related_pairs: DataFrame) -> DataFrame:
     """Relational division: (route, other) related to every request of the route."""
     n = route_requests.groupBy("route").agg(F.count_distinct("id").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import cos, radians
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +31,44 @@ def epoch_of(text: Column) -> Column:
     return F.coalesce(text.try_cast("long"), F.unix_millis(F.try_to_timestamp(text)))
 
 
-def next_working_day(days: DataFrame, holidays: DataFrame, reach: int = 30) -> DataFrame:
-    """(today, next_day): the first later day that is neither weekend nor holiday. ``holidays``: (day)."""
-    later = days.withColumn("day", F.explode(F.sequence(F.date_add("today", 1), F.date_add("today", reach))))
-    open_ = later.filter(F.weekday("day") < 5).join(holidays, "day", "left_anti")
-    return open_.groupBy("today").agg(F.min("day").alias("next_day"))
-
+def next_working_day(days: DataFrame, holidays: DataFrame, window: int = 30) -> DataFrame:
+    """(today, next_day): the first later day that is neither weekend nor holiday. ``holidays``: (day).
 
-def leg_time(steps: DataFrame, cosines: DataFrame, costs: dict[str, int], penalty: int) -> DataFrame:
+    Looks ``window`` days ahead, and for those that find none there as many further, until all have one.
+    """
+    todo, found, at = days, None, 0
+    while True:
+        later = todo.withColumn("day", F.explode(F.sequence(F.date_add("today", at + 1), F.date_add("today", at + window))))
+        open_ = later.filter(F.weekday("day") < 5).join(holidays, "day", "left_anti")
+        got = open_.groupBy("today").agg(F.min("day").alias("next_day"))
+        found, at = got if found is None else found.unionByName(got), at + window
+        todo = cut(todo.join(got.select("today"), "today", "left_anti"))
+        if todo.isEmpty():
+            return found
+
+
+def penalised_times(legs: DataFrame, points: DataFrame, steps: DataFrame, costs: dict[str, int], penalty: int) -> DataFrame:
     """(leg, ms): instruction times and turn costs, plus a penalty for leaving or arriving against the heading.
 
-    Legs of fewer than two instructions and unknown headings (null) have no penalty.
+    ``legs``: (leg, start_heading, end_heading); ``points``: (leg, k, lng, lat) and ``steps``: (leg, k, ms, turn)
+    of the route found. A leg without points has no route: its time is infinite. A route of one point, an
+    unknown heading and two equal points cost no penalty.
     """
-    from tripweave.functions.geo import turn_cost
+    from tripweave.functions.geo import bearing_vector, cosine, heading_vector, turn_cost
+
+    sums = steps.groupBy("leg").agg(F.sum(F.col("ms") + turn_cost(F.col("turn"), costs)).alias("ms"))
+    place = F.struct("k", "lng", "lat")
+    line = points.groupBy("leg").agg(F.array_sort(F.collect_list(place)).alias("p"))  # the points of one leg
+    rows = legs.join(line, "leg", "left").join(sums, "leg", "left")
 
-    sums = steps.groupBy("leg").agg(F.sum(F.col("ms") + turn_cost(F.col("turn"), costs)).alias("ms"), F.count("*").alias("n"))
-    against = F.coalesce(F.col("start_cosine") < 0.5, F.lit(False)) | F.coalesce(F.col("end_cosine") < 0.5, F.lit(False))
-    return sums.join(cosines, "leg", "left").select("leg", (F.col("ms") + F.when((F.col("n") >= 2) & against, penalty).otherwise(0)).alias("ms"))
+    def against(a: int, b: int, heading: str) -> Column:
+        at = lambda i: F.try_element_at("p", F.lit(i))
+        way = heading_vector(at(a)["lng"], at(a)["lat"], at(b)["lng"], at(b)["lat"])
+        return F.coalesce(cosine(*way, *bearing_vector(F.col(heading))) < 0.5, F.lit(False))
+
+    wrong = (F.size("p") >= 2) & (against(1, 2, "start_heading") | against(-2, -1, "end_heading"))
+    ms = F.coalesce("ms", F.lit(0)) + F.when(wrong, penalty).otherwise(0)
+    return rows.select("leg", F.when(F.col("p").isNull(), F.lit(float("inf"))).otherwise(ms.cast("double")).alias("ms"))
 
 
 def stop_pairs(path: DataFrame, part: str, order: str) -> DataFrame:
@@ -93,9 +116,20 @@ def later_wins(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
 
 
 def match_candidates(old: DataFrame, new: DataFrame, r: float) -> DataFrame:
-    """(old, new, d): squared distances within r; a stop's own code comes just before all others."""
-    pairs = range_pairs(old, new, r)
-    return pairs.select("old", "new", (F.col("d2").cast("double") - F.when(F.col("old") == F.col("new"), 0.01).otherwise(0.0)).alias("d"))
+    """(old, new, d): stops within r metres, by the equirectangular distance; a stop's own code comes before all others.
+
+    ``old``: (old, lng, lat), ``new``: (new, lng, lat). Cells are metres along the equator and the meridian,
+    widened by the greatest latitude, so that none within reach is missed.
+    """
+    from tripweave.functions.geo import EQUIRECTANGULAR_RADIUS, equirectangular
+
+    metres = lambda c: F.radians(c) * EQUIRECTANGULAR_RADIUS
+    steepest = old.select("lat").union(new.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    wide = r / max(cos(radians(steepest)), 1e-6)
+    points = old.select("old", F.col("lng").alias("olng"), F.col("lat").alias("olat"), metres(F.col("lng")).alias("px"), metres(F.col("lat")).alias("py"))
+    places = new.select("new", "lng", "lat", metres(F.col("lng")).alias("x"), metres(F.col("lat")).alias("y"))
+    pairs = range_pairs(points, places, 1.5 * wide).withColumn("d", equirectangular(F.col("olng"), F.col("olat"), F.col("lng"), F.col("lat"))).filter(F.col("d") <= r)
+    return pairs.select("old", "new", F.when(F.col("old") == F.col("new"), -0.01).otherwise(F.col("d")).alias("d"))
 
 
 def match_one_to_one(pairs: DataFrame) -> DataFrame:

@@ -11,15 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.operators.routes import leg_cost
-from tripweave.operators.sequences import by
+from tripweave.operators.sequences import by, with_travel
 
 
-def _leg(df: DataFrame, travel: DataFrame, a: str, b: str, out: str, dwell: int) -> DataFrame:
-    legs = travel.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("ms").alias("_ms"))
-    return df.join(legs, [a, b], "left").withColumn(out, leg_cost(F.col(a), F.col(b), F.col("_ms"), dwell)).drop("_ms")
+def _leg(df: DataFrame, travel, a: str, b: str, out: str, dwell: int) -> DataFrame:
+    return with_travel(df, travel, a, b, "_ms").withColumn(out, leg_cost(F.col(a), F.col(b), F.col("_ms"), dwell)).drop("_ms")
 
 
-def ride_ends(rides: DataFrame, travel: DataFrame, dwell: int) -> DataFrame:
+def ride_ends(rides: DataFrame, travel, dwell: int) -> DataFrame:
     """Per ride: first and last stops p1, pm, d1, dn, the whole cost ``now``, the extra over direct ``det`` and the middle leg ``gap``."""
     order = ["side_no", "pos"]
     rows = rides.withColumn("side_no", F.when(F.col("side") == "U", 0).otherwise(1))
@@ -41,7 +40,7 @@ def matched(rides: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.groupBy("ride", "req").agg(side("U", "S").alias("up"), side("D", "E").alias("down"))
 
 
-def interior(rides: DataFrame, wanted: DataFrame, travel: DataFrame, side: str, role: str, dwell: int) -> DataFrame:
+def interior(rides: DataFrame, wanted: DataFrame, travel, side: str, role: str, dwell: int) -> DataFrame:
     """(ride, req, idx, ord, pos, change): a stop between two of one side."""
     rows = rides.filter(F.col("side") == side).withColumn("b", F.lead("stop").over(by("ride", "pos"))).filter("b IS NOT NULL").withColumnRenamed("stop", "a")
     rows = rows.join(wanted.filter(F.col("role") == role).select("ride", "req", "idx", "ord"), "ride")
@@ -50,7 +49,7 @@ def interior(rides: DataFrame, wanted: DataFrame, travel: DataFrame, side: str,
     return rows.select("ride", "req", "idx", "ord", "pos", (F.col("ac") + F.col("cb") - F.col("ab")).alias("change"))
 
 
-def insertion_step(rides: DataFrame, wanted: DataFrame, travel: DataFrame, budget: float, dwell: int) -> DataFrame:
+def insertion_step(rides: DataFrame, wanted: DataFrame, travel, budget: float, dwell: int) -> DataFrame:
     """(ride, req, case, detour, way, up, down): the best way to take each request, null detour in case match; none if over budget.
 
     Ways tie in the order front, back, interior for one new stop, and interior before corners for two.

@@ -20,14 +20,14 @@ def leg_time(a: Column, b: Column, ms: Column, dwell: int) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(ms + dwell)
 
 
-def path_legs(path: DataFrame, travel: DataFrame, part: str = "service", order: str = "pos", stop: str = "stop") -> DataFrame:
+def path_legs(path: DataFrame, travel, part: str = "service", order: str = "pos", stop: str = "stop") -> DataFrame:
     """Each row with ``next_`` stop and ``leg`` time to it (null at the end)."""
     nxt = path.withColumn(f"next_{stop}", F.lead(stop).over(by(part, order)))
-    legs = travel.select(F.col("src").alias(stop), F.col("dst").alias(f"next_{stop}"), F.col("ms").alias("leg"))
-    return nxt.join(legs, [stop, f"next_{stop}"], "left")
+    legs = with_travel(nxt, travel, stop, f"next_{stop}", "leg")
+    return legs.withColumn("leg", F.when(F.col(f"next_{stop}").isNotNull(), F.col("leg")))
 
 
-def removal_saving(path: DataFrame, travel: DataFrame, part: str = "service", order: str = "pos", reversed_next: bool = True) -> DataFrame:
+def removal_saving(path: DataFrame, travel, part: str = "service", order: str = "pos", reversed_next: bool = True) -> DataFrame:
     """Inner stops with ``saving``: d(p, c) + d(n, c) - d(p, n), the second leg in reverse direction by default."""
     rows = neighbours(path, part, order, "stop").filter("prev_stop IS NOT NULL AND next_stop IS NOT NULL")
     rows = with_travel(rows, travel, "prev_stop", "stop", "pc")
@@ -36,7 +36,7 @@ def removal_saving(path: DataFrame, travel: DataFrame, part: str = "service", or
     return rows.withColumn("saving", F.col("pc") + F.col("nc") - F.col("pn"))
 
 
-def insertion_detours(path: DataFrame, requests: DataFrame, travel: DataFrame, dwell: int, part: str = "service") -> DataFrame:
+def insertion_detours(path: DataFrame, requests: DataFrame, travel, dwell: int, part: str = "service") -> DataFrame:
     """Every gap of a path with every wanted stop: ``detour`` = cost(a, c) + cost(c, b) - cost(a, b).
 
     ``path``: (part, pos, stop); ``requests``: (part, req, idx).
@@ -56,9 +56,29 @@ def best_insertion(detours: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("best.detour").alias("detour"), F.col("best.pos").alias("pos"), F.col("best.idx").alias("idx"))
 
 
-def od_detour(ab: Column, ac: Column, cb: Column, ad: Column, db: Column, cd: Column, dc: Column) -> Column:
-    """Least extra time of serving (c, d) on the way from a to b, over four interleavings; two take the longer of two detours."""
-    return F.least(ac + cd + db - ab, ad + dc + cb - ab, F.greatest(ac + cb - ab, ad + db - ab), F.greatest(ac + cd - ad, dc + cb - db))
+def with_costs(rows: DataFrame, travel, dwell: int, *pairs: str) -> DataFrame:
+    """Adds for each pair "ab" of column names the column ``ab``: the leg time with dwell, nothing for staying."""
+    for a, b in pairs:
+        rows = with_travel(rows, travel, a, b, f"{a}{b}").withColumn(f"{a}{b}", leg_time(F.col(a), F.col(b), F.col(f"{a}{b}"), dwell))
+    return rows
+
+
+def stop_detour(a: str, c: str, b: str) -> Column:
+    """Extra time of passing c on the way from a to b, from the columns of ``with_costs``."""
+    return F.col(f"{a}{c}") + F.col(f"{c}{b}") - F.col(f"{a}{b}")
+
+
+def od_detour(a: str, b: str, c: str, d: str) -> Column:
+    """Least extra time of two trips (a, b) and (c, d) sharing a ride, from the columns of ``with_costs``.
+
+    One trip lies within the other, or they overlap; then the longer of the two detours counts.
+    """
+    leg = lambda x, y: F.col(f"{x}{y}")
+    within = leg(a, c) + leg(c, d) + leg(d, b) - leg(a, b)
+    around = leg(c, a) + leg(a, b) + leg(b, d) - leg(c, d)
+    first = F.greatest(stop_detour(a, c, b), stop_detour(c, b, d))
+    second = F.greatest(stop_detour(c, a, d), stop_detour(a, d, b))
+    return F.least(within, around, first, second)
 
 
 def fulfilment(acts: DataFrame, part: str = "service") -> DataFrame:
@@ -88,12 +108,51 @@ def overlap(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
 
 
+def alternative_stops(acts: DataFrame, wanted: DataFrame, part: str = "service") -> DataFrame:
+    """(part, req, kind, alternative): other stops of the route at which a request could be served.
+
+    A pickup may move to a start stop of its request before the dropoff, a dropoff to an end stop
+    after the pickup. ``wanted``: (part, req, role, idx).
+    """
+    side = lambda kind: acts.filter(F.col("kind") == kind)
+    stops = acts.select(part, F.col("pos").alias("at"), F.col("stop").alias("alternative"))
+    out = None
+    for kind, other, role, fits in (("pickup", "dropoff", "S", "at < until"), ("dropoff", "pickup", "E", "at > until")):
+        own = side(kind).select(part, "req", F.col("stop").alias("own"))
+        rows = own.join(side(other).select(part, "req", F.col("pos").alias("until")), [part, "req"]).join(stops, part).filter(fits).filter("alternative <> own")
+        rows = rows.join(wanted.filter(F.col("role") == role).select(part, "req", F.col("idx").alias("alternative")), [part, "req", "alternative"], "left_semi")
+        rows = rows.select(part, "req", F.lit(kind).alias("kind"), "alternative").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def similar_routes(sets: DataFrame, limit: float, key: str = "service", item: str = "stop") -> DataFrame:
+    """(a, b, share): pairs a < b whose overlap coefficient exceeds ``limit``. ``sets``: distinct (key, item).
+
+    Prefix filter: items are ordered by how rare they are; if two sets share more than ``limit`` of the
+    smaller, which has n items, they share one of the smaller set's first n - floor(limit * n) items. Only
+    those meet the other sets, so frequent items rarely do.
+    """
+    often = sets.groupBy(item).agg(F.count("*").alias("_often"))
+    rows = sets.join(often, item)
+    lists = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_often", F.col(item).alias("i")))), lambda s: s["i"]).alias("items"))
+    lists = lists.withColumn("n", F.size("items"))
+    small = lists.select(F.col(key).alias("s"), F.col("n").alias("sn"), F.col("items").alias("sl"), F.explode(F.slice("items", F.lit(1), (F.col("n") - F.floor(F.col("n") * limit)).cast("int"))).alias("i"))
+    large = lists.select(F.col(key).alias("l"), F.col("n").alias("ln"), F.col("items").alias("ll"), F.explode("items").alias("i"))
+    met = small.join(large, "i").filter("s <> l AND (sn < ln OR sn = ln AND s < l)")
+    # Of the items that both share in the prefix only the first one reports the pair.
+    first = F.array_intersect("sl", "ll")
+    met = met.withColumn("both", first).filter(F.col("i") == F.col("both")[0])
+    share = F.size("both") / F.col("sn")
+    return met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), share.alias("share")).filter(F.col("share") > limit)
+
+
 def first_of_equal(routes: DataFrame, stops: str = "stops", key: str = "service") -> DataFrame:
     """Of routes with one list of stops the least key stays."""
     return routes.groupBy(stops).agg(F.min(key).alias(key), F.count("*").alias("copies"))
 
 
-def replacement_delta(rows: DataFrame, travel: DataFrame, new: str) -> DataFrame:
+def replacement_delta(rows: DataFrame, travel, new: str) -> DataFrame:
     """Adds ``delta``: the change of length when ``new`` takes the place of ``stop`` between ``prev_stop`` and ``next_stop``."""
     for a, b, out in (("prev_stop", new, "_pc"), (new, "next_stop", "_cn"), ("prev_stop", "stop", "_po"), ("stop", "next_stop", "_on")):
         rows = with_travel(rows, travel, a, b, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,13 @@ def neighbours(df: DataFrame, part: str, order: str, key: str) -> DataFrame:
     return df.withColumns({f"prev_{key}": F.lag(key).over(w), f"next_{key}": F.lead(key).over(w)})
 
 
-def with_travel(df: DataFrame, travel: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Left join of the travel time from column ``a`` to column ``b``; 0 if either is null."""
+def with_travel(df: DataFrame, travel: DataFrame | Callable, a: str, b: str, out: str) -> DataFrame:
+    """Left join of the travel time from column ``a`` to column ``b``; 0 if either is null.
+
+    ``travel`` is a matrix (src, dst, ms), or a function (df, a, b, out) that adds the times itself.
+    """
+    if not isinstance(travel, DataFrame):
+        return travel(df, a, b, out)
     legs = travel.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("ms").alias(out))
     return df.join(legs, [a, b], "left").withColumn(out, F.coalesce(out, F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0))))
 

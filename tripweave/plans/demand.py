@@ -7,24 +7,49 @@ from pyspark.sql import functions as F
 from tripweave.operators import demand, spatial
 from tripweave.plans.catalog import query
 from tripweave.settings import Settings
-from tripweave.sources.driver_tables import Tables
+from tripweave.sources.driver_tables import Tables, cost_sql, leg_sql
+from tripweave.sources.shared import cut
 
 S = Settings(start_cluster_radius=1500, end_cluster_radius=1500)
 SEED = 8
-#: Predicates of ``similar_to`` against the seed row z.
-SIMILAR = f"""(user_id IS NOT NULL OR email IS NOT NULL OR TRUE) AND created_ms > 0 AND abs(time_ms - z_time) <= {S.time_allowance}
- AND (days_mask & z_days) > 0 AND (sx-z_sx)*(sx-z_sx) + (sy-z_sy)*(sy-z_sy) < {S.start_cluster_radius**2}
- AND (ex-z_ex)*(ex-z_ex) + (ey-z_ey)*(ey-z_ey) < {S.end_cluster_radius**2}"""
+
+
+def similar_sql(s: Settings) -> str:
+    """Predicates of ``similar_to`` against the seed row z."""
+    return f"""(user_id IS NOT NULL OR email IS NOT NULL OR TRUE) AND created_ms > 0 AND abs(time_ms - z_time) <= {s.time_allowance}
+ AND (days_mask & z_days) > 0 AND (sx-z_sx)*(sx-z_sx) + (sy-z_sy)*(sy-z_sy) < {s.start_cluster_radius**2}
+ AND (ex-z_ex)*(ex-z_ex) + (ey-z_ey)*(ey-z_ey) < {s.end_cluster_radius**2}"""
+
+
+SIMILAR = similar_sql(S)
 SEEDS = "SELECT id AS seed_id, sx AS z_sx, sy AS z_sy, ex AS z_ex, ey AS z_ey, time_ms AS z_time, days_mask AS z_days FROM suggestions"
 SIMILAR_ROWS = f"""alike AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sx, sy, ex, ey, time_ms, email ORDER BY id) AS rn
  FROM suggestions, ({SEEDS} WHERE id = {SEED}) AS z WHERE {SIMILAR}) AS q WHERE rn = 1)"""
+def candidates_sql(r: int) -> str:
+    """Candidate stops ``cand`` (id, role, idx, ord) of ``riders``: those within r metres of an end, else the nearest."""
+    d2 = "(px-x)*(px-x)+(py-y)*(py-y)"
+    return f"""ends AS (SELECT id, 'S' AS role, sx AS px, sy AS py FROM riders UNION ALL SELECT id, 'E', ex, ey FROM riders),
+ ball AS (SELECT id, role, idx, x, y FROM ends JOIN stops ON x BETWEEN px - {r} AND px + {r} AND y BETWEEN py - {r} AND py + {r} WHERE {d2} <= {r * r}),
+ lone AS (SELECT ends.* FROM ends ANTI JOIN ball USING (id, role)),
+ cand AS (SELECT id, role, idx, row_number() OVER (PARTITION BY id, role ORDER BY x, y, idx) AS ord FROM ball
+   UNION ALL SELECT id, role, idx, 1 FROM (SELECT id, role, idx, row_number() OVER (PARTITION BY id, role ORDER BY {d2}, idx) AS rn FROM lone, stops) AS q WHERE rn = 1)"""
+
+
 #: Candidate stops of the similar riders and of the seed.
-CANDIDATES = f"""ends AS (SELECT id, 'S' AS role, sx AS px, sy AS py FROM riders UNION ALL SELECT id, 'E', ex, ey FROM riders),
- near AS (SELECT id, role, idx, x, y, (px-x)*(px-x)+(py-y)*(py-y) AS d2 FROM ends, stops),
- cand AS (SELECT id, role, idx, row_number() OVER (PARTITION BY id, role ORDER BY x, y, idx) AS ord FROM near WHERE d2 <= {S.start_walking_distance**2}
-   UNION ALL SELECT id, role, idx, 1 FROM (SELECT *, row_number() OVER (PARTITION BY id, role ORDER BY d2, idx) AS rn, min(d2) OVER (PARTITION BY id, role) AS m FROM near) AS q
-   WHERE rn = 1 AND m > {S.start_walking_distance**2})"""
-OD = "ods AS (SELECT o.id, o.idx AS o, d.idx AS d, o.ord AS o_ord, d.ord AS d_ord FROM cand o JOIN cand d ON o.id = d.id WHERE o.role = 'S' AND d.role = 'E' AND o.idx <> d.idx)"
+CANDIDATES = candidates_sql(S.start_walking_distance)
+ALL_ODS = "SELECT o.id, o.idx AS o, d.idx AS d, o.ord AS o_ord, d.ord AS d_ord FROM cand o JOIN cand d ON o.id = d.id WHERE o.role = 'S' AND d.role = 'E'"
+OD = f"ods AS ({ALL_ODS} AND o.idx <> d.idx)"
+
+
+def compatible_sql(pairs: str) -> str:
+    """``compat`` (id, other): of the ``pairs`` those who can share a ride."""
+    c = lambda a, b: cost_sql(a, b, S.dwell)
+    arms = [f"{c('o', 'c')} + {c('c', 'd')} - {c('o', 'd')}", f"{c('o', 'd')} + {c('d', 'c')} - {c('o', 'c')}", f"{c('c', 'd')} + {c('d', 'o')} - {c('c', 'o')}"]
+    return f"""pr AS ({pairs}), po AS ({ALL_ODS} AND o.id IN (SELECT id FROM pr)),
+ via AS (SELECT DISTINCT pr.id, cand.idx AS c FROM pr JOIN cand ON cand.id = pr.other),
+ fit AS (SELECT id, o, d, c FROM (SELECT DISTINCT id, o, d FROM po) AS po JOIN via USING (id) WHERE least({", ".join(arms)}) < {S.budget:.0f}),
+ compat AS (SELECT DISTINCT id, other FROM (SELECT fit.id, pr.other, o, d FROM fit JOIN pr ON pr.id = fit.id JOIN cand ON cand.id = pr.other AND cand.idx = fit.c
+   GROUP BY 1, 2, 3, 4 HAVING bool_or(cand.role = 'S') AND bool_or(cand.role = 'E')) AS q)"""
 
 
 def seed_row(t: Tables) -> dict:
@@ -46,14 +71,15 @@ def similar_suggestions(t: Tables):
     return similar(t).select("id", "sx", "sy", "ex", "ey", "time_ms", "days_mask", "user_id", "email")
 
 
-@query(
-    "similar_suggestions_batch",
-    f"""SELECT seed_id, count(*) AS n, min(id) AS least, max(id) AS most FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, sx, sy, ex, ey, time_ms, email ORDER BY id) AS rn
-    FROM suggestions, ({SEEDS} WHERE id % 100 = 0) AS z WHERE {SIMILAR}) AS q WHERE rn = 1 GROUP BY seed_id""",
-)
+BATCH = Settings(start_cluster_radius=800, end_cluster_radius=800)
+ALIKE_PAIRS = f"""SELECT seed_id, min(id) AS id FROM suggestions JOIN ({SEEDS}) AS z
+    ON sx > z_sx - {BATCH.start_cluster_radius} AND sx < z_sx + {BATCH.start_cluster_radius} WHERE {similar_sql(BATCH)} GROUP BY seed_id, sx, sy, ex, ey, time_ms, email"""
+
+
+@query("similar_suggestions_batch", f"SELECT seed_id, count(*) AS n, min(id) AS least, max(id) AS most FROM ({ALIKE_PAIRS}) AS q GROUP BY seed_id")
 def similar_suggestions_batch(t: Tables):
-    seeds = t.suggestions.filter("id % 100 = 0")
-    return demand.similar_pairs(seeds, t.suggestions, S).groupBy("seed_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    """Every suggestion as a seed against all."""
+    return demand.similar_pairs(t.suggestions, t.suggestions, BATCH).groupBy("seed_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
 @query("suggestion_by_id", f"SELECT id, sx, sy, ex, ey, time_ms, user_id, email FROM suggestions WHERE id = {SEED} LIMIT 1")
@@ -108,9 +134,9 @@ def walk_ball(t: Tables):
     return spatial.nearby_stops(points, t.stops, S.start_walking_distance).select("id", "idx", "ord")
 
 
-@query("nearest_stop", "SELECT id, idx, d2 FROM (SELECT id, idx, (sx-x)*(sx-x)+(sy-y)*(sy-y) AS d2, row_number() OVER (PARTITION BY id ORDER BY (sx-x)*(sx-x)+(sy-y)*(sy-y), idx) AS rn FROM suggestions, stops WHERE id % 10 = 3) AS q WHERE rn = 1")
+@query("nearest_stop", "SELECT id, idx, d2 FROM (SELECT id, idx, (sx-x)*(sx-x)+(sy-y)*(sy-y) AS d2, row_number() OVER (PARTITION BY id ORDER BY (sx-x)*(sx-x)+(sy-y)*(sy-y), idx) AS rn FROM suggestions, stops) AS q WHERE rn = 1")
 def nearest_stop(t: Tables):
-    points = t.suggestions.filter("id % 10 = 3").select("id", F.col("sx").alias("px"), F.col("sy").alias("py"))
+    points = t.suggestions.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"))
     return spatial.nearest(points, t.stops).select("id", "idx", "d2")
 
 
@@ -130,35 +156,29 @@ def od_combinations(t: Tables):
     return demand.od_pairs(demand.candidate_stops(similar(t), t.stops, S))
 
 
-@query("top5_ods", f"WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {OD}, r AS (SELECT ods.id, o, d, ms, row_number() OVER (PARTITION BY ods.id ORDER BY ms, o_ord, d_ord) AS rank FROM ods JOIN travel ON src = o AND dst = d) SELECT id, o, d, ms, rank FROM (SELECT *, min(ms) OVER (PARTITION BY id) AS best FROM r WHERE rank <= {S.top_ods}) AS q WHERE ms - best < {S.suboptimal_allowance}")
+@query("top5_ods", f"WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {OD}, r AS (SELECT id, o, d, {leg_sql('o', 'd')} AS ms, row_number() OVER (PARTITION BY id ORDER BY {leg_sql('o', 'd')}, o_ord, d_ord) AS rank FROM ods) SELECT id, o, d, ms, rank FROM (SELECT *, min(ms) OVER (PARTITION BY id) AS best FROM r WHERE rank <= {S.top_ods}) AS q WHERE ms - best < {S.suboptimal_allowance}")
 def top5_ods(t: Tables):
-    cand = demand.candidate_stops(similar(t), t.stops, S)
-    return demand.top_ods(t.travel_among(cand), demand.od_pairs(cand), S)
+    return demand.top_ods(t.legs, demand.od_pairs(demand.candidate_stops(similar(t), t.stops, S)), S)
 
 
-@query("od_replicas", f"WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {OD}, r AS (SELECT ods.id, o, d, row_number() OVER (PARTITION BY ods.id ORDER BY ms, o_ord, d_ord) AS rank FROM ods JOIN travel ON src = o AND dst = d WHERE ods.id = {SEED}) SELECT id, o, d, rank, replica FROM r, range(1, {S.replicas + 1}) AS g(replica) WHERE rank <= {S.top_ods}")
+@query("od_replicas", f"WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {OD}, r AS (SELECT id, o, d, row_number() OVER (PARTITION BY id ORDER BY {leg_sql('o', 'd')}, o_ord, d_ord) AS rank FROM ods WHERE id = {SEED}) SELECT id, o, d, rank, replica FROM r, range(1, {S.replicas + 1}) AS g(replica) WHERE rank <= {S.top_ods}")
 def od_replicas(t: Tables):
     loose = Settings(suboptimal_allowance=1 << 60)
     cand = demand.candidate_stops(similar(t).filter(F.col("id") == SEED), t.stops, S)
-    best = demand.top_ods(t.travel_among(cand), demand.od_pairs(cand), loose)
+    best = demand.top_ods(t.legs, demand.od_pairs(cand), loose)
     return best.withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(S.replicas).cast("long")))).select("id", "o", "d", "rank", "replica")
 
 
-COMPATIBLE = f"""WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {OD},
- sod AS (SELECT DISTINCT o, d FROM ods WHERE id = {SEED}),
- k AS (SELECT sod.o, sod.d, c.id AS other, c.role FROM sod JOIN cand c ON c.id <> {SEED} JOIN travel a ON a.src = o AND a.dst = c.idx JOIN travel b ON b.src = c.idx AND b.dst = d
-   JOIN travel z ON z.src = o AND z.dst = d WHERE a.ms + b.ms - z.ms <= {S.budget:.0f}),
- compat AS (SELECT DISTINCT other FROM (SELECT o, d, other FROM k GROUP BY 1, 2, 3 HAVING bool_or(role = 'S') AND bool_or(role = 'E')) AS q)"""
+COMPATIBLE = f"WITH {SIMILAR_ROWS}, riders AS (SELECT * FROM alike), {CANDIDATES}, {compatible_sql(f'SELECT CAST({SEED} AS BIGINT) AS id, id AS other FROM riders WHERE id <> {SEED}')}"
 
 
 def compatible(t: Tables):
-    cand = demand.candidate_stops(similar(t), t.stops, S)
-    ods = demand.od_pairs(cand).filter(F.col("id") == SEED).select("id", "o", "d").distinct()
-    pool = cand.filter(F.col("id") != SEED).select(F.lit(SEED).cast("long").alias("id"), F.col("id").alias("other"), "role", "idx")
-    return demand.compatible(t.travel_among(cand), ods, pool, S)
+    riders = cut(similar(t).select("id", "sx", "sy", "ex", "ey"))
+    cand = cut(demand.candidate_stops(riders, t.stops, S))
+    return demand.compatible(t.legs, cand, riders.filter(F.col("id") != SEED).select(F.lit(SEED).cast("long").alias("id"), F.col("id").alias("other")), S)
 
 
-@query("compatible_requests", f"{COMPATIBLE} SELECT CAST({SEED} AS BIGINT) AS id, other FROM compat")
+@query("compatible_requests", f"{COMPATIBLE} SELECT id, other FROM compat")
 def compatible_requests(t: Tables):
     return compatible(t)
 
@@ -169,20 +189,34 @@ def pool_guard(t: Tables):
     return n.withColumn("status", F.when(F.col("n") < S.min_requests, "too_few_suggestions").otherwise("ok"))
 
 
-@query(
-    "related_requests",
-    f"""SELECT a.id, count(*) AS n, min(b.id) AS least, max(b.id) AS most FROM suggestions a JOIN suggestions b ON a.id <> b.id
-    AND (a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy) <= {300**2} AND (a.ex-b.ex)*(a.ex-b.ex)+(a.ey-b.ey)*(a.ey-b.ey) <= {600**2} GROUP BY a.id""",
-)
+NEAR = Settings(start_walking_distance=300, end_walking_distance=300)
+START_R, END_R = 300, 600
+NEAR_PAIRS = f"""SELECT a.id, b.id AS other FROM suggestions a JOIN suggestions b ON b.sx BETWEEN a.sx - {START_R} AND a.sx + {START_R} AND a.id <> b.id
+    AND (a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy) <= {START_R**2} AND (a.ex-b.ex)*(a.ex-b.ex)+(a.ey-b.ey)*(a.ey-b.ey) <= {END_R**2}"""
+RELATED = f"WITH riders AS (SELECT * FROM suggestions), {candidates_sql(300)}, {compatible_sql(NEAR_PAIRS)}"
+
+
+def related_riders(t: Tables):
+    riders = t.suggestions.select("id", "sx", "sy", "ex", "ey")
+    cand = cut(demand.candidate_stops(riders, t.stops, NEAR))
+    return demand.related_compatible(t.legs, riders, cand, START_R, END_R, NEAR)
+
+
+@query("related_requests", f"{RELATED} SELECT id, count(*) AS n, min(other) AS least, max(other) AS most FROM compat GROUP BY id")
 def related_requests(t: Tables):
-    pairs = demand.related(t.suggestions, 300, 600)
-    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
+    return related_riders(t).groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
+
+
+@query("related_mean", f"{RELATED} SELECT (SELECT count(*) FROM riders) AS riders, count(*) AS pairs, round(count(*) / CAST((SELECT count(*) FROM riders) AS DOUBLE), 6) AS mean_related FROM compat")
+def related_mean(t: Tables):
+    n = t.suggestions.count()
+    return related_riders(t).agg(F.lit(n).cast("long").alias("riders"), F.count("*").alias("pairs")).withColumn("mean_related", F.round(F.try_divide("pairs", F.lit(float(n))), 6))
 
 
-PATH = "SELECT 1 + (idx % 5) AS path_id, CAST(row_number() OVER (PARTITION BY idx % 5 ORDER BY x + y, idx) AS INT) AS seq, x, y FROM stops WHERE idx % 25 < 5"
+PATH = "SELECT CAST(floor(idx / 40.0) AS INT) AS path_id, CAST(row_number() OVER (PARTITION BY floor(idx / 40.0) ORDER BY x + y, idx) AS INT) AS seq, x, y FROM stops"
 
 
-def five_paths(t: Tables):
+def stop_paths(t: Tables):
     return t.spark.sql(PATH.replace("FROM stops", "FROM {stops}"), stops=t.stops)
 
 
@@ -193,23 +227,20 @@ def five_paths(t: Tables):
     SELECT path_id, id, board, alight FROM b JOIN a USING (path_id, id) WHERE board < alight""",
 )
 def path_requests(t: Tables):
-    return demand.served_by(five_paths(t), t.suggestions, 1000)
+    return demand.served_by(stop_paths(t), t.suggestions, 1000)
+
+
+#: Riders of one square of 400 m at each end share a route.
+SHARED = "concat(" + ", '/', ".join(f"CAST(CAST(floor({c} / 400.0) AS BIGINT) AS VARCHAR(20))" for c in ("sx", "sy", "ex", "ey")) + ")"
 
 
 @query(
     "route_feasible_set",
-    f"""WITH rel AS (SELECT a.id, b.id AS other FROM suggestions a JOIN suggestions b ON a.id <> b.id AND a.id % 50 = 0
-      AND (a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy) <= {2500**2} AND (a.ex-b.ex)*(a.ex-b.ex)+(a.ey-b.ey)*(a.ey-b.ey) <= {2500**2}),
-    rr AS (SELECT id, id % 40 AS route FROM suggestions WHERE id % 50 = 0 AND id < 2000), n AS (SELECT route, count(DISTINCT id) AS n FROM rr GROUP BY 1)
-    SELECT route, other FROM (SELECT route, other, count(DISTINCT rr.id) AS k FROM rr JOIN rel ON rel.id = rr.id GROUP BY 1, 2) AS q JOIN n USING (route) WHERE k = n""",
+    f"""{RELATED}, rr AS (SELECT id, {SHARED} AS route FROM suggestions), n AS (SELECT route, count(*) AS n FROM rr GROUP BY 1)
+    SELECT route, other FROM (SELECT route, other, count(*) AS k FROM rr JOIN compat USING (id) GROUP BY 1, 2) AS q JOIN n USING (route) WHERE k = n""",
 )
 def route_feasible_set(t: Tables):
-    seeds = t.suggestions.filter("id % 50 = 0")
-    a = seeds.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("ex").alias("ax"), F.col("ey").alias("ay"))
-    b = t.suggestions.select(F.col("id").alias("other"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
-    pairs = spatial.range_pairs(a, b, 2500).filter((F.col("id") != F.col("other")) & (spatial.dist2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= 2500**2))
-    routes = seeds.filter("id < 2000").select("id", (F.col("id") % 40).alias("route"))
-    return demand.on_every(routes, pairs.select("id", "other"))
+    return demand.on_every(t.suggestions.select("id", F.expr(SHARED).alias("route")), related_riders(t))
 
 
 @query(

@@ -45,7 +45,7 @@ def svy21_roundtrip(t: Tables):
 
 @query(
     "heading_cosine",
-    f"""WITH p AS ({LNGLAT}), v AS (SELECT idx, radians(lng - 103.84) * cos(radians(1.3)) AS hx, radians(lat - 1.3) AS hy, sin(radians(idx % 360)) AS wx, cos(radians(idx % 360)) AS wy FROM p)
+    f"""WITH p AS ({LNGLAT}), v AS (SELECT idx, radians(lng - 103.84) * cos(radians((lat + 1.3) / 2)) AS hx, radians(lat - 1.3) AS hy, sin(radians(idx % 360)) AS wx, cos(radians(idx % 360)) AS wy FROM p)
     SELECT idx, round((hx*wx + hy*wy) / (sqrt(hx*hx + hy*hy) * sqrt(wx*wx + wy*wy)), 6) + 0.0 AS cosine, (idx % 541 - 180 + 360.0) % 360.0 AS heading FROM v""",
 )
 def heading_cosine(t: Tables):
@@ -123,19 +123,26 @@ def clusters(t: Tables):
     return grid.cluster(points, 1000.0, 90.0).groupBy("cx", "cy").agg(F.count("*").alias("n")).orderBy("n")
 
 
-LEG = "SELECT l_orderkey AS leg, l_linenumber AS k, l_quantity * 1000 AS ms, CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'sharp_right' WHEN 3 THEN 'sharp_left' ELSE 'straight' END AS turn FROM lineitem"
+ANGLE = "(({x})*sin(radians({h})) + ({y})*cos(radians({h}))) / (sqrt(({x})*({x})+({y})*({y})) * sqrt(pow(sin(radians({h})), 2) + pow(cos(radians({h})), 2)))"
+
+
+def _against(a: str, b: str, heading: str) -> str:
+    """Whether the way from point a to point b is against the heading; unknown for equal points."""
+    x = f"radians({b}.lng - {a}.lng) * cos(radians(({a}.lat + {b}.lat) / 2))"
+    y = f"radians({b}.lat - {a}.lat)"
+    return f"coalesce(CASE WHEN {a}.lng = {b}.lng AND {a}.lat = {b}.lat THEN FALSE ELSE {ANGLE.format(x=x, y=y, h=heading)} < 0.5 END, FALSE)"
 
 
 @query(
     "turn_penalty",
-    f"""WITH i AS ({LEG}) SELECT leg, sum(ms + CASE turn WHEN 'left' THEN 5000 WHEN 'sharp_left' THEN 5000 WHEN 'right' THEN 30000 WHEN 'sharp_right' THEN 20000 ELSE 0 END)
-    + CASE WHEN count(*) >= 2 AND (leg % 100) / 100.0 < 0.5 THEN {HEADING_PENALTY} ELSE 0 END AS ms FROM i GROUP BY leg""",
+    f"""WITH i AS (SELECT leg, sum(ms + CASE turn WHEN 'left' THEN 5000 WHEN 'sharp_left' THEN 5000 WHEN 'right' THEN 30000 WHEN 'sharp_right' THEN 20000 ELSE 0 END) AS ms FROM router_steps GROUP BY 1),
+    p AS (SELECT leg, list(struct_pack(lng := lng, lat := lat) ORDER BY k, lng, lat) AS p FROM router_points GROUP BY 1),
+    e AS (SELECT leg, len(p) AS n, p[1] AS a, p[2] AS b, p[-2] AS c, p[-1] AS d FROM p)
+    SELECT l.leg, CASE WHEN n IS NULL THEN CAST('inf' AS DOUBLE) ELSE CAST(coalesce(ms, 0) AS DOUBLE) + CASE WHEN n >= 2 AND ({_against('a', 'b', 'start_heading')} OR {_against('c', 'd', 'end_heading')}) THEN {HEADING_PENALTY} ELSE 0 END END AS ms
+    FROM router_legs l LEFT JOIN e ON e.leg = l.leg LEFT JOIN i ON i.leg = l.leg""",
 )
 def turn_penalty(t: Tables):
-    turn = F.element_at(F.array(*map(F.lit, ("left", "right", "sharp_right", "sharp_left", "straight"))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    steps = t.read("lineitem").select(F.col("l_orderkey").alias("leg"), (F.col("l_quantity") * 1000).alias("ms"), turn.alias("turn"))
-    cosines = steps.select("leg").distinct().select("leg", ((F.col("leg") % 100) / 100.0).alias("start_cosine"), F.lit(None).cast("double").alias("end_cosine"))
-    return headings.leg_time(steps, cosines, TURN_COSTS, HEADING_PENALTY)
+    return headings.penalised_times(*t.router(), TURN_COSTS, HEADING_PENALTY)
 
 
 @query("stop_pairs", "SELECT DISTINCT a, b FROM (SELECT stop AS a, lead(stop) OVER (PARTITION BY service ORDER BY pos) AS b FROM paths) q WHERE b IS NOT NULL")
@@ -189,21 +196,24 @@ def non_stopping(t: Tables):
     return t.stops.withColumn("code", F.concat(F.when(F.col("idx") % 4 == 0, "E").otherwise(""), F.col("idx"))).filter(~F.col("code").startswith("E")).select("idx")
 
 
-MOVED = "o AS (SELECT idx AS old, x, y FROM stops), nw AS (SELECT idx AS new, x + idx % 41 - 20 AS nx, y AS ny FROM stops WHERE idx % 10 <> 0)"
+MOVED = f"""p AS ({LNGLAT}), o AS (SELECT idx AS old, lng, lat FROM p), nw AS (SELECT idx AS new, lng + (idx % 41 - 20) / 100000.0 AS nlng, lat AS nlat FROM p WHERE idx % 10 <> 0),
+ m AS (SELECT old, new, CASE WHEN old = new THEN -0.01 ELSE d END AS d FROM (SELECT old, new, 6371000.0 * sqrt(pow(radians(nlng - lng) * cos(radians((lat + nlat) / 2)), 2) + pow(radians(nlat - lat), 2)) AS d
+   FROM o JOIN nw ON nlat BETWEEN lat - 0.0003 AND lat + 0.0003 AND nlng BETWEEN lng - 0.0003 AND lng + 0.0003) AS q WHERE d <= 20)"""
 
 
-@query("stop_match_candidates", f"WITH {MOVED} SELECT old, new, CAST((x-nx)*(x-nx)+(y-ny)*(y-ny) AS DOUBLE) - CASE WHEN old = new THEN 0.01 ELSE 0 END AS d FROM o, nw WHERE (x-nx)*(x-nx)+(y-ny)*(y-ny) <= 400")
+@query("stop_match_candidates", f"WITH {MOVED} SELECT old, new, round(d, 6) AS d FROM m")
 def stop_match_candidates(t: Tables):
-    return headings.match_candidates(*moved_stops(t), 20.0)
+    return headings.match_candidates(*moved_stops(t), 20.0).select("old", "new", F.round("d", 6).alias("d"))
 
 
 def moved_stops(t: Tables):
-    old = t.stops.select(F.col("idx").alias("old"), F.col("x").alias("px"), F.col("y").alias("py"))
-    new = t.stops.filter("idx % 10 <> 0").select(F.col("idx").alias("new"), (F.col("x") + F.col("idx") % 41 - 20).alias("x"), "y")
-    return old, new
+    p = lnglat(t)
+    shift = (F.col("idx") % 41 - 20) / 100000.0
+    return p.withColumnRenamed("idx", "old"), p.filter("idx % 10 <> 0").select(F.col("idx").alias("new"), (F.col("lng") + shift).alias("lng"), "lat")
 
 
-@query("migrate_stops", f"WITH {MOVED} SELECT old, CASE WHEN old % 10 <> 0 THEN old END AS new, old % 10 = 0 AS defunct FROM o")
+#: Stops lie far apart, so each has at most one candidate.
+@query("migrate_stops", f"WITH {MOVED} SELECT o.old, m.new, m.new IS NULL AS defunct FROM o LEFT JOIN m ON m.old = o.old UNION ALL SELECT NULL, new, FALSE FROM nw WHERE new NOT IN (SELECT new FROM m)")
 def migrate_stops(t: Tables):
     return headings.migrate(*moved_stops(t), 20.0)
 

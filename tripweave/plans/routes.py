@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tripweave.operators import routes, sequences
+from tripweave.operators import demand, routes, sequences
 from tripweave.operators.sequences import by
+from tripweave.plans import demand as demand_plans
 from tripweave.plans.catalog import query
 from tripweave.settings import Settings
-from tripweave.sources.driver_tables import Tables
+from tripweave.sources.driver_tables import Tables, cost_sql, leg_sql
 
 S = Settings()
 W = "PARTITION BY service ORDER BY pos"
-LEGS = f"legs AS (SELECT p.*, t.ms AS leg FROM (SELECT *, lead(stop) OVER ({W}) AS next_stop FROM paths) p LEFT JOIN travel t ON t.src = stop AND t.dst = next_stop)"
-STEPS = f"""steps AS (SELECT a.*, CASE WHEN prev IS NULL THEN NULL WHEN prev = stop THEN 0 ELSE 60000 + t.ms END AS step
- FROM (SELECT *, lag(stop) OVER ({W}) AS prev FROM acts) a LEFT JOIN travel t ON t.src = prev AND t.dst = stop),
+LEGS = f"legs AS (SELECT *, CASE WHEN next_stop IS NOT NULL THEN {leg_sql('stop', 'next_stop')} END AS leg FROM (SELECT *, lead(stop) OVER ({W}) AS next_stop FROM paths) p)"
+STEPS = f"""steps AS (SELECT a.*, CASE WHEN prev IS NULL THEN NULL ELSE {cost_sql('prev', 'stop')} END AS step FROM (SELECT *, lag(stop) OVER ({W}) AS prev FROM acts) a),
  c AS (SELECT *, sum(coalesce(step, 0)) OVER ({W}) AS c FROM steps),
  times AS (SELECT *, c + max(min_t - c) OVER ({W}) AS earliest, c + min(max_t - c) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS latest FROM c)"""
 
@@ -27,12 +27,12 @@ def unique_stop_sequence(t: Tables):
 
 @query("travel_times_path", f"WITH {LEGS} SELECT service, pos, stop, next_stop, leg FROM legs WHERE next_stop IS NOT NULL")
 def travel_times_path(t: Tables):
-    return routes.path_legs(t.paths, t.travel).filter("next_stop IS NOT NULL").select("service", "pos", "stop", "next_stop", "leg")
+    return routes.path_legs(t.paths, t.legs).filter("next_stop IS NOT NULL").select("service", "pos", "stop", "next_stop", "leg")
 
 
 @query("path_cost", f"WITH {LEGS} SELECT service, sum(CASE WHEN stop = next_stop THEN 1e9 ELSE leg + 60000 END) AS search_cost, sum(CASE WHEN stop = next_stop THEN 0 ELSE leg + 60000 END) AS travel_ms FROM legs WHERE next_stop IS NOT NULL GROUP BY service")
 def path_cost(t: Tables):
-    legs = routes.path_legs(t.paths, t.travel).filter("next_stop IS NOT NULL")
+    legs = routes.path_legs(t.paths, t.legs).filter("next_stop IS NOT NULL")
     a, b, ms = F.col("stop"), F.col("next_stop"), F.col("leg")
     return legs.groupBy("service").agg(F.sum(routes.leg_cost(a, b, ms, S.dwell)).alias("search_cost"), F.sum(routes.leg_time(a, b, ms, S.dwell)).alias("travel_ms"))
 
@@ -42,23 +42,21 @@ def stop_surroundings(t: Tables):
     return sequences.neighbours(t.paths, "service", "pos", "stop").select("service", "pos", "stop", "prev_stop", "next_stop")
 
 
-@query(
-    "removal_saving",
-    f"""SELECT service, pos, stop, pc.ms + nc.ms - pn.ms AS saving FROM (SELECT *, lag(stop) OVER ({W}) AS p, lead(stop) OVER ({W}) AS nx FROM paths) q
-    JOIN travel pc ON pc.src = p AND pc.dst = stop JOIN travel nc ON nc.src = nx AND nc.dst = stop JOIN travel pn ON pn.src = p AND pn.dst = nx""",
-)
+AROUND = f"(SELECT *, lag(stop) OVER ({W}) AS p, lead(stop) OVER ({W}) AS nx FROM paths) q"
+
+
+@query("removal_saving", f"SELECT service, pos, stop, {leg_sql('p', 'stop')} + {leg_sql('nx', 'stop')} - {leg_sql('p', 'nx')} AS saving FROM {AROUND} WHERE p IS NOT NULL AND nx IS NOT NULL")
 def removal_saving(t: Tables):
-    return routes.removal_saving(t.paths, t.travel).select("service", "pos", "stop", "saving")
+    return routes.removal_saving(t.paths, t.legs).select("service", "pos", "stop", "saving")
 
 
 @query(
     "ruin_worst_step",
-    f"""WITH s AS (SELECT service, pos, stop, pc.ms + nc.ms - pn.ms AS saving FROM (SELECT *, lag(stop) OVER ({W}) AS p, lead(stop) OVER ({W}) AS nx FROM paths) q
-    JOIN travel pc ON pc.src = p AND pc.dst = stop JOIN travel nc ON nc.src = stop AND nc.dst = nx JOIN travel pn ON pn.src = p AND pn.dst = nx)
+    f"""WITH s AS (SELECT service, pos, stop, {leg_sql('p', 'stop')} + {leg_sql('stop', 'nx')} - {leg_sql('p', 'nx')} AS saving FROM {AROUND} WHERE p IS NOT NULL AND nx IS NOT NULL)
     SELECT service, pos, stop, saving FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY saving DESC, pos) AS rn FROM s) q WHERE rn = 1""",
 )
 def ruin_worst_step(t: Tables):
-    rows = routes.removal_saving(t.paths, t.travel, reversed_next=False)
+    rows = routes.removal_saving(t.paths, t.legs, reversed_next=False)
     return sequences.uniq_by(rows.withColumn("_o", -F.col("saving")), ["service"], ["_o", "pos"]).select("service", "pos", "stop", "saving")
 
 
@@ -79,7 +77,7 @@ def dedup_successive(t: Tables):
 
 def timed(t: Tables):
     acts = t.activities.withColumn("prev", F.lag("stop").over(by("service", "pos")))
-    acts = sequences.with_travel(acts, t.travel, "prev", "stop", "ms")
+    acts = sequences.with_travel(acts, t.legs, "prev", "stop", "ms")
     step = F.when(F.col("prev").isNotNull(), sequences.step_time(F.col("prev"), F.col("stop"), F.col("ms"), S.dwell))
     return sequences.feasible_times(acts.withColumn("step", step), "service", "pos", "step")
 
@@ -101,12 +99,12 @@ def feasibility(t: Tables):
 
 @query("time_to_end", f"WITH {LEGS} SELECT service, pos, coalesce(sum(leg) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS to_end FROM legs")
 def time_to_end(t: Tables):
-    return sequences.time_to_end(routes.path_legs(t.paths, t.travel), "service", "pos", "leg").select("service", "pos", "to_end")
+    return sequences.time_to_end(routes.path_legs(t.paths, t.legs), "service", "pos", "leg").select("service", "pos", "to_end")
 
 
 @query("backward_times", f"WITH {LEGS} SELECT service, pos, 30600000 - sum(CASE WHEN next_stop IS NULL THEN 0 ELSE leg + 60000 END) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS arrive FROM legs")
 def backward_times(t: Tables):
-    legs = routes.path_legs(t.paths, t.travel).withColumn("end", F.lit(30_600_000))
+    legs = routes.path_legs(t.paths, t.legs).withColumn("end", F.lit(30_600_000))
     return sequences.backward_times(legs, "service", "pos", "leg", "end", S.dwell).select("service", "pos", "arrive")
 
 
@@ -147,10 +145,14 @@ def list_insert(t: Tables):
     return rows.select("service", F.array_join(sequences.insert_two(*args).cast("array<string>"), ",").alias("edited"), F.array_join(sequences.inserted_window(*args).cast("array<string>"), ",").alias("piece"))
 
 
+def search_sql(a: str, b: str) -> str:
+    """A leg in an insertion search: staying is as good as forbidden."""
+    return f"CASE WHEN {a} = {b} THEN 1e9 ELSE {leg_sql(a, b)} + 60000 END"
+
+
 WANTED = "wanted AS (SELECT service, req, (stop * 31 + req) % 1000 + 1 AS idx FROM acts WHERE kind = 'pickup' AND (stop * 31 + req) % 1000 + 1 IN (SELECT idx FROM stops))"
 DETOURS = f"""gaps AS (SELECT service, pos, stop AS a, lead(stop) OVER ({W}) AS b FROM paths),
- d AS (SELECT g.service, g.pos, req, w.idx, CASE WHEN a = w.idx THEN 1e9 ELSE ac.ms + 60000 END + CASE WHEN w.idx = b THEN 1e9 ELSE cb.ms + 60000 END - CASE WHEN a = b THEN 1e9 ELSE ab.ms + 60000 END AS detour
- FROM gaps g JOIN wanted w USING (service) JOIN travel ac ON ac.src = a AND ac.dst = w.idx JOIN travel cb ON cb.src = w.idx AND cb.dst = b JOIN travel ab ON ab.src = a AND ab.dst = b WHERE b IS NOT NULL)"""
+ d AS (SELECT g.service, g.pos, req, w.idx, {search_sql('a', 'idx')} + {search_sql('idx', 'b')} - {search_sql('a', 'b')} AS detour FROM gaps g JOIN wanted w USING (service) WHERE b IS NOT NULL)"""
 
 
 def wanted(t: Tables):
@@ -159,7 +161,7 @@ def wanted(t: Tables):
 
 
 def detours(t: Tables):
-    return routes.insertion_detours(t.paths.select("service", "pos", "stop"), wanted(t), t.travel, S.dwell)
+    return routes.insertion_detours(t.paths.select("service", "pos", "stop"), wanted(t), t.legs, S.dwell)
 
 
 @query("activity_insertion_cost", f"WITH {WANTED}, {DETOURS} SELECT service, pos, req, idx, detour FROM d")
@@ -176,23 +178,23 @@ def best_insertion(t: Tables):
     return best.withColumn("status", F.when(F.col("detour") > 120_000, "rejected").otherwise("ok"))
 
 
+def _od_sql() -> str:
+    c = lambda *stops: " + ".join(cost_sql(x, y) for x, y in zip(stops[:-1], stops[1:], strict=True))
+    d = lambda a, via, b: f"{c(a, via, b)} - {c(a, b)}"
+    return f"least({c('a', 'c', 'd', 'b')} - {c('a', 'b')}, {c('c', 'a', 'b', 'd')} - {c('c', 'd')}, greatest({d('a', 'c', 'b')}, {d('c', 'b', 'd')}), greatest({d('c', 'a', 'd')}, {d('a', 'd', 'b')}))"
+
+
 @query(
     "detour_matrix",
-    """WITH q AS (SELECT a.idx AS a, b.idx AS b, c.idx AS c, d.idx AS d FROM stops a, stops b, stops c, stops d WHERE a.idx BETWEEN 1 AND 8 AND b.idx BETWEEN 9 AND 16 AND c.idx BETWEEN 17 AND 24 AND d.idx BETWEEN 25 AND 32),
-    m AS (SELECT q.*, ab.ms AS ab, ac.ms AS ac, cb.ms AS cb, ad.ms AS ad, db.ms AS db, cd.ms AS cd, dc.ms AS dc FROM q
-      JOIN travel ab ON ab.src = a AND ab.dst = b JOIN travel ac ON ac.src = a AND ac.dst = c JOIN travel cb ON cb.src = c AND cb.dst = b JOIN travel ad ON ad.src = a AND ad.dst = d
-      JOIN travel db ON db.src = d AND db.dst = b JOIN travel cd ON cd.src = c AND cd.dst = d JOIN travel dc ON dc.src = d AND dc.dst = c)
-    SELECT a, b, c, d, ac + cb - ab AS stop_detour, least(ac+cd+db-ab, ad+dc+cb-ab, greatest(ac+cb-ab, ad+db-ab), greatest(ac+cd-ad, dc+cb-db)) AS od_detour FROM m""",
+    f"""SELECT service, pos, {cost_sql('a', 'c')} + {cost_sql('c', 'b')} - {cost_sql('a', 'b')} AS stop_detour, {_od_sql()} AS od_detour
+    FROM (SELECT service, pos, stop AS a, lead(stop, 1) OVER ({W}) AS c, lead(stop, 2) OVER ({W}) AS b, lead(stop, 3) OVER ({W}) AS d FROM paths) q WHERE d IS NOT NULL""",
 )
 def detour_matrix(t: Tables):
-    s = t.stops
-    pick = lambda n, lo: s.filter(F.col("idx").between(lo, lo + 7)).select(F.col("idx").alias(n))
-    rows = pick("a", 1).crossJoin(pick("b", 9)).crossJoin(pick("c", 17)).crossJoin(pick("d", 25))
-    travel = t.travel_among(s.filter(F.col("idx").between(1, 32)))
-    for a, b in ("ab", "ac", "cb", "ad", "db", "cd", "dc"):
-        rows = sequences.with_travel(rows, travel, a, b, f"{a}{b}")
-    cols = [F.col(c) for c in ("ab", "ac", "cb", "ad", "db", "cd", "dc")]
-    return rows.select("a", "b", "c", "d", (F.col("ac") + F.col("cb") - F.col("ab")).alias("stop_detour"), routes.od_detour(*cols).alias("od_detour"))
+    """Every four stops in a row: the detour of the trip a to b through c, and that of sharing with the trip c to d."""
+    ahead = {n: F.lead("stop", k).over(by("service", "pos")) for k, n in enumerate("acbd")}
+    rows = t.paths.withColumns(ahead).filter("d IS NOT NULL").select("service", "pos", *"abcd")
+    rows = routes.with_costs(rows, t.legs, S.dwell, "ab", "ac", "cb", "ca", "ad", "db", "bd", "cd")
+    return rows.select("service", "pos", routes.stop_detour("a", "c", "b").alias("stop_detour"), routes.od_detour("a", "b", "c", "d").alias("od_detour"))
 
 
 @query(
@@ -217,14 +219,13 @@ def mean_travel_time(t: Tables):
     "max_detour",
     f"""WITH {STEPS}, f AS (SELECT service, req, max(CASE WHEN kind = 'pickup' THEN stop END) AS o, max(CASE WHEN kind = 'dropoff' THEN stop END) AS d,
     max(CASE WHEN kind = 'dropoff' THEN latest END) - max(CASE WHEN kind = 'pickup' THEN latest END) AS ride FROM times GROUP BY 1, 2)
-    SELECT service, max(ride - ms) AS max_detour FROM f JOIN travel ON src = o AND dst = d GROUP BY service""",
+    SELECT service, max(ride - {leg_sql('o', 'd')}) AS max_detour FROM f GROUP BY service""",
 )
 def max_detour(t: Tables):
     rows = timed(t)
     ends = rows.groupBy("service", "req").agg(F.max(F.when(F.col("kind") == "pickup", F.col("stop"))).alias("o"), F.max(F.when(F.col("kind") == "dropoff", F.col("stop"))).alias("d"))
     rides = routes.fulfilment(rows).join(ends, ["service", "req"])
-    direct = t.travel.select(F.col("src").alias("o"), F.col("dst").alias("d"), "ms")
-    return rides.join(direct, ["o", "d"]).groupBy("service").agg(F.max(F.col("ride_ms") - F.col("ms")).alias("max_detour"))
+    return sequences.with_travel(rides, t.legs, "o", "d", "ms").groupBy("service").agg(F.max(F.col("ride_ms") - F.col("ms")).alias("max_detour"))
 
 
 @query(
@@ -258,13 +259,7 @@ def stop_loads(t: Tables):
     JOIN k ka ON ka.service = a.service JOIN k kb ON kb.service = b.service GROUP BY 1, 2 HAVING count(*) / CAST(least(max(ka.n), max(kb.n)) AS DOUBLE) > 0.3""",
 )
 def route_overlap(t: Tables):
-    s = t.paths.select("service", "stop").distinct()
-    n = s.groupBy("service").agg(F.count("*").alias("n"))
-    a, b = s.withColumnRenamed("service", "a"), s.withColumnRenamed("service", "b")
-    both = a.join(b, "stop").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    rows = both.join(n.withColumnsRenamed({"service": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"service": "b", "n": "nb"}), "b")
-    share = F.col("k") / F.least("na", "nb")
-    return rows.select("a", "b", share.alias("share")).filter(F.col("share") > S.similarity_limit)
+    return routes.similar_routes(t.paths.select("service", "stop").distinct(), S.similarity_limit)
 
 
 @query("dedupe_stop_lists", "WITH l AS (SELECT service, list(stop ORDER BY pos) AS stops FROM paths GROUP BY service) SELECT min(service) AS service, count(*) AS copies FROM l GROUP BY stops")
@@ -292,16 +287,28 @@ def unserved_union(t: Tables):
     return both.join(a.filter("service % 15 = 0"), ["service", "req"], "left_anti")
 
 
-@query("alternative_stops", "SELECT DISTINCT p.service, p.req, q.stop AS alternative FROM acts p JOIN acts d ON d.service = p.service AND d.req = p.req AND d.kind = 'dropoff' JOIN acts q ON q.service = p.service AND q.pos < d.pos AND q.stop <> p.stop JOIN stops a ON a.idx = p.stop JOIN stops b ON b.idx = q.stop WHERE p.kind = 'pickup' AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 4000000")
+#: Requests of the routes as riders who start and end at their stops, willing to walk 750 m.
+REQUESTS = """SELECT service * 100 + req AS id, service, req, sx, sy, ex, ey FROM (SELECT a.service, a.req, min(s.x) FILTER (kind = 'pickup') AS sx, min(s.y) FILTER (kind = 'pickup') AS sy,
+ min(s.x) FILTER (kind = 'dropoff') AS ex, min(s.y) FILTER (kind = 'dropoff') AS ey FROM acts a JOIN stops s ON s.idx = a.stop GROUP BY 1, 2) AS z"""
+WALK = 750
+
+
+@query(
+    "alternative_stops",
+    f"""WITH riders AS ({REQUESTS}), {demand_plans.candidates_sql(WALK)}, w AS (SELECT service, req, role, idx FROM cand JOIN riders USING (id))
+    SELECT DISTINCT p.service, p.req, p.kind, q.stop AS alternative FROM acts p JOIN acts o ON o.service = p.service AND o.req = p.req AND o.kind <> p.kind
+    JOIN acts q ON q.service = p.service AND q.stop <> p.stop AND CASE p.kind WHEN 'pickup' THEN q.pos < o.pos ELSE q.pos > o.pos END
+    JOIN w ON w.service = p.service AND w.req = p.req AND w.idx = q.stop AND w.role = CASE p.kind WHEN 'pickup' THEN 'S' ELSE 'E' END""",
+)
 def alternative_stops(t: Tables):
-    a, s = t.activities, t.stops
-    xy = lambda n: s.select(F.col("idx").alias(n), F.col("x").alias(f"{n}_x"), F.col("y").alias(f"{n}_y"))
-    up = a.filter("kind = 'pickup'").select("service", "req", F.col("stop").alias("own"))
-    down = a.filter("kind = 'dropoff'").select("service", "req", F.col("pos").alias("until"))
-    rows = up.join(down, ["service", "req"]).join(a.select("service", F.col("pos").alias("at"), F.col("stop").alias("alternative")), "service").filter("at < until AND alternative <> own")
-    rows = rows.join(xy("own"), "own").join(xy("alternative"), "alternative")
-    near = (F.col("own_x") - F.col("alternative_x")) ** 2 + (F.col("own_y") - F.col("alternative_y")) ** 2 <= 4_000_000
-    return rows.filter(near).select("service", "req", "alternative").distinct()
+    side = lambda kind, c: F.min(F.when(F.col("kind") == kind, F.col(c)))
+    ends = [side(kind, c).alias(f"{n}{c}") for n, kind in (("s", "pickup"), ("e", "dropoff")) for c in ("x", "y")]
+    acts = t.activities
+    riders = acts.join(t.stops.select(F.col("idx").alias("stop"), "x", "y"), "stop").groupBy("service", "req").agg(*ends)
+    riders = riders.withColumn("id", F.col("service") * 100 + F.col("req"))
+    cand = demand.candidate_stops(riders, t.stops, Settings(start_walking_distance=WALK, end_walking_distance=WALK))
+    wanted = cand.join(riders.select("id", "service", "req"), "id").select("service", "req", "role", "idx")
+    return routes.alternative_stops(acts, wanted)
 
 
 @query("top_half_routes", "SELECT service, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, service) AS rn, count(*) OVER (PARTITION BY g) AS c FROM (SELECT service, service % 20 AS g, count(*) AS n FROM acts GROUP BY 1, 2) q) r WHERE rn <= floor(c / 2)")

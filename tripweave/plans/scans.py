@@ -20,9 +20,9 @@ def stops_scan(t: Tables):
     return rows.select("idx", "lng", "lat", F.when(F.isnan("heading"), -1.0).otherwise(F.col("heading")).alias("heading"), "description")
 
 
-@query("travel_time_peak", "SELECT src, sum(ms * 1.5) AS total, max(ms * 1.5) AS most FROM travel WHERE src % 20 = 7 GROUP BY src")
+@query("travel_time_peak", "SELECT src, sum(ms * 1.5) AS total, max(ms * 1.5) AS most FROM travel GROUP BY src")
 def travel_time_peak(t: Tables):
-    return files.peak(t.travel.filter("src % 20 = 7")).groupBy("src").agg(F.sum("ms").alias("total"), F.max("ms").alias("most"))
+    return files.peak(t.travel).groupBy("src").agg(F.sum("ms").alias("total"), F.max("ms").alias("most"))
 
 
 @query("distance_matrix", "SELECT src, count(*) AS n, sum(ms) AS total, max(ms) AS most FROM travel GROUP BY src")
@@ -88,7 +88,14 @@ def real_paths(t: Tables):
     return dedup_successive(t.paths, "service", "pos", "stop").groupBy("service").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("throttled_triggers")
+@query(
+    "throttled_triggers",
+    """WITH e AS (SELECT user_id AS id, epoch_ms(ts) AS ms FROM events),
+    acc AS (SELECT id, min(ms) AS ms FROM e GROUP BY id UNION ALL
+      SELECT id, ms FROM (SELECT acc.id, min(e.ms) AS ms FROM acc JOIN e ON e.id = acc.id AND e.ms >= acc.ms + 3600000 GROUP BY acc.id, acc.ms) AS q)
+    SELECT n.id, n, accepted FROM (SELECT id, count(*) AS n FROM e GROUP BY id) AS n JOIN (SELECT id, count(*) AS accepted FROM acc GROUP BY id) AS a ON a.id = n.id""",
+    recursive=True,
+)
 def throttled_triggers(t: Tables):
     log = t.read("events").select(F.col("user_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return triggers.throttle_batch(log, window=3_600_000).groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("accepted").cast("long")).alias("accepted"))

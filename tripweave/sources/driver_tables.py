@@ -1,26 +1,37 @@
 """Stops, travel times, suggestions and paths derived from the star-schema tables.
 
 The same SQL text serves Spark and DuckDB; only the epoch expression differs.
-All values are integers, so both engines agree exactly.
+All values are integers, so both engines agree exactly. Every 2,500 parts are the
+stops of one more town east of the last, and every 60,000 order keys its riders,
+so tables grow in area and not in density.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STOPS = """SELECT p_partkey AS idx, c % 50 AS gj, CAST(floor(c/50.0) AS BIGINT) AS gi, 250*CAST(floor(c/50.0) AS BIGINT) AS x, 250*(c % 50) AS y
-FROM (SELECT p_partkey, (p_partkey*1237) % 2500 AS c FROM {part} AS part WHERE p_partkey < 2500) AS t"""
+STOPS = """SELECT p_partkey AS idx, gj, gi, 250*gi AS x, 250*gj AS y
+FROM (SELECT p_partkey, (p_partkey*1237) % 2500 % 50 AS gj, CAST(floor((p_partkey*1237) % 2500 / 50.0) AS BIGINT) + 50*CAST(floor(p_partkey / 2500.0) AS BIGINT) AS gi FROM {part} AS part) AS t"""
 
 TRAVEL = """SELECT a.idx AS src, b.idx AS dst, 120000*(abs(a.gi-b.gi)+abs(a.gj-b.gj)) + CASE WHEN b.gj<a.gj THEN 30000 ELSE 0 END AS ms
 FROM {stops} AS a CROSS JOIN {stops} AS b"""
 
-SUGGESTIONS = """SELECT o_orderkey AS id, (o_orderkey*7919)%5000 AS sx, (o_orderkey*104729)%5000 AS sy, 7500+(o_orderkey*1299709)%5000 AS ex,
+SUGGESTIONS = """SELECT o_orderkey AS id, (o_orderkey*7919)%5000 + town AS sx, (o_orderkey*104729)%5000 AS sy, 7500+(o_orderkey*1299709)%5000 + town AS ex,
 7500+(o_orderkey*15485863)%5000 AS ey, 28800000+(o_orderkey%4)*1800000 AS time_ms, CAST(o_orderkey%128 AS INT) AS days_mask,
 CASE WHEN o_custkey%3=0 THEN NULL ELSE o_custkey END AS user_id,
 CASE WHEN o_custkey%5=0 THEN NULL ELSE concat('c',CAST(o_custkey AS VARCHAR(20)),'@x') END AS email,
-{epoch} AS created_ms, 1+o_orderkey%5 AS weight FROM {orders} AS orders"""
+{epoch} AS created_ms, 1+o_orderkey%5 AS weight FROM (SELECT *, 12500*CAST(floor(o_orderkey / 60000.0) AS BIGINT) AS town FROM {orders} AS o) AS orders"""
 
-BUS_ROUTES = "SELECT l_orderkey AS service, l_linenumber AS seq, l_partkey % 2500 AS stop, l_suppkey AS tie FROM {lineitem} AS lineitem"
+BUS_ROUTES = "SELECT l_orderkey AS service, l_linenumber AS seq, l_partkey AS stop, l_suppkey AS tie FROM {lineitem} AS lineitem"
+
+#: Legs a router was asked for, with the stops' headings, and what it found: points and instructions. Some legs have no route.
+ROUTER_LEGS = "SELECT o_orderkey AS leg, CAST((o_orderkey * 37) % 360 AS DOUBLE) AS start_heading, CAST((o_custkey * 53) % 360 AS DOUBLE) AS end_heading FROM {orders} AS orders"
+ROUTER_POINTS = """SELECT l_orderkey AS leg, l_linenumber AS k, 103.7 + ((l_partkey*1237) % 2500 % 50) / 400.0 AS lng, 1.25 + floor((l_partkey*1237) % 2500 / 50.0) / 400.0 AS lat
+FROM {lineitem} AS lineitem WHERE l_discount >= 0.02"""
+ROUTER_STEPS = """SELECT l_orderkey AS leg, l_linenumber AS k, CAST(l_quantity * 1000 AS BIGINT) AS ms,
+CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'sharp_right' WHEN 3 THEN 'sharp_left' ELSE 'straight' END AS turn
+FROM {lineitem} AS lineitem WHERE l_discount >= 0.02"""
 
 SPARK_EPOCH = "unix_millis(CAST(o_orderdate AS TIMESTAMP))"
 DUCK_EPOCH = "epoch_ms(o_orderdate)"
@@ -38,6 +49,18 @@ FROM (SELECT *, 28800000 + (service % 4)*1800000 + CASE WHEN pos <= floor(n/2) T
 WHERE pos <= 2*floor(n/2)"""
 
 
+def leg_sql(a: str, b: str) -> str:
+    """The travel time between two stops as an expression of their numbers, for oracles without a matrix."""
+    gi = lambda n: f"(({n} * 1237) % 2500 // 50 + 50 * ({n} // 2500))"
+    gj = lambda n: f"(({n} * 1237) % 2500 % 50)"
+    return f"(120000 * (abs({gi(a)} - {gi(b)}) + abs({gj(a)} - {gj(b)})) + CASE WHEN {gj(b)} < {gj(a)} THEN 30000 ELSE 0 END)"
+
+
+def cost_sql(a: str, b: str, dwell: int = 60_000) -> str:
+    """A leg with dwell; staying costs nothing."""
+    return f"(CASE WHEN {a} = {b} THEN 0 ELSE {leg_sql(a, b)} + {dwell} END)"
+
+
 def oracle(body: str, recursive: bool = False) -> str:
     """A DuckDB query over the views."""
     views = {
@@ -47,6 +70,9 @@ def oracle(body: str, recursive: bool = False) -> str:
         "bus_routes": BUS_ROUTES.format(lineitem="lineitem"),
         "paths": PATHS,
         "acts": ACTIVITIES,
+        "router_legs": ROUTER_LEGS.format(orders="orders"),
+        "router_points": ROUTER_POINTS.format(lineitem="lineitem"),
+        "router_steps": ROUTER_STEPS.format(lineitem="lineitem"),
     }
     ctes = ", ".join(f"{name} AS ({sql})" for name, sql in views.items())
     body = body.strip()
@@ -71,10 +97,15 @@ class Tables:
     def travel(self) -> DataFrame:
         return self.spark.sql(TRAVEL, stops=self.stops)
 
-    def travel_among(self, ids: DataFrame, col: str = "idx") -> DataFrame:
-        """Travel times between the stops that ``ids`` names, so the matrix is never built whole."""
-        some = self.stops.join(ids.select(ids[col].alias("idx")).distinct(), "idx", "left_semi")
-        return self.spark.sql(TRAVEL, stops=some)
+    def legs(self, rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+        """``rows`` with the travel time from stop ``a`` to stop ``b``, worked out from the two stops; 0 if either is null, null if one is unknown.
+
+        Serves wherever a matrix (src, dst, ms) does; no pair is made that the rows don't hold.
+        """
+        at = lambda n, k: self.stops.select(F.col("idx").alias(n), F.col("gi").alias(f"_i{k}"), F.col("gj").alias(f"_j{k}"))
+        rows = rows.join(at(a, 1), a, "left").join(at(b, 2), b, "left")
+        ms = 120_000 * (F.abs(F.col("_i1") - F.col("_i2")) + F.abs(F.col("_j1") - F.col("_j2"))) + F.when(F.col("_j2") < F.col("_j1"), 30_000).otherwise(0)
+        return rows.withColumn(out, F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0).cast("long")).otherwise(ms)).drop("_i1", "_i2", "_j1", "_j2")
 
     @property
     def suggestions(self) -> DataFrame:
@@ -92,6 +123,11 @@ class Tables:
         known = rows.join(self.stops.withColumnRenamed("idx", "stop").select("stop"), "stop", "left_semi")
         return numbered(known.select("service", "seq", "stop"), "service", "seq").drop("seq")
 
+    def router(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(legs, points, steps) of the router."""
+        orders, lineitem = self.read("orders"), self.read("lineitem")
+        return self.spark.sql(ROUTER_LEGS, orders=orders), self.spark.sql(ROUTER_POINTS, lineitem=lineitem), self.spark.sql(ROUTER_STEPS, lineitem=lineitem)
+
     @property
     def activities(self) -> DataFrame:
         return self.spark.sql(ACTIVITIES.replace("FROM paths)", "FROM {paths})"), paths=self.paths)
