@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import geo
 from tripweave.operators import demand, grid, headings, routes, sequences, solver, spatial
-from tripweave.settings import Settings
+from tripweave.settings import HEADING_PENALTY, TURN_COSTS, Settings
 from tripweave.sources import files
 from tripweave.streaming import triggers
 
@@ -167,11 +167,12 @@ def test_nobody_is_lost(policy):
         routes_, bad = solver.recreate(p, kept, sorted(gone | set(bad)), k, policy)
 
 
-def test_tweak_shortens():
+def test_tweak_keeps_riders_and_stays_feasible():
     p = small_problem()
     for r in solver.recreate(p, [], sorted(p.requests), 5)[0]:
         better = solver.tweak(p, r)
-        assert solver._length(p, better) <= solver._length(p, r) and solver._requests(better) == solver._requests(r)
+        assert solver.feasible(p, better) and solver._requests(better) == solver._requests(r) and len(better) == len(r)
+        assert len(solver.grouped(better)) <= len(solver.grouped(r))
 
 
 def test_solver_is_repeatable():
@@ -216,6 +217,272 @@ def test_paged_export(spark, tmp_path):
     assert sorted(r["a"] for r in files.read_paged(spark, str(tmp_path), "a int").collect()) == [1, 2, 3]
 
 
+def test_pages_of_prefixes(spark, tmp_path):
+    for prefix, pages in {"00": [[{"a": 1}], [{"a": 2}], []], "01": [[]], "02": [[{"a": 3}]]}.items():
+        for n, page in enumerate(pages):
+            (tmp_path / f"{prefix}-{n}.json").write_text(json.dumps({"results": page}))
+    got = files.read_paged(spark, str(tmp_path), "a int", field="results", prefixes=[f"{k:02d}" for k in range(4)])
+    assert sorted(r["a"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_jdbc(spark, tmp_path):
+    url, table = f"jdbc:derby:{tmp_path}/db;create=true", "suggestions"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS INT) AS k").write.jdbc(url, table, properties={"driver": driver})
+    got = files.read_jdbc(spark, url, table, "id", (0, 100), 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.filter("k = 3").count() == 14
+
+
+def test_router_answers(spark, tmp_path):
+    rows = [
+        {"src": 1, "dst": 2, "time": 9000, "points": [[1.30, 103.80], [1.31, 103.80], [1.31, 103.81]], "instructions": [{"sign": "left", "time": 4000}, {"sign": "straight", "time": 5000}]},
+        {"src": 2, "dst": 1, "points": None, "instructions": None},
+        {"src": 1, "dst": 3, "time": 10, "points": [[1.3, 103.8]], "instructions": [{"sign": "right", "time": 10}]},
+    ]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)))
+    legs, points, steps = files.read_router(spark, str(tmp_path / "r.json"))
+    key = F.concat_ws("-", "src", "dst")
+    named = legs.select(key.alias("leg"), F.lit(0.0).alias("start_heading"), F.lit(0.0).alias("end_heading"))
+    penalised = lambda n: {r["leg"]: r["ms"] for r in headings.penalised_times(n, points.withColumn("leg", key), steps.withColumn("leg", key), TURN_COSTS, HEADING_PENALTY).collect()}
+    # Leaves to the north as it should, arrives to the east instead of the north.
+    assert penalised(named) == {"1-2": 9000 + 5000 + 600_000, "2-1": math.inf, "1-3": 10 + 30_000}
+    assert penalised(named.withColumn("end_heading", F.lit(90.0)))["1-2"] == 14_000
+
+
+def test_directions(spark, tmp_path):
+    legs = [{"duration_in_traffic": {"value": 60}}, {"duration_in_traffic": {"value": 30}}]
+    rows = [{"src": 1, "dst": 2, "routes": [{"legs": legs, "overview_polyline": {"points": "_p~iF~ps|U"}}, {"legs": []}]}, {"src": 2, "dst": 1, "routes": []}]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)))
+    got = {r["src"]: (r["ms"], r["polyline"]) for r in files.read_directions(spark, str(tmp_path / "d.json")).collect()}
+    assert got == {1: (90_000, "_p~iF~ps|U"), 2: (None, None)}
+
+
+def test_annotation_copy(tmp_path):
+    (tmp_path / "stops.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
+    copy = files.annotation_file(str(tmp_path / "stops.json"))
+    assert files.annotate(copy, 1, 90) == {"a": 2, "Heading": 90} and files.annotation_file(str(tmp_path / "stops.json")) == copy
+    assert json.loads(open(copy).read()) == [{"a": 1}, {"a": 2, "Heading": 90}]
+    with pytest.raises(TypeError):
+        files.annotate(copy, 0, "north")
+    open(copy, "w").write("[]")
+    with pytest.raises(ValueError):
+        files.annotation_file(str(tmp_path / "stops.json"))
+
+
+PLACE = {10: (0, 0), 20: (10, 0), 12: (2, 0), 18: (8, 0), 8: (-2, 0), 22: (12, 0), 90: (-50, 40)}
+
+
+def place_leg(a, b):
+    """10 s a place along the streets, 3 s more toward lower numbers."""
+    (x, y), (u, v) = PLACE.get(a, (a, 0)), PLACE.get(b, (b, 0))
+    return (abs(x - u) + abs(y - v)) * 10_000 + (3_000 if b < a else 0)
+
+
+def travel_of(spark, stops):
+    return spark.createDataFrame([(a, b, place_leg(a, b)) for a in stops for b in stops if a != b], "src long, dst long, ms long")
+
+
+def test_compatible_takes_three_ways(spark):
+    """Riders within the trip, around it and with the same ends fit; one whose end is far off doesn't; the budget is exclusive."""
+    s = Settings(max_detour_minutes=2.0, dwell=1_000)
+    rows = [(1, "S", 10), (1, "E", 20), (2, "S", 12), (2, "E", 18), (3, "S", 8), (3, "E", 22), (4, "S", 12), (4, "E", 90), (5, "S", 10), (5, "E", 20)]
+    cand = spark.createDataFrame([(i, r, x, 1) for i, r, x in rows], "id long, role string, idx long, ord int")
+    pairs = spark.createDataFrame([(1, k) for k in (2, 3, 4, 5)], "id long, other long")
+    stops = {x for _, _, x in rows}
+    c = lambda a, b: 0 if a == b else place_leg(a, b) + s.dwell
+    d = lambda a, via, b: c(a, via) + c(via, b) - c(a, b)
+    ways = lambda x: (d(10, x, 20), d(10, 20, x), d(x, 20, 10))
+    want = {i for i in (2, 3, 4, 5) if all(min(ways(x)) < s.budget for k, _, x in rows if k == i)}
+    assert want == {2, 3, 5}
+    got = {r["other"] for r in demand.compatible(travel_of(spark, stops), cand, pairs, s).collect()}
+    assert got == want
+    # Beyond the destination only the second way is short, before the origin the first or the third.
+    assert ways(22)[1] == min(ways(22)) < ways(22)[0]
+    tight = Settings(max_detour_minutes=max(min(ways(8)), min(ways(22))) / 60_000, dwell=1_000)
+    assert demand.compatible(travel_of(spark, stops), cand, pairs.filter("other = 3"), tight).count() == 0
+
+
+def test_od_detour(spark):
+    """All four ways of sharing, against sums over lists of stops."""
+    rng = random.Random(4)
+    rows = [(i, *[rng.randrange(12) for _ in "abcd"]) for i in range(200)]
+    c = lambda *s: sum(0 if a == b else place_leg(a, b) + 60_000 for a, b in zip(s[:-1], s[1:], strict=True))
+    df = spark.createDataFrame(rows, "i long, a long, b long, c long, d long")
+    got = routes.with_costs(df, travel_of(spark, range(12)), 60_000, "ab", "ac", "cb", "ca", "ad", "db", "bd", "cd").select("i", routes.od_detour("a", "b", "c", "d").alias("x")).collect()
+    for r in got:
+        _, a, b, x, d = rows[r["i"]]
+        ways = (c(a, x, d, b) - c(a, b), c(x, a, b, d) - c(x, d), max(c(a, x, b) - c(a, b), c(x, b, d) - c(x, d)), max(c(x, a, d) - c(x, d), c(a, d, b) - c(a, b)))
+        assert r["x"] == min(ways)
+
+
+def test_heading_vector_uses_the_mean_latitude(spark):
+    x, y = spark.range(1).select(*geo.heading_vector(F.lit(10.0), F.lit(0.0), F.lit(11.0), F.lit(60.0))).first()
+    assert x == pytest.approx(math.radians(1) * math.cos(math.radians(30))) and y == pytest.approx(math.radians(60))
+
+
+def test_migration_is_measured_on_the_sphere(spark):
+    """At 60 degrees north a degree of longitude is half as long; a stop's own code is at -0.01."""
+    metre = 1 / 111_194.9
+    old = spark.createDataFrame([(1, 10.0, 60.0), (2, 10.1, 60.0), (3, 10.2, 60.0)], "old long, lng double, lat double")
+    new = spark.createDataFrame([(1, 10.0 + 30 * metre, 60.0), (7, 10.1 + 50 * metre, 60.0), (8, 10.2, 60.0 + 19 * metre)], "new long, lng double, lat double")
+    got = {(r["old"], r["new"]): r["d"] for r in headings.match_candidates(old, new, 20.0).collect()}
+    assert set(got) == {(1, 1), (3, 8)} and got[1, 1] == -0.01 and got[3, 8] == pytest.approx(19, abs=0.01)
+
+
+def test_next_working_day_after_long_holidays(spark):
+    import datetime as dt
+
+    start = dt.date(2024, 1, 1)
+    closed = spark.createDataFrame([(start + dt.timedelta(days=k),) for k in range(1, 100)], "day date")
+    days = spark.createDataFrame([(start,), (dt.date(2024, 6, 7),)], "today date")
+    got = {r["today"]: r["next_day"] for r in headings.next_working_day(days, closed).collect()}
+    assert got == {start: dt.date(2024, 4, 10), dt.date(2024, 6, 7): dt.date(2024, 6, 10)}
+
+
+def test_overlap_by_prefix_equals_all_pairs(spark):
+    rng = random.Random(6)
+    sets = {i: {rng.choice([0, 1, 2, *range(40)]) for _ in range(rng.randint(1, 9))} for i in range(80)}
+    df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "service long, stop long")
+    for limit in (0.0, 0.3, 0.5, 0.99):
+        got = {(r["a"], r["b"]): r["share"] for r in routes.similar_routes(df, limit).collect()}
+        share = {(a, b): len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
+        assert got == {k: v for k, v in share.items() if v > limit}
+
+
+def test_alternative_stops_of_both_ends(spark):
+    acts = spark.createDataFrame([(1, 0, 10, "pickup", 1), (1, 1, 11, "pickup", 2), (1, 2, 12, "dropoff", 1), (1, 3, 13, "dropoff", 2)], "service long, pos int, stop long, kind string, req int")
+    wanted = spark.createDataFrame([(1, 1, "S", 11), (1, 1, "S", 12), (1, 1, "S", 10), (1, 1, "E", 13), (1, 2, "E", 12), (1, 2, "S", 13)], "service long, req int, role string, idx long")
+    got = {(r["req"], r["kind"], r["alternative"]) for r in routes.alternative_stops(acts, wanted).collect()}
+    assert got == {(1, "pickup", 11), (1, "dropoff", 13), (2, "dropoff", 12)}
+
+
+def drive(p, *halts):
+    """A route of halts (stop, ["u1" picks rider 1 up, "d1" sets them down])."""
+    return solver._driven([[(p.pickup if x[0] == "u" else p.dropoff)(int(x[1:]), s) for x in rows] for s, rows in halts])
+
+
+def test_improvement_deletes_then_replaces():
+    """Five halts on a line, 10 s a place. The stop that saves most goes if all its riders can use others; else the best swap; four halts stay."""
+    edges = {(a, b): abs(a - b) * 10_000.0 for a in range(60) for b in range(60)}
+    t = 28_800_000.0
+    reqs = {1: ([0, 20], [40], t), 2: ([20], [40, 50], t), 3: ([5, 30, 7], [50], t)}
+    p = solver.Problem(reqs, edges)
+    route = drive(p, (0, ["u1"]), (20, ["u2"]), (5, ["u3"]), (40, ["d1", "d2"]), (50, ["d3"]))
+    # Halt 0 can move its rider to 20. Halt 40 can't go, because rider 1 has no other end.
+    assert [s for s, _ in solver.grouped(solver.improved(p, route))] == [20, 5, 40, 50]
+    moved = solver.grouped(solver.improved(p, route))
+    assert [(a.kind, a.req) for a in moved[0][1]] == [("pickup", 1), ("pickup", 2)]  # in front of those already there
+    reqs[1] = ([0], [40], t)
+    # Nothing can go; of the swaps 5 to 30 shortens 20-5-40 most.
+    assert [s for s, _ in solver.grouped(solver.improved(p, route))] == [0, 20, 30, 40, 50]
+    assert solver.improved(p, drive(p, (0, ["u1"]), (20, ["u2"]), (40, ["d1", "d2"]))) is None
+    # A stop that is on the route twice takes the activity at its last halt.
+    reqs[1], reqs[4] = ([0, 20], [40], t), ([20], [40], t)
+    twice = drive(p, (0, ["u1"]), (20, ["u2"]), (5, ["u3"]), (20, ["u4"]), (40, ["d1", "d2", "d4"]), (50, ["d3"]))
+    assert [(s, [a.req for a in rows]) for s, rows in solver.grouped(solver.improved(p, twice))][:3] == [(20, [2]), (5, [3]), (20, [1, 4])]
+
+
+def test_published_schedules(spark):
+    """What is published for each suggestion follows from its route, counted by hand."""
+    from tests.conftest import DATA
+    from tripweave.plans import insertion
+    from tripweave.plans import solver as solver_plans
+    from tripweave.sources.driver_tables import Tables
+
+    t = Tables(spark, str(DATA))
+    best = {r["seed"]: r for r in solver_plans.best_routes(t).collect()}
+    trips = {r["id"]: r for r in t.suggestions.select("id", "time_ms").collect()}
+    at = {r["idx"]: (r["gi"], r["gj"]) for r in t.stops.collect()}
+    leg = lambda a, b: 120_000 * (abs(at[a][0] - at[b][0]) + abs(at[a][1] - at[b][1])) + (30_000 if at[b][1] < at[a][1] else 0)
+    rows = insertion.published_schedule(t).collect()
+    assert {r["seed"] for r in rows} == set(trips) and best
+    for r in rows:
+        got, route = json.loads(r["route"]), best.get(r["seed"])
+        if route is None:
+            assert got == {"status": "Failure", "reason": "too_few_suggestions"}
+            continue
+        stops = route["stops"]
+        arrive = [trips[r["seed"]]["time_ms"]]
+        for a, b in zip(stops[-2::-1], stops[:0:-1], strict=True):
+            arrive.insert(0, arrive[0] - leg(a, b) - 60_000)
+        want = [arrive[0]]
+        for k in range(1, len(stops)):
+            want.append(max(want[-1] + 60_000, arrive[k] - 180_000) if k < route["n_up"] else arrive[k])
+        assert [h["stop"] for h in got["stops"]] == stops and [h["time"] for h in got["stops"]] == want
+        assert [h["kind"] for h in got["stops"]] == ["pickup"] * route["n_up"] + ["dropoff"] * (len(stops) - route["n_up"])
+        assert got["requests"] == route["requests"] and r["seed"] in got["requests"]
+
+
+def test_grown_routes_equal_the_fold(spark):
+    """Routes of the query against plain folds over pools found by exhaustive search."""
+    from tests.conftest import DATA
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    t, s = Tables(spark, str(DATA)), plans.GROW
+    trips = t.suggestions.collect()
+    stops = [(r["idx"], r["x"], r["y"], r["gi"], r["gj"]) for r in t.stops.collect()]
+    at = {r[0]: r[3:] for r in stops}
+    leg = lambda a, b: 120_000.0 * (abs(at[a][0] - at[b][0]) + abs(at[a][1] - at[b][1])) + (30_000 if at[b][1] < at[a][1] else 0)
+    c = lambda a, b: 0 if a == b else leg(a, b) + s.dwell
+
+    def near(x, y):
+        ball = [r[0] for r in sorted(stops, key=lambda r: (r[1], r[2], r[0])) if (r[1] - x) ** 2 + (r[2] - y) ** 2 <= 300**2]
+        return ball or [min(stops, key=lambda r: ((r[1] - x) ** 2 + (r[2] - y) ** 2, r[0]))[0]]
+
+    ends = {r["id"]: (near(r["sx"], r["sy"]), near(r["ex"], r["ey"])) for r in trips}
+    fits = lambda o, d, x: min(c(o, x) + c(x, d) - c(o, d), c(o, d) + c(d, x) - c(o, x), c(x, d) + c(d, o) - c(x, o)) < s.budget
+
+    def compatible(a, b):
+        return any(any(fits(o, d, x) for x in ends[b][0]) and any(fits(o, d, x) for x in ends[b][1]) for o in ends[a][0] for d in ends[a][1])
+
+    def alike(z, r):
+        start = (r["sx"] - z["sx"]) ** 2 + (r["sy"] - z["sy"]) ** 2 < s.start_cluster_radius**2
+        end = (r["ex"] - z["ex"]) ** 2 + (r["ey"] - z["ey"]) ** 2 < s.end_cluster_radius**2
+        return start and end and abs(r["time_ms"] - z["time_ms"]) <= s.time_allowance and r["days_mask"] & z["days_mask"]
+
+    weights = {r["id"]: float(r["weight"]) for r in trips}
+    costs = solver.Costs({(a, b): leg(a, b) for a in at for b in at if a != b}, s.dwell)
+    want = {}
+    for z in trips:
+        firsts = {}
+        for r in sorted((r for r in trips if alike(z, r)), key=lambda r: r["id"]):
+            firsts.setdefault((r["sx"], r["sy"], r["ex"], r["ey"], r["time_ms"], r["email"]), r["id"])
+        pool = [i for i in firsts.values() if i != z["id"] and compatible(z["id"], i)]
+        pairs = sorted((leg(o, d), j, k, o, d) for j, o in enumerate(ends[z["id"]][0]) for k, d in enumerate(ends[z["id"]][1]) if o != d)
+        for rank, (ms, _, _, o, d) in enumerate(pairs[: s.top_ods] if len(pool) >= s.min_requests else [], 1):
+            if ms - pairs[0][0] < s.suboptimal_allowance:
+                for replica in range(1, s.replicas + 1):
+                    order = sorted(pool, key=lambda i: (weights[i] <= 0, solver._draw(i * 1009 + rank * 31 + replica, weights[i]), i))
+                    want[z["id"], rank, replica] = list(solver.grow(z["id"], o, d, [(i, *ends[i]) for i in order], costs, s.budget).stops())
+    got = {(r["seed"], r["rank"], r["replica"]): r["stops"] for r in plans.grown(t).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_nobody_is_lost_over_all_riders(spark):
+    """The solver queries keep every suggestion, once, on a route or rejected; shared routes can be driven in time."""
+    from tests.conftest import DATA
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    t = Tables(spark, str(DATA))
+    requests, edges, _ = plans.grouped_problem(t)
+    asked = {r["req"]: r for r in requests.collect()}
+    legs = {(r["grp"], r["src"], r["dst"]): float(r["ms"]) for r in edges.collect()}
+    assert set(asked) == {r["id"] for r in t.suggestions.select("id").collect()}
+    rides, seen = {}, {}
+    for r in plans.recreate(t).collect():
+        seen.setdefault(r["req"], []).append(r["kind"])
+        if r["kind"] != "rejected":
+            rides.setdefault((r["grp"], r["route"]), []).append((r["pos"], r["kind"], r["req"], r["stop"]))
+    assert set(seen) == set(asked) and all(sorted(k) in (["dropoff", "pickup"], ["rejected"]) for k in seen.values())
+    for (grp, _), acts in rides.items():
+        members = {a[2] for a in acts}
+        p = solver.Problem({i: (asked[i]["starts"], asked[i]["ends"], float(asked[i]["time"])) for i in members}, {(a, b): ms for (g, a, b), ms in legs.items() if g == grp})
+        route = [solver.START, *((p.pickup if k == "pickup" else p.dropoff)(i, x) for _, k, i, x in sorted(acts)), solver.END]
+        assert (len(members) == 1 or solver.feasible(p, route)) and all(x in asked[i]["starts" if k == "pickup" else "ends"] for _, k, i, x in acts)
+
+
 def test_sinks(spark, tmp_path):
     routes_ = spark.createDataFrame([(1, 8, '{"status":"Success"}'), (2, 8, '{"status":"Failure"}'), (3, 9, "{}")], "id long, seed_id long, route string")
     files.append_routes(routes_, str(tmp_path / "r"))
