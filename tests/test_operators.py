@@ -92,6 +92,18 @@ def test_clusters_equal_greedy(spark):
     assert {k: sorted(v) for k, v in got.items()} == greedy_clusters(points, 8.0, 1.0)
 
 
+def test_clusters_query_equals_greedy(spark):
+    """All clusters of the query over every suggestion."""
+    from tests.conftest import DATA
+    from tripweave.plans import functions as plans
+    from tripweave.sources.driver_tables import Tables
+
+    t = Tables(spark, str(DATA))
+    points = [(r["sx"], r["sy"], r["id"]) for r in t.suggestions.collect()]
+    want = {k: len(v) for k, v in greedy_clusters(points, 1000.0, 90.0).items()}
+    assert {(round(r["cx"] / 90), round(r["cy"] / 90)): r["n"] for r in plans.clusters(t).collect()} == want
+
+
 def test_projection(spark):
     x, y = geo.to_svy21(F.lit(103 + 50 / 60), F.lit(1 + 22 / 60))
     row = spark.range(1).select(x.alias("x"), y.alias("y")).first()
@@ -100,7 +112,7 @@ def test_projection(spark):
 
 def test_nearest_fallback_and_empty(spark):
     stops = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0)], "idx long, x double, y double")
-    points = spark.createDataFrame([(7, 100000.0, 0.0), (8, 1.0, 0.0)], "id long, px double, py double")
+    points = spark.createDataFrame([(7, 100000.0, 0.0), (8, 1.0, 0.0), (9, None, 0.0), (10, float("nan"), 0.0)], "id long, px double, py double")
     got = {(r["id"], r["idx"]) for r in spatial.stops_or_nearest(points, stops, 5.0).collect()}
     assert got == {(7, 2), (8, 1)}
     assert spatial.stops_or_nearest(points, stops.limit(0), 5.0).count() == 0

@@ -38,23 +38,24 @@ def nearby_stops(points: DataFrame, stops: DataFrame, r: float, key: str = "id",
     return pairs.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("x", "y", "idx")))
 
 
-def nearest(points: DataFrame, stops: DataFrame, key: str = "id", at: tuple[str, str] = ("px", "py"), first: float = 500.0, most_rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, stops: DataFrame, key: str = "id", at: tuple[str, str] = ("px", "py"), first: float = 500.0) -> DataFrame:
     """(key, idx, d2) of each point's nearest stop, the least idx on ties.
 
-    Rings of doubling radius: what a ring finds is nearest for sure, the rest goes on.
+    Rings of four times the radius each: what a ring finds is nearest for sure, the rest goes on until a ring holds a stop.
+    Points without finite coordinates have no nearest stop.
     """
     places = stops.select("idx", "x", "y")
     if places.isEmpty():
         return points.select(key).limit(0).withColumns({"idx": F.lit(None).cast("long"), "d2": F.lit(None).cast("double")})
-    todo, r, found = cut(points.select(key, *at)), first, None
-    for _ in range(most_rounds):
+    placed = [F.abs(F.col(c).cast("double")) < float("inf") for c in at]
+    todo, r, found = cut(points.select(key, *at).filter(placed[0] & placed[1])), first, None
+    while True:
         ring = range_pairs(todo, places, r, at).groupBy(key).agg(F.min_by("idx", F.struct("d2", "idx")).alias("idx"), F.min("d2").alias("d2"))
         found = ring if found is None else found.unionByName(ring)
         todo = cut(todo.join(ring.select(key), key, "left_anti"))
         r *= 4
         if todo.isEmpty():
-            break
-    return found
+            return found
 
 
 def stops_or_nearest(points: DataFrame, stops: DataFrame, r: float, key: str = "id", at: tuple[str, str] = ("px", "py")) -> DataFrame:

@@ -189,11 +189,11 @@ def pool_guard(t: Tables):
     return n.withColumn("status", F.when(F.col("n") < S.min_requests, "too_few_suggestions").otherwise("ok"))
 
 
-NEAR = Settings(start_walking_distance=300, end_walking_distance=300)
+NEAR = Settings(start_walking_distance=250, end_walking_distance=250)
 START_R, END_R = 300, 600
 NEAR_PAIRS = f"""SELECT a.id, b.id AS other FROM suggestions a JOIN suggestions b ON b.sx BETWEEN a.sx - {START_R} AND a.sx + {START_R} AND a.id <> b.id
     AND (a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy) <= {START_R**2} AND (a.ex-b.ex)*(a.ex-b.ex)+(a.ey-b.ey)*(a.ey-b.ey) <= {END_R**2}"""
-RELATED = f"WITH riders AS (SELECT * FROM suggestions), {candidates_sql(300)}, {compatible_sql(NEAR_PAIRS)}"
+RELATED = f"WITH riders AS (SELECT * FROM suggestions), {candidates_sql(NEAR.start_walking_distance)}, {compatible_sql(NEAR_PAIRS)}"
 
 
 def related_riders(t: Tables):
