@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
 from functools import reduce
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,12 @@ class Scratch:
         return df.sparkSession.read.schema(df.schema).parquet(where)
 
     def close(self) -> None:
-        """Delete all tables; what is still lazy must not refer to them."""
-        system, path = file_system(self.path)
+        """Delete all tables; what is still lazy must not refer to them. Where only Spark knows the file system they stay."""
+        try:
+            system, path = file_system(self.path)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as unknown:
+            warnings.warn(f"{self.path} is left behind: {unknown}", stacklevel=2)
+            return
         if system.get_file_info(path).type != pafs.FileType.NotFound:
             system.delete_dir(path)
 
