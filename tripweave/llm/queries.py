@@ -41,7 +41,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.label_quality(documents, quality_rules.fit(documents, good_labels(spark, sf_dir)))
 
 
-@query("op3_warc")
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (v // {}) % 32 AS BIGINT), 1)"
+
+
+@query(
+    "op3_warc",
+    f"""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+      five AS (SELECT sha, k, CAST('0x' || substr(sha, 5 * k + 1, 5) AS BIGINT) AS v FROM (SELECT DISTINCT sha FROM p) AS s, range(8) AS g(k)),
+      d AS (SELECT sha, string_agg(concat({", ".join(_BASE32.format(32**n) for n in (3, 2, 1, 0))}), '' ORDER BY k) AS payload_digest FROM five GROUP BY sha),
+      r AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY page_id DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY sha) AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+    FROM r JOIN d USING (sha)""",
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.scratch_path(spark)
     warc.archive(table(spark, sf_dir, "pages"), path)

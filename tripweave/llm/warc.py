@@ -49,7 +49,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from tripweave.llm.common import Scratch, cut, ensure_shared_dir, file_system
-from tripweave.llm.exact_dedup import maybe_in, maybe_repeated
 
 SCHEMA = "page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 HEADER_COLUMNS = ("page_id", "record_type", "refers_to", "target_uri", "payload_bytes", "payload_digest")
@@ -302,6 +301,9 @@ def plan_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ``df`` must be a stored table, whose rows are numbered alike each time it is read. Payloads shuffle
     only where the row is the response of a digest that repeats (or passes for one in a Bloom filter).
     """
+    # Not above: every worker that plans, reads or writes an archive loads this module.
+    from tripweave.llm.exact_dedup import maybe_in, maybe_repeated
+
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("_row"))
     slim = rows.select("page_id", "target_uri", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha"), "_row").filter(F.col("payload_bytes") >= min_bytes)
