@@ -83,14 +83,17 @@ def compatible(travel, candidates: DataFrame, pairs: DataFrame, s: Settings) ->
     """The ``pairs`` (id, other) for which one origin and destination of ``id`` takes a start and an end stop of ``other`` within the detour budget.
 
     A stop c fits (o, d) if c on the way from o to d, or d on the way from o to c, or d on the way from c
-    to o costs less than the budget. Each (id, o, d, c) is tested once, however many others stop at c.
+    to o costs less than the budget. Each (id, o, d, c) is tested once, however many others stop at c, and
+    all that follows the join by id stays in its partition.
     """
     ids = pairs.select("id").distinct()
     ods = od_pairs(candidates.join(ids, "id", "left_semi"), distinct_ends=False).select("id", "o", "d")
-    pool = pairs.join(candidates.select(F.col("id").alias("other"), "role", F.col("idx").alias("c")), "other")
-    tests = with_costs(ods.join(pool.select("id", "c").distinct(), "id"), travel, s.dwell, "od", "oc", "cd", "dc", "do", "co")
+    ods = with_costs(ods, travel, s.dwell, "od", "do")
+    who = F.collect_list(F.struct("other", "role")).alias("who")  # of one rider's neighbourhood
+    pool = pairs.join(candidates.select(F.col("id").alias("other"), "role", F.col("idx").alias("c")), "other").groupBy("id", "c").agg(who)
+    tests = with_costs(ods.join(pool, "id"), travel, s.dwell, "oc", "cd", "dc", "co")
     fits = F.least(stop_detour("o", "c", "d"), stop_detour("o", "d", "c"), stop_detour("c", "d", "o")) < s.budget
-    near = tests.filter(fits).select("id", "o", "d", "c").join(pool, ["id", "c"])
+    near = tests.filter(fits).select("id", "o", "d", F.inline("who"))
     both = near.groupBy("id", "o", "d", "other").agg(F.max(F.col("role") == "S").alias("s"), F.max(F.col("role") == "E").alias("e")).filter("s AND e")
     return both.select("id", "other").distinct()
 

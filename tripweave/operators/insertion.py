@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.operators.routes import leg_cost
-from tripweave.operators.sequences import by, with_travel
+from tripweave.operators.sequences import by, with_travel, with_travels
 
 
 def _leg(df: DataFrame, travel, a: str, b: str, out: str, dwell: int) -> DataFrame:
     return with_travel(df, travel, a, b, "_ms").withColumn(out, leg_cost(F.col(a), F.col(b), F.col("_ms"), dwell)).drop("_ms")
 
 
+def _legs(df: DataFrame, travel, dwell: int, *pairs: tuple[str, str, str]) -> DataFrame:
+    df = with_travels(df, travel, list(pairs))
+    return df.withColumns({out: leg_cost(F.col(a), F.col(b), F.col(out), dwell) for a, b, out in pairs})
+
+
 def ride_ends(rides: DataFrame, travel, dwell: int) -> DataFrame:
     """Per ride: first and last stops p1, pm, d1, dn, the whole cost ``now``, the extra over direct ``det`` and the middle leg ``gap``."""
     order = ["side_no", "pos"]
@@ -44,8 +49,7 @@ def interior(rides: DataFrame, wanted: DataFrame, travel, side: str, role: str,
     """(ride, req, idx, ord, pos, change): a stop between two of one side."""
     rows = rides.filter(F.col("side") == side).withColumn("b", F.lead("stop").over(by("ride", "pos"))).filter("b IS NOT NULL").withColumnRenamed("stop", "a")
     rows = rows.join(wanted.filter(F.col("role") == role).select("ride", "req", "idx", "ord"), "ride")
-    for x, y, out in (("a", "idx", "ac"), ("idx", "b", "cb"), ("a", "b", "ab")):
-        rows = _leg(rows, travel, x, y, out, dwell)
+    rows = _legs(rows, travel, dwell, ("a", "idx", "ac"), ("idx", "b", "cb"), ("a", "b", "ab"))
     return rows.select("ride", "req", "idx", "ord", "pos", (F.col("ac") + F.col("cb") - F.col("ab")).alias("change"))
 
 
@@ -64,9 +68,7 @@ def insertion_step(rides: DataFrame, wanted: DataFrame, travel, budget: float, d
     stops = wanted.select("ride", "req", "role", "idx", "ord")
 
     def legs(df: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
-        for a, b, out in pairs:
-            df = _leg(df, travel, a, b, out, dwell)
-        return df
+        return _legs(df, travel, dwell, *pairs)
 
     def way(df: DataFrame, no: int, cost: Column, up: Column, down: Column, pos: Column | int = 0) -> DataFrame:
         rank = F.struct(cost.alias("cost"), F.lit(no).alias("no"), F.col("ord").alias("ord"), (F.lit(pos) if isinstance(pos, int) else pos).alias("pos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.operators.sequences import by, neighbours, with_travel
+from tripweave.operators.sequences import by, neighbours, with_travel, with_travels
 
 SAME_STOP_COST = 1e9
 
@@ -30,9 +30,7 @@ def path_legs(path: DataFrame, travel, part: str = "service", order: str = "pos"
 def removal_saving(path: DataFrame, travel, part: str = "service", order: str = "pos", reversed_next: bool = True) -> DataFrame:
     """Inner stops with ``saving``: d(p, c) + d(n, c) - d(p, n), the second leg in reverse direction by default."""
     rows = neighbours(path, part, order, "stop").filter("prev_stop IS NOT NULL AND next_stop IS NOT NULL")
-    rows = with_travel(rows, travel, "prev_stop", "stop", "pc")
-    rows = with_travel(rows, travel, *(("next_stop", "stop") if reversed_next else ("stop", "next_stop")), "nc")
-    rows = with_travel(rows, travel, "prev_stop", "next_stop", "pn")
+    rows = with_travels(rows, travel, [("prev_stop", "stop", "pc"), (*(("next_stop", "stop") if reversed_next else ("stop", "next_stop")), "nc"), ("prev_stop", "next_stop", "pn")])
     return rows.withColumn("saving", F.col("pc") + F.col("nc") - F.col("pn"))
 
 
@@ -43,8 +41,7 @@ def insertion_detours(path: DataFrame, requests: DataFrame, travel, dwell: int,
     """
     gaps = path.withColumn("b", F.lead("stop").over(by(part, "pos"))).withColumnRenamed("stop", "a").filter("b IS NOT NULL")
     rows = gaps.join(requests, part)
-    for a, b, out in (("a", "idx", "ac"), ("idx", "b", "cb"), ("a", "b", "ab")):
-        rows = with_travel(rows, travel, a, b, out)
+    rows = with_travels(rows, travel, [("a", "idx", "ac"), ("idx", "b", "cb"), ("a", "b", "ab")])
     cost = lambda a, b, ms: leg_cost(F.col(a), F.col(b), F.col(ms), dwell)
     return rows.withColumn("detour", cost("a", "idx", "ac") + cost("idx", "b", "cb") - cost("a", "b", "ab"))
 
@@ -58,9 +55,8 @@ def best_insertion(detours: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_costs(rows: DataFrame, travel, dwell: int, *pairs: str) -> DataFrame:
     """Adds for each pair "ab" of column names the column ``ab``: the leg time with dwell, nothing for staying."""
-    for a, b in pairs:
-        rows = with_travel(rows, travel, a, b, f"{a}{b}").withColumn(f"{a}{b}", leg_time(F.col(a), F.col(b), F.col(f"{a}{b}"), dwell))
-    return rows
+    rows = with_travels(rows, travel, [(a, b, f"{a}{b}") for a, b in pairs])
+    return rows.withColumns({f"{a}{b}": leg_time(F.col(a), F.col(b), F.col(f"{a}{b}"), dwell) for a, b in pairs})
 
 
 def stop_detour(a: str, c: str, b: str) -> Column:
@@ -154,8 +150,7 @@ def first_of_equal(routes: DataFrame, stops: str = "stops", key: str = "service"
 
 def replacement_delta(rows: DataFrame, travel, new: str) -> DataFrame:
     """Adds ``delta``: the change of length when ``new`` takes the place of ``stop`` between ``prev_stop`` and ``next_stop``."""
-    for a, b, out in (("prev_stop", new, "_pc"), (new, "next_stop", "_cn"), ("prev_stop", "stop", "_po"), ("stop", "next_stop", "_on")):
-        rows = with_travel(rows, travel, a, b, out)
+    rows = with_travels(rows, travel, [("prev_stop", new, "_pc"), (new, "next_stop", "_cn"), ("prev_stop", "stop", "_po"), ("stop", "next_stop", "_on")])
     return rows.withColumn("delta", F.col("_pc") + F.col("_cn") - F.col("_po") - F.col("_on")).drop("_pc", "_cn", "_po", "_on")
 
 

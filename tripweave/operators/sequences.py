@@ -56,6 +56,15 @@ def with_travel(df: DataFrame, travel: DataFrame | Callable, a: str, b: str, out
     return df.join(legs, [a, b], "left").withColumn(out, F.coalesce(out, F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0))))
 
 
+def with_travels(df: DataFrame, travel: DataFrame | Callable, legs: list[tuple[str, str, str]]) -> DataFrame:
+    """``with_travel`` for several legs (a, b, out), at once where ``travel`` can."""
+    if hasattr(travel, "many"):
+        return travel.many(df, legs)
+    for a, b, out in legs:
+        df = with_travel(df, travel, a, b, out)
+    return df
+
+
 def step_time(prev: Column, stop: Column, travel: Column, dwell: int, service: Column | int = 0) -> Column:
     """Time from one activity to the next: dwell unless at the same place, service, travel."""
     return F.when(prev.eqNullSafe(stop), 0).otherwise(dwell) + service + travel

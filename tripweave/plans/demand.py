@@ -71,7 +71,7 @@ def similar_suggestions(t: Tables):
     return similar(t).select("id", "sx", "sy", "ex", "ey", "time_ms", "days_mask", "user_id", "email")
 
 
-BATCH = Settings(start_cluster_radius=800, end_cluster_radius=800)
+BATCH = Settings(start_cluster_radius=400, end_cluster_radius=400)
 ALIKE_PAIRS = f"""SELECT seed_id, min(id) AS id FROM suggestions JOIN ({SEEDS}) AS z
     ON sx > z_sx - {BATCH.start_cluster_radius} AND sx < z_sx + {BATCH.start_cluster_radius} WHERE {similar_sql(BATCH)} GROUP BY seed_id, sx, sy, ex, ey, time_ms, email"""
 

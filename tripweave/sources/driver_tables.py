@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 STOPS = """SELECT p_partkey AS idx, gj, gi, 250*gi AS x, 250*gj AS y
 FROM (SELECT p_partkey, (p_partkey*1237) % 2500 % 50 AS gj, CAST(floor((p_partkey*1237) % 2500 / 50.0) AS BIGINT) + 50*CAST(floor(p_partkey / 2500.0) AS BIGINT) AS gi FROM {part} AS part) AS t"""
 
+#: All pairs of stops of a town.
 TRAVEL = """SELECT a.idx AS src, b.idx AS dst, 120000*(abs(a.gi-b.gi)+abs(a.gj-b.gj)) + CASE WHEN b.gj<a.gj THEN 30000 ELSE 0 END AS ms
-FROM {stops} AS a CROSS JOIN {stops} AS b"""
+FROM {stops} AS a JOIN {others} AS b ON floor(a.idx / 2500.0) = floor(b.idx / 2500.0)"""
 
 SUGGESTIONS = """SELECT o_orderkey AS id, (o_orderkey*7919)%5000 + town AS sx, (o_orderkey*104729)%5000 AS sy, 7500+(o_orderkey*1299709)%5000 + town AS ex,
 7500+(o_orderkey*15485863)%5000 AS ey, 28800000+(o_orderkey%4)*1800000 AS time_ms, CAST(o_orderkey%128 AS INT) AS days_mask,
@@ -65,7 +66,7 @@ def oracle(body: str, recursive: bool = False) -> str:
     """A DuckDB query over the views."""
     views = {
         "stops": STOPS.format(part="part"),
-        "travel": TRAVEL.format(stops="stops"),
+        "travel": TRAVEL.format(stops="stops", others="stops"),
         "suggestions": SUGGESTIONS.format(orders="orders", epoch=DUCK_EPOCH),
         "bus_routes": BUS_ROUTES.format(lineitem="lineitem"),
         "paths": PATHS,
@@ -80,6 +81,28 @@ def oracle(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{', ' + body[5:].lstrip() if more else ' ' + body}"
 
 
+class Legs:
+    """Travel times worked out from the places of the two stops; serves wherever a matrix (src, dst, ms) does, and makes no pair that the rows don't hold."""
+
+    def __init__(self, stops: DataFrame):
+        self.stops = stops
+
+    def __call__(self, rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+        """``rows`` with the time from stop ``a`` to stop ``b`` as ``out``; 0 if either is null, null if one is unknown."""
+        return self.many(rows, [(a, b, out)])
+
+    def many(self, rows: DataFrame, legs: list[tuple[str, str, str]]) -> DataFrame:
+        """All ``legs`` (a, b, out) at once: each column of stops is looked up once."""
+        names = list(dict.fromkeys(n for a, b, _ in legs for n in (a, b)))
+        for n in names:
+            rows = rows.join(self.stops.select(F.col("idx").alias(n), F.col("gi").alias(f"_i_{n}"), F.col("gj").alias(f"_j_{n}")), n, "left")
+        i, j = (lambda n: F.col(f"_i_{n}")), (lambda n: F.col(f"_j_{n}"))
+        for a, b, out in legs:
+            ms = 120_000 * (F.abs(i(a) - i(b)) + F.abs(j(a) - j(b))) + F.when(j(b) < j(a), 30_000).otherwise(0)
+            rows = rows.withColumn(out, F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0).cast("long")).otherwise(ms))
+        return rows.drop(*[f"_{k}_{n}" for n in names for k in "ij"])
+
+
 class Tables:
     """DataFrames of one scale-factor folder."""
 
@@ -95,17 +118,13 @@ class Tables:
 
     @property
     def travel(self) -> DataFrame:
-        return self.spark.sql(TRAVEL, stops=self.stops)
-
-    def legs(self, rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-        """``rows`` with the travel time from stop ``a`` to stop ``b``, worked out from the two stops; 0 if either is null, null if one is unknown.
+        """The matrix: as many tasks as cores, each with some of the sources."""
+        sources = self.stops.repartition(self.spark.sparkContext.defaultParallelism, "idx")
+        return self.spark.sql(TRAVEL, stops=sources, others=self.stops)
 
-        Serves wherever a matrix (src, dst, ms) does; no pair is made that the rows don't hold.
-        """
-        at = lambda n, k: self.stops.select(F.col("idx").alias(n), F.col("gi").alias(f"_i{k}"), F.col("gj").alias(f"_j{k}"))
-        rows = rows.join(at(a, 1), a, "left").join(at(b, 2), b, "left")
-        ms = 120_000 * (F.abs(F.col("_i1") - F.col("_i2")) + F.abs(F.col("_j1") - F.col("_j2"))) + F.when(F.col("_j2") < F.col("_j1"), 30_000).otherwise(0)
-        return rows.withColumn(out, F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0).cast("long")).otherwise(ms)).drop("_i1", "_i2", "_j1", "_j2")
+    @property
+    def legs(self) -> Legs:
+        return Legs(self.stops)
 
     @property
     def suggestions(self) -> DataFrame:
