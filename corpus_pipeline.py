@@ -8,12 +8,13 @@ one's ``docs``. All but the last return the columns of ``documents``.
   boilerplate, go. The labels of ``sf_dir`` train the line model.
 * exact_dedup: of equal texts the longest original stays, then the least id.
 * near_dedup: of each class of near copies the document of the least id stays.
-* source_mix: documents repeat, or drop out, as their source's share of the mix asks.
+* source_mix: documents repeat, or drop out, as their source's share of the mix asks, in the order of its schedule.
 * sentencepiece: one row per document of the mix with its token ids.
 
 Defined results: an empty table passes through every stage; null and empty
-texts go in the first; null sources are a source of their own; further columns
-of ``documents`` are carried along.
+texts go in the first; very long texts are taken whole; of rows that tie in
+everything one stays; null sources are a source of their own; further columns
+of ``documents`` are carried along, whatever they are called.
 """
 
 from __future__ import annotations
