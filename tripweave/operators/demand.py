@@ -9,6 +9,7 @@ from tripweave.operators.routes import stop_detour, with_costs
 from tripweave.operators.sequences import uniq_by, with_travel
 from tripweave.operators.spatial import dist2, range_pairs, stops_or_nearest
 from tripweave.settings import RETRIGGER_MS, Settings
+from tripweave.sources.shared import cut
 
 
 def distinct_trips(df: DataFrame) -> DataFrame:
@@ -118,25 +119,41 @@ def served_by(path: DataFrame, riders: DataFrame, r: float) -> DataFrame:
     return board.join(alight, ["path_id", "id"]).filter("board < alight")
 
 
+ENDS = ["sx", "sy", "ex", "ey"]
+
+
+def trips_of(riders: DataFrame) -> DataFrame:
+    """(id, trip): the least id among the riders with the same ends."""
+    return riders.join(riders.groupBy(*ENDS).agg(F.min("id").alias("trip")), ENDS).select("id", "trip")
+
+
+def close_trips(trips: DataFrame, start_r: float, end_r: float) -> DataFrame:
+    """(id, other): pairs of trips close at both ends, each with itself too. ``trips``: (id, sx, sy, ex, ey)."""
+    a = trips.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"), "ex", "ey")
+    b = trips.select(F.col("id").alias("other"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    return range_pairs(a, b, start_r).filter(dist2(F.col("ex"), F.col("ey"), F.col("bx"), F.col("by")) <= end_r * end_r).select("id", "other")
+
+
+def of_riders(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (id, other) of riders from pairs of their trips; ``members``: (id, trip)."""
+    left = pairs.withColumnsRenamed({"id": "trip", "other": "other_trip"}).join(members, "trip")
+    return left.join(members.select(F.col("id").alias("other"), F.col("trip").alias("other_trip")), "other_trip").filter("id <> other").select("id", "other")
+
+
 def related(riders: DataFrame, start_r: float, end_r: float) -> DataFrame:
     """(id, other): pairs close at both ends, before the detour test of ``compatible``.
 
     Trips with the same ends are compared once: the range join runs over distinct trips, and riders join theirs.
     """
-    ends = ["sx", "sy", "ex", "ey"]
-    trips = riders.select(*ends).distinct()
-    a = trips.select("sx", "sy", "ex", "ey", F.col("sx").alias("px"), F.col("sy").alias("py"))
-    b = trips.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
-    near = range_pairs(a, b, start_r).filter(dist2(F.col("ex"), F.col("ey"), F.col("bx"), F.col("by")) <= end_r * end_r)
-    near = near.select(*ends, "x", "y", "bx", "by")
-    others = riders.select(F.col("id").alias("other"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
-    pairs = riders.select("id", *ends).join(near, ends).join(others, ["x", "y", "bx", "by"])
-    return pairs.filter("id <> other").select("id", "other")
-
-
-def related_compatible(travel, riders: DataFrame, candidates: DataFrame, start_r: float, end_r: float, s: Settings) -> DataFrame:
-    """(id, other): pairs close at both ends that are also compatible."""
-    return compatible(travel, candidates, related(riders, start_r, end_r), s)
+    trips = riders.groupBy(*ENDS).agg(F.min("id").alias("id"))
+    return of_riders(close_trips(trips, start_r, end_r), trips_of(riders))
+
+
+def related_compatible(travel, riders: DataFrame, stops: DataFrame, start_r: float, end_r: float, s: Settings) -> DataFrame:
+    """(id, other): pairs close at both ends that are also compatible. Trips with the same ends have the same stops and are tested once."""
+    trips = cut(riders.groupBy(*ENDS).agg(F.min("id").alias("id")))
+    fits = compatible(travel, cut(candidate_stops(trips, stops, s)), close_trips(trips, start_r, end_r), s)
+    return of_riders(fits, trips_of(riders))
 
 
 def on_every(route_requests: DataFrame, related_pairs: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def compatible_sql(pairs: str) -> str:
     return f"""pr AS ({pairs}), po AS ({ALL_ODS} AND o.id IN (SELECT id FROM pr)),
  via AS (SELECT DISTINCT pr.id, cand.idx AS c FROM pr JOIN cand ON cand.id = pr.other),
  fit AS (SELECT id, o, d, c FROM (SELECT DISTINCT id, o, d FROM po) AS po JOIN via USING (id) WHERE least({", ".join(arms)}) < {S.budget:.0f}),
- compat AS (SELECT DISTINCT id, other FROM (SELECT fit.id, pr.other, o, d FROM fit JOIN pr ON pr.id = fit.id JOIN cand ON cand.id = pr.other AND cand.idx = fit.c
-   GROUP BY 1, 2, 3, 4 HAVING bool_or(cand.role = 'S') AND bool_or(cand.role = 'E')) AS q)"""
+ who AS MATERIALIZED (SELECT pr.id, pr.other, cand.role, cand.idx AS c FROM pr JOIN cand ON cand.id = pr.other),
+ compat AS (SELECT DISTINCT id, other FROM (SELECT id, other, o, d FROM fit JOIN who USING (id, c) GROUP BY 1, 2, 3, 4 HAVING bool_or(role = 'S') AND bool_or(role = 'E')) AS q)"""
 
 
 def seed_row(t: Tables) -> dict:
@@ -134,7 +134,10 @@ def walk_ball(t: Tables):
     return spatial.nearby_stops(points, t.stops, S.start_walking_distance).select("id", "idx", "ord")
 
 
-@query("nearest_stop", "SELECT id, idx, d2 FROM (SELECT id, idx, (sx-x)*(sx-x)+(sy-y)*(sy-y) AS d2, row_number() OVER (PARTITION BY id ORDER BY (sx-x)*(sx-x)+(sy-y)*(sy-y), idx) AS rn FROM suggestions, stops) AS q WHERE rn = 1")
+@query(
+    "nearest_stop",
+    """SELECT id, best % 10000000 AS idx, best // 10000000 AS d2 FROM (SELECT id, min(((sx-x)*(sx-x)+(sy-y)*(sy-y)) * 10000000 + idx) AS best FROM suggestions, stops GROUP BY id) AS q""",
+)
 def nearest_stop(t: Tables):
     points = t.suggestions.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"))
     return spatial.nearest(points, t.stops).select("id", "idx", "d2")
@@ -198,8 +201,7 @@ RELATED = f"WITH riders AS (SELECT * FROM suggestions), {candidates_sql(NEAR.sta
 
 def related_riders(t: Tables):
     riders = t.suggestions.select("id", "sx", "sy", "ex", "ey")
-    cand = cut(demand.candidate_stops(riders, t.stops, NEAR))
-    return demand.related_compatible(t.legs, riders, cand, START_R, END_R, NEAR)
+    return demand.related_compatible(t.legs, riders, t.stops, START_R, END_R, NEAR)
 
 
 @query("related_requests", f"{RELATED} SELECT id, count(*) AS n, min(other) AS least, max(other) AS most FROM compat GROUP BY id")
