@@ -471,6 +471,38 @@ def test_grown_routes_equal_the_fold(spark):
     assert got == want and len(got) > 100
 
 
+def test_potential_routes_equal_the_fold(spark):
+    """Of similar routes the one of most riders stays, the newest on ties; then one of equal stop lists. For every seed."""
+    from tests.conftest import DATA
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    t = Tables(spark, str(DATA))
+    want = {}
+    by_seed = {}
+    for r in sorted(plans.grown(t).collect(), key=lambda r: (r["seed"], r["rank"], r["replica"])):
+        by_seed.setdefault(r["seed"], []).append(r)
+    for seed, rows in by_seed.items():
+        kept = []
+        for new in rows:
+            similar, other = [], []
+            for old in kept:
+                a, b = set(new["requests"]), set(old["requests"])
+                (similar if len(a & b) / min(len(a), len(b)) > plans.GROW.similarity_limit else other).append(old)
+            best = new
+            for old in similar:
+                best = old if len(old["requests"]) > len(best["requests"]) else best
+            kept = [best, *other]
+        firsts = {}
+        for r in kept:
+            firsts.setdefault(tuple(r["stops"]), r)
+        want[seed] = sorted(",".join(map(str, s)) for s in firsts)
+    got = {}
+    for r in plans.potential_routes(t).collect():
+        got.setdefault(r["seed"], []).append(r["stops"])
+    assert {k: sorted(v) for k, v in got.items()} == want and any(len(v) > 1 for v in by_seed.values())
+
+
 def test_nobody_is_lost_over_all_riders(spark):
     """The solver queries keep every suggestion, once, on a route or rejected; shared routes can be driven in time."""
     from tests.conftest import DATA

@@ -39,7 +39,10 @@ def similar_pairs(seeds: DataFrame, df: DataFrame, s: Settings) -> DataFrame:
     keys = [f"_{c}" for c in reach]
     cell = lambda c, shift: F.floor((F.col(c) + shift) / (2 * reach[c]))
     rows = df.filter(known & (F.col("created_ms") > s.created_since))
-    rows = rows.select("id", "sx", "sy", "ex", "ey", "time_ms", "days_mask", "email", *[cell(c, 0).alias(f"_{c}") for c in reach])
+    same = [*reach, "email"]
+    trips = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in same]).agg(F.min("id").alias("_trip"))
+    rows = rows.join(trips, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in same])
+    rows = rows.select("id", *reach, "days_mask", "_trip", *[cell(c, 0).alias(f"_{c}") for c in reach])
     points = seeds
     for c, r in reach.items():
         points = points.withColumn(f"_{c}", F.explode(F.sequence(cell(c, -r), cell(c, r))))
@@ -49,7 +52,7 @@ def similar_pairs(seeds: DataFrame, df: DataFrame, s: Settings) -> DataFrame:
     start = dist2(F.col("sx"), F.col("sy"), F.col("seed_sx"), F.col("seed_sy")) < s.start_cluster_radius**2
     end = dist2(F.col("ex"), F.col("ey"), F.col("seed_ex"), F.col("seed_ey")) < s.end_cluster_radius**2
     hits = pairs.filter((F.abs(F.col("time_ms") - F.col("seed_time_ms")) <= s.time_allowance) & days & start & end)
-    return hits.groupBy("seed_id", "sx", "sy", "ex", "ey", "time_ms", "email").agg(F.min("id").alias("id")).select("seed_id", "id")
+    return hits.groupBy("seed_id", "_trip").agg(F.min("id").alias("id")).select("seed_id", "id")
 
 
 def mark_triggered(df: DataFrame, ids: DataFrame, now_ms: int, column: str = "last_trigger_ms") -> DataFrame:
