@@ -168,6 +168,18 @@ def test_working_names_do_not_clash(spark, tmp_path):
         assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
 
 
+def test_columns_of_any_type_are_carried(spark, tmp_path):
+    path = str(tmp_path / "types")
+    rows = spark.range(9).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('some words of text ', id % 3) END AS text", "'s' AS source", "map('k', id) AS m", "array(named_struct('x', id)) AS a", "CAST(NULL AS DATE) AS d")
+    rows.unionByName(rows.filter("doc_id = 4")).write.parquet(path)
+    df = spark.read.parquet(path)
+    crf = quality_rules.PRIOR
+    for out, n in ((exact_dedup.drop_exact_copies(df), 3), (near_dedup.keep_one(df), 3), (mixing.mixed_documents(df), None), (quality_rules.keep_good(df, crf), 0)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert (n is None or len(got) == n) and all(r["m"] == {"k": r["doc_id"]} and r["a"][0]["x"] == r["doc_id"] and r["d"] is None for r in got)
+
+
 def test_mix_copies(docs, empty, hostile):
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns
@@ -684,6 +696,9 @@ def test_urls(spark, empty):
     assert [got[i]["rule"] for i in (0, 1, 2, 3, 8, 9, 10)] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "com/en/", "org/es/", None]
     assert [got[i]["verdict"] for i in (0, 1, 2, 3, 5, 8, 9)] == ["allow", "block", "allow", "block", "allow", "block", "block"]
     assert url_filter.judge_urls(pages, none).count() == len(rows)
+    long = [(1, "http://" + "a." * 500_000 + "org/es/x", "c"), (2, "http://h.net/de/" + "y" * 1_000_000, "c"), (3, "z" * 1_000_000, "c")]
+    judged = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(long, "page_id long, url string, host string"), none).collect()}
+    assert [judged[i]["verdict"] for i in (1, 2, 3)] == ["block", "allow", "allow"] and len(judged[1]["host"]) == 1_000_003 and len(judged[2]["path"]) == 1_000_004
     assert url_filter.judge_urls(pages.limit(0), none).count() == 0
 
 
