@@ -332,6 +332,13 @@ def test_heading_vector_uses_the_mean_latitude(spark):
     assert x == pytest.approx(math.radians(1) * math.cos(math.radians(30))) and y == pytest.approx(math.radians(60))
 
 
+def test_projected_heading(spark):
+    """Within the projection's town the projected vector has the length on the sphere and the bearing of the plane."""
+    a, b = (F.lit(103.80), F.lit(1.30)), (F.lit(103.81), F.lit(1.305))
+    x, y, u, v, d = spark.range(1).select(*geo.svy21_vector(*a, *b), *geo.heading_vector(*a, *b), geo.haversine(*a, *b)).first()
+    assert math.hypot(x, y) == pytest.approx(d, rel=5e-3) and math.atan2(x, y) == pytest.approx(math.atan2(u, v), abs=5e-3)
+
+
 def test_migration_is_measured_on_the_sphere(spark):
     """At 60 degrees north a degree of longitude is half as long; a stop's own code is at -0.01."""
     metre = 1 / 111_194.9

@@ -92,6 +92,12 @@ def from_svy21(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(lng), F.degrees(lat)
 
 
+def svy21_vector(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> tuple[Column, Column]:
+    """(east, north) between two places in metres of the projection."""
+    (x1, y1), (x2, y2) = to_svy21(lng1, lat1), to_svy21(lng2, lat2)
+    return x2 - x1, y2 - y1
+
+
 def turn_cost(turn: Column, costs: dict[str, int]) -> Column:
     table = F.create_map(*[F.lit(v) for kv in costs.items() for v in kv])
     return F.coalesce(F.try_element_at(table, turn), F.lit(0))

@@ -7,7 +7,7 @@ from math import cos, radians
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.operators.sequences import by
+from tripweave.operators.sequences import by, with_travel
 from tripweave.operators.spatial import range_pairs
 from tripweave.sources.shared import cut
 
@@ -71,6 +71,16 @@ def penalised_times(legs: DataFrame, points: DataFrame, steps: DataFrame, costs:
     return rows.select("leg", F.when(F.col("p").isNull(), F.lit(float("inf"))).otherwise(ms.cast("double")).alias("ms"))
 
 
+def penalised_matrix(pairs: DataFrame, stops: DataFrame, travel, costs: dict[str, int], penalty: int) -> DataFrame:
+    """(src, dst, ms): the matrix over ``pairs`` (a, b, turn) of stops (idx, lng, lat, heading), each a leg straight from one to the other with one instruction."""
+    at = lambda n: stops.select(F.col("idx").alias(n), F.struct("lng", "lat").alias(f"p{n}"), F.col("heading").alias(f"h{n}"))
+    legs = with_travel(pairs, travel, "a", "b", "ms").join(at("a"), "a").join(at("b"), "b").withColumn("leg", F.struct("a", "b"))
+    points = legs.select("leg", F.posexplode(F.array("pa", "pb")).alias("k", "p")).select("leg", "k", "p.lng", "p.lat")
+    ends = legs.select("leg", F.col("ha").alias("start_heading"), F.col("hb").alias("end_heading"))
+    times = penalised_times(ends, points, legs.select("leg", F.lit(0).alias("k"), "ms", "turn"), costs, penalty)
+    return times.select(F.col("leg.a").alias("src"), F.col("leg.b").alias("dst"), "ms")
+
+
 def stop_pairs(path: DataFrame, part: str, order: str) -> DataFrame:
     """Distinct successive pairs (a, b)."""
     nxt = path.select(F.col("stop").alias("a"), F.lead("stop").over(by(part, order)).alias("b"))

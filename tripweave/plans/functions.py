@@ -8,7 +8,7 @@ from tripweave.functions import geo
 from tripweave.operators import grid, headings
 from tripweave.plans.catalog import query
 from tripweave.settings import HEADING_PENALTY, TURN_COSTS
-from tripweave.sources.driver_tables import Tables
+from tripweave.sources.driver_tables import Tables, leg_sql
 
 #: Stops as degrees near the city centre, from their grid place.
 LNGLAT = "SELECT idx, 103.7 + x / 100000.0 AS lng, 1.25 + y / 100000.0 AS lat FROM stops"
@@ -150,6 +150,27 @@ def stop_pairs(t: Tables):
     return headings.stop_pairs(t.paths, "service", "pos")
 
 
+TURNS = ("left", "right", "sharp_right", "sharp_left", "straight")
+PAIRS = "SELECT DISTINCT a, b FROM (SELECT stop AS a, lead(stop) OVER (PARTITION BY service ORDER BY pos) AS b FROM paths) q WHERE b IS NOT NULL AND a <> b"
+
+
+@query(
+    "penalised_matrix",
+    f"""WITH p AS ({LNGLAT}), q AS ({PAIRS}), l AS (SELECT q.a, q.b, pa.lng AS lng1, pa.lat AS lat1, pb.lng AS lng2, pb.lat AS lat2,
+      CASE WHEN q.a % 3 > 0 THEN (q.a * 37) % 360 END AS ha, CASE WHEN q.b % 3 > 0 THEN (q.b * 37) % 360 END AS hb FROM q JOIN p pa ON pa.idx = q.a JOIN p pb ON pb.idx = q.b),
+    v AS (SELECT *, radians(lng2 - lng1) * cos(radians((lat1 + lat2) / 2)) AS x, radians(lat2 - lat1) AS y FROM l),
+    k AS (SELECT *, (x * sin(radians(ha)) + y * cos(radians(ha))) / sqrt(x * x + y * y) AS ca, (x * sin(radians(hb)) + y * cos(radians(hb))) / sqrt(x * x + y * y) AS cb FROM v)
+    SELECT a AS src, b AS dst, CAST({leg_sql('a', 'b')} + CASE (a + b) % 5 WHEN 0 THEN 5000 WHEN 1 THEN 30000 WHEN 2 THEN 20000 WHEN 3 THEN 5000 ELSE 0 END
+      + CASE WHEN coalesce(ca < 0.5, FALSE) OR coalesce(cb < 0.5, FALSE) THEN {HEADING_PENALTY} ELSE 0 END AS DOUBLE) AS ms FROM k""",
+)
+def penalised_matrix(t: Tables):
+    """Legs between stops that follow each other, with turn costs and penalties against the stops' headings; a third of the headings is unknown."""
+    turn = F.element_at(F.array(*map(F.lit, TURNS)), ((F.col("a") + F.col("b")) % 5 + 1).cast("int"))
+    pairs = headings.stop_pairs(t.paths, "service", "pos").filter("a <> b").withColumn("turn", turn)
+    stops = lnglat(t).withColumn("heading", F.when(F.col("idx") % 3 > 0, (F.col("idx") * 37) % 360).cast("double"))
+    return headings.penalised_matrix(pairs, stops, t.legs, TURN_COSTS, HEADING_PENALTY)
+
+
 HEAD = """h AS (SELECT DISTINCT a, b, sb.x - sa.x AS dx, sb.y - sa.y AS dy FROM (SELECT stop AS a, lead(stop) OVER (PARTITION BY service ORDER BY pos) AS b FROM paths) q
  JOIN stops sa ON sa.idx = a JOIN stops sb ON sb.idx = b WHERE a <> b), u AS (SELECT a AS stop, b, dx / sqrt(dx*dx+dy*dy) AS ux, dy / sqrt(dx*dx+dy*dy) AS uy FROM h)"""
 
