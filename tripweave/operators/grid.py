@@ -24,11 +24,6 @@ def cells(points: DataFrame, g: float) -> DataFrame:
     return points.withColumns({"u": key(F.col("x"), g), "v": key(F.col("y"), g)}).groupBy("u", "v").agg(F.count_distinct("x", "y", "payload").alias("n"))
 
 
-def _offsets(reach: int) -> Column:
-    near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= reach * reach]
-    return F.array(*near)
-
-
 def neighbours(c: DataFrame, r: float, g: float) -> DataFrame:
     """(u, v, n, nu, nv, nn): pairs of cells whose centres lie within r, found through coarse cells."""
     reach = max(1, floor(r / g))
