@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,7 +253,7 @@ def _verified(batch: pa.RecordBatch, idf: np.ndarray, threshold: float) -> Itera
     drawn = [c.flatten().to_numpy().reshape(-1, SAMPLES) for c in batch.columns[2:4]]
     batch = batch.filter(pa.array((drawn[0] == drawn[1]).sum(axis=1) >= int(SCREEN * SAMPLES)))
     a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    sizes = np.cumsum(np.add(*[pa.compute.utf8_length(c).to_numpy() for c in batch.columns[4:6]])) if len(a) else a
+    sizes = np.cumsum(np.add(*[pc.utf8_length(c).to_numpy() for c in batch.columns[4:6]])) if len(a) else a
     at = 0
     while at < len(a):
         to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000)) + 1
