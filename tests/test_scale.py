@@ -22,3 +22,9 @@ def test_days_without_an_open_day_in_reach_have_no_next_one(spark, tmp_path):
     orders = "SELECT * REPLACE (o_orderkey * 97 AS o_orderkey, TIMESTAMP '1995-01-01' + to_days(CAST(o_orderkey % 60 AS INT)) AS o_orderdate) FROM {t}"
     got, want = differing(spark, tmp_path, "next_working_day", orders=orders)
     assert got == want and 0 < len(got) < 60
+
+
+def test_projection_far_from_its_meridian(spark, tmp_path):
+    """The last of 480 towns is 60 degrees east of the first."""
+    got, want = differing(spark, tmp_path, "svy21_roundtrip", part="SELECT * REPLACE (p_partkey * 5999 AS p_partkey) FROM {t}")
+    assert got == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import radians, sin, sqrt
+from math import asinh, atan, atanh, radians, sin, sinh, sqrt, tan
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,48 +48,76 @@ def heading_in_range(degrees: Column) -> Column:
     return F.isnan(degrees) | degrees.between(-180, 360)
 
 
-def _meridian(lat, sin):
-    """Meridian distance by the third flattening; ``sin`` of floats or of columns."""
-    r = A * (1 - N) * (1 - N * N) * (1 + 9 * N**2 / 4 + 225 * N**4 / 64)
-    terms = ((2, -(3 * N / 2 - 9 * N**3 / 16)), (4, 15 * N**2 / 16 - 15 * N**4 / 32), (6, -35 * N**3 / 48))
-    return r * (lat + sum((c * sin(k * lat) for k, c in terms[1:]), terms[0][1] * sin(terms[0][0] * lat)))
-
-
-ORIGIN = _meridian(LAT0, sin)
+#: Radius of the rectifying sphere, and the series in the third flattening between conformal and rectifying latitude and back to the geographic one.
+RECTIFYING = A / (1 + N) * (1 + N**2 / 4 + N**4 / 64 + N**6 / 256)
+TO_PLANE = (
+    N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180 - 127 * N**5 / 288 + 7891 * N**6 / 37800,
+    13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440 + 281 * N**5 / 630 - 1983433 * N**6 / 1935360,
+    61 * N**3 / 240 - 103 * N**4 / 140 + 15061 * N**5 / 26880 + 167603 * N**6 / 181440,
+    49561 * N**4 / 161280 - 179 * N**5 / 168 + 6601661 * N**6 / 7257600,
+    34729 * N**5 / 80640 - 3418889 * N**6 / 1995840,
+    212378941 * N**6 / 319334400,
+)
+FROM_PLANE = (
+    N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360 - 81 * N**5 / 512 + 96199 * N**6 / 604800,
+    N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440 + 46 * N**5 / 105 - 1118711 * N**6 / 3870720,
+    17 * N**3 / 480 - 37 * N**4 / 840 - 209 * N**5 / 4480 + 5569 * N**6 / 90720,
+    4397 * N**4 / 161280 - 11 * N**5 / 504 - 830251 * N**6 / 7257600,
+    4583 * N**5 / 161280 - 108847 * N**6 / 3991680,
+    20648693 * N**6 / 638668800,
+)
+TO_LATITUDE = (
+    2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45,
+    7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45,
+    56 * N**3 / 15 - 136 * N**4 / 35,
+    4279 * N**4 / 630,
+)
+
+
+def _conformal(lat: Column) -> Column:
+    """Tangent of the conformal latitude."""
+    e = sqrt(E2)
+    s = F.sinh(e * F.atanh(e * F.sin(lat)))
+    return F.tan(lat) * F.sqrt(1 + s * s) - s / F.cos(lat)
+
+
+def _rectified(lat: float) -> float:
+    """Distance from the equator along the meridian."""
+    e = sqrt(E2)
+    chi = atan(sinh(asinh(tan(lat)) - e * atanh(e * sin(lat))))
+    return RECTIFYING * (chi + sum(c * sin(2 * j * chi) for j, c in enumerate(TO_PLANE, 1)))
+
+
+ORIGIN = _rectified(LAT0)
 
 
 def to_svy21(lng: Column, lat: Column) -> tuple[Column, Column]:
-    """Transverse Mercator series: (x, y) in metres."""
-    p, dl = F.radians(lat), F.radians(lng) - LON0
-    s, c = F.sin(p), F.cos(p)
-    t = F.tan(p) ** 2
-    nu = A / F.sqrt(1 - E2 * s * s)
-    eta = E2 / (1 - E2) * c * c
-    a1 = dl * c
-    x = FALSE_E + SCALE * nu * (a1 + (1 - t + eta) * a1**3 / 6 + (5 - 18 * t + t * t + 72 * eta - 58 * E2 / (1 - E2)) * a1**5 / 120)
-    y = FALSE_N + SCALE * (_meridian(p, F.sin) - ORIGIN + nu * F.tan(p) * (a1**2 / 2 + (5 - t + 9 * eta + 4 * eta * eta) * a1**4 / 24))
-    return x, y
+    """Transverse Mercator: (x, y) in metres.
+
+    Krueger's series to the sixth order, in the meridian's distance and not in the longitude's difference from it,
+    so places 60 degrees east of it come out as exactly as those near it.
+    """
+    dl, t = F.radians(lng) - LON0, _conformal(F.radians(lat))
+    u, v = F.atan2(t, F.cos(dl)), F.asinh(F.sin(dl) / F.sqrt(t * t + F.cos(dl) ** 2))
+    east = sum((c * F.cos(2 * j * u) * F.sinh(2 * j * v) for j, c in enumerate(TO_PLANE, 1)), v)
+    north = sum((c * F.sin(2 * j * u) * F.cosh(2 * j * v) for j, c in enumerate(TO_PLANE, 1)), u)
+    return FALSE_E + SCALE * RECTIFYING * east, FALSE_N + SCALE * (RECTIFYING * north - ORIGIN)
 
 
 def from_svy21(x: Column, y: Column) -> tuple[Column, Column]:
     """Inverse series: (lng, lat) in degrees."""
-    m = ORIGIN + (y - FALSE_N) / SCALE
-    mu = m / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    e1 = (1 - sqrt(1 - E2)) / (1 + sqrt(1 - E2))
-    p = (
-        mu
-        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
-        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
-        + (151 * e1**3 / 96) * F.sin(6 * mu)
-    )
-    s, c, t = F.sin(p), F.cos(p), F.tan(p) ** 2
-    nu = A / F.sqrt(1 - E2 * s * s)
-    rho = A * (1 - E2) / (1 - E2 * s * s) ** 1.5
-    eta = E2 / (1 - E2) * c * c
-    d = (x - FALSE_E) / (nu * SCALE)
-    lat = p - nu * F.tan(p) / rho * (d**2 / 2 - (5 + 3 * t + 10 * eta - 4 * eta * eta - 9 * E2 / (1 - E2)) * d**4 / 24)
-    lng = LON0 + (d - (1 + 2 * t + eta) * d**3 / 6 + (5 - 2 * eta + 28 * t - 3 * eta * eta + 8 * E2 / (1 - E2) + 24 * t * t) * d**5 / 120) / c
-    return F.degrees(lng), F.degrees(lat)
+    v, u = (x - FALSE_E) / (SCALE * RECTIFYING), ((y - FALSE_N) / SCALE + ORIGIN) / RECTIFYING
+    east = sum((-c * F.cos(2 * j * u) * F.sinh(2 * j * v) for j, c in enumerate(FROM_PLANE, 1)), v)
+    north = sum((-c * F.sin(2 * j * u) * F.cosh(2 * j * v) for j, c in enumerate(FROM_PLANE, 1)), u)
+    chi = F.asin(F.sin(north) / F.cosh(east))
+    lat = sum((c * F.sin(2 * j * chi) for j, c in enumerate(TO_LATITUDE, 1)), chi)
+    return F.degrees(LON0 + F.atan2(F.sinh(east), F.cos(north))), F.degrees(lat)
+
+
+def on_sphere(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """The projection of a sphere in place of the ellipsoid: within half a percent of it, from plain formulas."""
+    dl, p = F.radians(lng) - LON0, F.radians(lat)
+    return FALSE_E + A * F.atanh(F.cos(p) * F.sin(dl)), FALSE_N + A * (F.atan2(F.tan(p), F.cos(dl)) - LAT0)
 
 
 def svy21_vector(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> tuple[Column, Column]:
