@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
 from tests.conftest import DATA, rows_of
+from tripweave.operators import spatial
 from tripweave.plans.registry import ORACLES, QUERIES
 
 
@@ -28,3 +31,21 @@ def test_projection_far_from_its_meridian(spark, tmp_path):
     """The last of 480 towns is 60 degrees east of the first."""
     got, want = differing(spark, tmp_path, "svy21_roundtrip", part="SELECT * REPLACE (p_partkey * 5999 AS p_partkey) FROM {t}")
     assert got == want
+
+
+def test_stops_far_from_all_servers(spark, tmp_path):
+    """Towns up to 480 of their widths away from the only one with servers, which stand close together."""
+    got, want = differing(spark, tmp_path, "server_stop_sync", part="SELECT * REPLACE (p_partkey * 5999 AS p_partkey) FROM {t}", supplier="SELECT t.* REPLACE (s_suppkey + 10 * i AS s_suppkey) FROM {t} AS t, range(300) AS g(i)")
+    assert got == want
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Clusters and single stops over many scales, copies, negative coordinates."""
+    rng = random.Random(4)
+    spot = lambda: [rng.choice((-1, 1)) * rng.randint(0, 10 ** rng.randint(1, 7)) for _ in range(2)]
+    stops = [(i, *(spot() if i % 3 else (1000 + i % 7, -2000))) for i in range(200)]
+    points = [(i, *spot()) for i in range(300)]
+    got = spatial.nearest(spark.createDataFrame(points, "id long, px long, py long"), spark.createDataFrame(stops, "idx long, x long, y long"))
+    d2 = lambda p, s: (p[1] - s[1]) ** 2 + (p[2] - s[2]) ** 2
+    want = {p[0]: min((d2(p, s), s[0]) for s in stops) for p in points}
+    assert {r["id"]: (r["d2"], r["idx"]) for r in got.collect()} == want
