@@ -49,3 +49,11 @@ def test_nearest_equals_all_pairs(spark):
     d2 = lambda p, s: (p[1] - s[1]) ** 2 + (p[2] - s[2]) ** 2
     want = {p[0]: min((d2(p, s), s[0]) for s in stops) for p in points}
     assert {r["id"]: (r["d2"], r["idx"]) for r in got.collect()} == want
+
+
+def test_copies_are_as_large_as_they_are(spark):
+    """The planner's size of the copies; an explode has that of its input and is broadcast."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    df = spark.range(1000)
+    assert size(spatial.copies(df, 9, "k")) >= 9 * size(df)
+    assert sorted(r["k"] for r in spatial.copies(df.limit(1), 9, "k").collect()) == list(range(9))
