@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 
 from tests.conftest import DATA, rows_of
-from tripweave.operators import spatial
+from tripweave.operators import solver, spatial
 from tripweave.plans.registry import ORACLES, QUERIES
+from tripweave.settings import Settings
+from tripweave.sources.driver_tables import leg_ms
 
 
 def differing(spark, folder, name, **tables):
@@ -57,3 +60,42 @@ def test_copies_are_as_large_as_they_are(spark):
     df = spark.range(1000)
     assert size(spatial.copies(df, 9, "k")) >= 9 * size(df)
     assert sorted(r["k"] for r in spatial.copies(df.limit(1), 9, "k").collect()) == list(range(9))
+
+
+def broadcast_joins(spark, monkeypatch, name):
+    """Joins of the query that go through the driver, as it ran, where every file counts as large and Spark takes all tables for small."""
+    monkeypatch.setattr("tripweave.sources.driver_tables.BROADCAST_FILE", 0, raising=False)
+    df = QUERIES[name](spark, str(DATA))
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "BroadcastHashJoin" in x]
+
+
+@pytest.mark.parametrize("name", ["potential_routes"])
+def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
+    assert broadcast_joins(spark, monkeypatch, name) == []
+
+
+def test_a_place_is_tried_once_for_all_its_riders(monkeypatch):
+    """Two hundred riders of four places, those of one of them seeds: as many insertions as lists of stops meet places, and the routes of the plain fold."""
+    tried = []
+    plain = solver.try_insert
+    monkeypatch.setattr(solver, "try_insert", lambda ride, *a: (tried.append((ride.stops(), *map(tuple, a[1:3]))), plain(ride, *a))[1])
+    s = Settings(top_ods=1, replicas=2, min_requests=1)
+    stop = lambda i: {"idx": i, "gi": i, "gj": i % 3}
+    ends = [([0, 1], [8, 9]), ([2], [7]), ([30], [60]), ([4], [11])]
+    riders = [{"id": i, "days": 1 + i // 4 % 3, "trip": i - i % 2 * (i % 5 == 0), "weight": float(i % 5)} for i in range(200)]
+    near = [{"starts": [*map(stop, a)], "ends": [*map(stop, b)], "riders": riders[k::4]} for k, (a, b) in enumerate(ends)]
+    row = {"seeds": riders[::4], "jobs": [{"rank": 1, "o": 0, "d": 9}], "ends": [stop(0), stop(9)], "near": near}
+    got = [r for rides in solver._grown(row, leg_ms, s) for r in rides]
+    assert len(tried) == len(set(tried)) < 40
+    at = {x: (x, x % 3) for a, b in ends for x in (*a, *b)}
+    costs = solver.Costs({(a, b): float(leg_ms(at[a], at[b])) for a in at for b in at}, s.dwell)
+    assert len(got) == 2 * len(riders[::4]) and len({tuple(r[3]) for r in got}) > 1
+    for seed, rank, replica, stops, n_up, requests in got:
+        firsts = {}
+        for r in riders:
+            if r["days"] & riders[seed]["days"]:
+                firsts.setdefault(r["trip"], r)
+        pool = sorted((r for r in firsts.values() if r["id"] != seed), key=lambda r: (r["weight"] <= 0, solver._draw(r["id"] * 1009 + rank * 31 + replica, r["weight"]), r["id"]))
+        want = solver.grow(seed, 0, 9, [(r["id"], *ends[r["id"] % 4]) for r in pool], costs, s.budget)
+        assert (stops, n_up, requests) == (list(want.stops()), len(want.up), sorted(want.requests()))
