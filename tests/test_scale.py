@@ -72,7 +72,7 @@ def broadcast_joins(spark, monkeypatch, name):
     return [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if re.search(r"BroadcastHashJoin \[(?!day|today)", x)]
 
 
-@pytest.mark.parametrize("name", ["potential_routes", "published_schedule", "suggested_route_best"])
+@pytest.mark.parametrize("name", ["potential_routes", "published_schedule", "suggested_route_best", "solver", "recreate"])
 def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert broadcast_joins(spark, monkeypatch, name) == []
 
@@ -101,3 +101,33 @@ def test_a_place_is_tried_once_for_all_its_riders(monkeypatch):
         pool = sorted((r for r in firsts.values() if r["id"] != seed), key=lambda r: (r["weight"] <= 0, solver._draw(r["id"] * 1009 + rank * 31 + replica, r["weight"]), r["id"]))
         want = solver.grow(seed, 0, 9, [(r["id"], *ends[r["id"] % 4]) for r in pool], costs, s.budget)
         assert (stops, n_up, requests) == (list(want.stops()), len(want.up), sorted(want.requests()))
+
+
+def test_an_insertion_walks_the_route_twice_at_most(monkeypatch):
+    """Once for all ways into one gap, once for the cheapest into two; what it finds is the best that plain trial finds."""
+    rng, walks = random.Random(3), []
+    plain = solver.times
+    at = {i: (rng.randrange(12), rng.randrange(12)) for i in range(30)}
+    requests = {i: (rng.sample(range(30), 3), rng.sample(range(30), 3), 28_800_000.0 + rng.randrange(3) * 900_000) for i in range(40)}
+    p = solver.Problem(requests, {(a, b): float(leg_ms(at[a], at[b])) for a in at for b in at})
+    routes = solver.recreate(p, [], list(range(20)), 1, "regret")[0]
+    found = 0
+    for route in routes:
+        for req in range(20, 40):
+            ups, downs = [p.pickup(req, x) for x in requests[req][0]], [p.dropoff(req, x) for x in requests[req][1]]
+            ways = []
+            for i in (i for i in range(len(route) - 1) if route[i].stop != route[i + 1].stop):
+                for u in ups:
+                    for d in downs:
+                        cost = p.step(route[i], u) + p.step(u, d) + p.step(d, route[i + 1]) - p.step(route[i], route[i + 1])
+                        if cost <= 900_000 and solver.feasible(p, [*route[: i + 1], u, d, *route[i + 1 :]]):
+                            ways.append(cost)
+            with monkeypatch.context() as m:
+                m.setattr(solver, "times", lambda *a: (walks.append(1), plain(*a))[1])
+                walks.clear()
+                got = solver.cheapest_insertion(p, route, req, 900_000)
+            assert len(walks) <= 2 and (got is None or solver.feasible(p, got[1])) and (not ways or got[0] <= min(ways))
+            if got is not None and [a.kind for a, b in zip(got[1], got[1][1:]) if a.req == b.req == req]:
+                assert ways and got[0] == min(ways)
+                found += 1
+    assert found > 20
