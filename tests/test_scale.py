@@ -72,7 +72,7 @@ def broadcast_joins(spark, monkeypatch, name):
     return [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if re.search(r"BroadcastHashJoin \[(?!day|today)", x)]
 
 
-@pytest.mark.parametrize("name", ["potential_routes", "published_schedule", "suggested_route_best", "solver", "recreate", "candidate_stops", "compatible_requests", "direct_ferry", "migrate_stops", "nearest_stop", "od_combinations", "od_replicas", "top5_ods"])
+@pytest.mark.parametrize("name", ["potential_routes", "published_schedule", "suggested_route_best", "solver", "recreate", "candidate_stops", "compatible_requests", "direct_ferry", "migrate_stops", "nearest_stop", "od_combinations", "od_replicas", "top5_ods", "pool_guard"])
 def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert broadcast_joins(spark, monkeypatch, name) == []
 
