@@ -77,6 +77,12 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert broadcast_joins(spark, monkeypatch, name) == []
 
 
+@pytest.mark.parametrize("name", ["path_requests"])
+def test_all_riders_against_stops_are_not_broadcast(spark, monkeypatch, name):
+    """Queries that take every rider, not those near one seed."""
+    assert broadcast_joins(spark, monkeypatch, name) == []
+
+
 def test_a_place_is_tried_once_for_all_its_riders(monkeypatch):
     """Two hundred riders of four places, those of one of them seeds: as many insertions as lists of stops meet places, and the routes of the plain fold."""
     tried = []
