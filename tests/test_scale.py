@@ -77,7 +77,7 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert broadcast_joins(spark, monkeypatch, name) == []
 
 
-@pytest.mark.parametrize("name", ["path_requests", "related_mean", "related_requests"])
+@pytest.mark.parametrize("name", ["path_requests", "related_mean", "related_requests", "route_feasible_set"])
 def test_all_riders_against_stops_are_not_broadcast(spark, monkeypatch, name):
     """Queries that take every rider, not those near one seed."""
     assert broadcast_joins(spark, monkeypatch, name) == []
