@@ -31,6 +31,14 @@ def test_days_without_an_open_day_in_reach_have_no_next_one(spark, tmp_path):
     assert got == want and 0 < len(got) < 60
 
 
+def test_turn_penalty_of_fractions_and_unknown_places(spark, tmp_path):
+    """Instructions that take fractions of a millisecond, points without a number or a place."""
+    number, part = "CASE WHEN l_orderkey % 5 > 0 OR l_linenumber <> 2 THEN l_linenumber END", "CASE WHEN l_orderkey % 7 > 0 OR l_suppkey % 3 > 0 THEN l_partkey END"
+    lineitem = f"SELECT * REPLACE (l_quantity + 0.0005 + l_suppkey % 7 / 10000.0 AS l_quantity, {number} AS l_linenumber, {part} AS l_partkey) FROM {{t}}"
+    got, want = differing(spark, tmp_path, "turn_penalty", lineitem=lineitem)
+    assert got == want and got
+
+
 def test_projection_far_from_its_meridian(spark, tmp_path):
     """The last of 480 towns is 60 degrees east of the first."""
     got, want = differing(spark, tmp_path, "svy21_roundtrip", part="SELECT * REPLACE (p_partkey * 5999 AS p_partkey) FROM {t}")
