@@ -31,6 +31,13 @@ def test_days_without_an_open_day_in_reach_have_no_next_one(spark, tmp_path):
     assert got == want and 0 < len(got) < 60
 
 
+def test_every_day_has_a_next_working_day(spark, tmp_path):
+    """A hundred and fifty holidays in a row, and orders without a date."""
+    day = "CASE WHEN o_orderkey % 150 < 149 THEN TIMESTAMP '1995-01-01' + to_days(CAST(o_orderkey % 150 AS INT)) END"
+    got, want = differing(spark, tmp_path, "next_working_day", orders=f"SELECT * REPLACE (o_orderkey * 97 AS o_orderkey, {day} AS o_orderdate) FROM {{t}}")
+    assert got == want and len(got) == 149 and {r[0] for r in got} == {"1995-05-30"}
+
+
 def test_turn_penalty_of_fractions_and_unknown_places(spark, tmp_path):
     """Instructions that take fractions of a millisecond, points without a number or a place."""
     number, part = "CASE WHEN l_orderkey % 5 > 0 OR l_linenumber <> 2 THEN l_linenumber END", "CASE WHEN l_orderkey % 7 > 0 OR l_suppkey % 3 > 0 THEN l_partkey END"
