@@ -152,3 +152,31 @@ def test_an_insertion_walks_the_route_twice_at_most(monkeypatch):
                 assert ways and got[0] == min(ways)
                 found += 1
     assert found > 20
+
+
+def test_the_worst_ruin_takes_first_and_last_stops():
+    """Routes of two stops, where the whole way goes if one of them does."""
+    p = solver.Problem({i: ([i], [i + 10], 28_800_000.0) for i in range(4)}, {(i, i + 10): 60_000.0 * (i + 1) for i in range(4)})
+    routes = [solver.direct_ferry(p, i, 0) for i in range(4)]
+    kept, gone = solver.worst_ruin(p, routes, 2)
+    assert gone == {2, 3} and kept == routes[:2]
+
+
+def test_recreate_puts_all_riders_of_a_group_in(spark, tmp_path):
+    """Three riders of one place, against one pass over all of them."""
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (o_orderkey * 20000 + 8 AS o_orderkey) FROM '{DATA}/orders.parquet' WHERE o_orderkey < 3) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM '{DATA}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    t = Tables(spark, str(tmp_path))
+    groups = plans.problem_groups(t).collect()
+    want = set()
+    for g in groups:
+        at = {x["idx"]: (x["gi"], x["gj"]) for r in g["requests"] for x in (*r["starts"], *r["ends"])}
+        requests = {r["req"]: ([x["idx"] for x in r["starts"]], [x["idx"] for x in r["ends"]], float(r["time"])) for r in g["requests"]}
+        p = solver.Problem(requests, {(a, b): float(leg_ms(at[a], at[b])) for a in at for b in at})
+        routes, _ = solver.recreate(p, [], sorted(requests), 1, "regret")
+        want |= {(g["grp"], k, i, a.kind, a.req, a.stop) for k, r in enumerate(routes) for i, a in enumerate(r[1:-1])}
+    assert {tuple(r) for r in plans.recreate(t).collect()} == want and len({w[:2] for w in want}) < 3
