@@ -180,3 +180,24 @@ def test_recreate_puts_all_riders_of_a_group_in(spark, tmp_path):
         routes, _ = solver.recreate(p, [], sorted(requests), 1, "regret")
         want |= {(g["grp"], k, i, a.kind, a.req, a.stop) for k, r in enumerate(routes) for i, a in enumerate(r[1:-1])}
     assert {tuple(r) for r in plans.recreate(t).collect()} == want and len({w[:2] for w in want}) < 3
+
+
+def test_the_solver_runs_a_hundred_rounds(spark, tmp_path):
+    """Riders of one time all over a town, against the plain rounds of each group."""
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (o_orderkey * 40 AS o_orderkey) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM '{DATA}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    t = Tables(spark, str(tmp_path))
+    want = set()
+    for g in plans.problem_groups(t).collect():
+        at = {x["idx"]: (x["gi"], x["gj"]) for r in g["requests"] for x in (*r["starts"], *r["ends"])}
+        requests = {r["req"]: ([x["idx"] for x in r["starts"]], [x["idx"] for x in r["ends"]], float(r["time"])) for r in g["requests"]}
+        legs = solver.Placed(at, leg_ms)
+        for replica in (1, 2):
+            p = solver.Problem(requests, legs, solver.related_by_detour(requests, at, legs, plans.PART))
+            routes, bad, value = solver.solve(p, replica, 100)
+            want.add((g["grp"], replica, value, len(requests), len(routes)))
+    assert {tuple(r) for r in plans.global_solver(t).collect()} == want
