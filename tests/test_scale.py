@@ -201,3 +201,12 @@ def test_the_solver_runs_a_hundred_rounds(spark, tmp_path):
             routes, bad, value = solver.solve(p, replica, 100)
             want.add((g["grp"], replica, value, len(requests), len(routes)))
     assert {tuple(r) for r in plans.global_solver(t).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["potential_routes", "suggested_route_best"])
+def test_routes_are_grown_and_picked_after_one_shuffle_of_neighbourhoods(spark, name):
+    """What a place's routes need comes together once, and nothing is moved after them."""
+    df = QUERIES[name](spark, str(DATA))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan.split("MapInArrow")[0]
+    assert "REPARTITION_BY_NUM" in plan and "ROUND" not in plan.upper()
