@@ -210,3 +210,14 @@ def test_routes_are_grown_and_picked_after_one_shuffle_of_neighbourhoods(spark,
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan.split("MapInArrow")[0]
     assert "REPARTITION_BY_NUM" in plan and "ROUND" not in plan.upper()
+
+
+def test_routes_are_grown_from_all_pairs_of_ends_and_replicas(spark):
+    """As many as the settings say by default."""
+    from tripweave.plans import solver as plans
+    from tripweave.sources.driver_tables import Tables
+
+    seen = {}
+    for r in plans.grown(Tables(spark, str(DATA))).select("seed", "rank", "replica").collect():
+        seen.setdefault((r["seed"], r["rank"]), set()).add(r["replica"])
+    assert seen and all(v == set(range(1, Settings().replicas + 1)) for v in seen.values()) and plans.GROW.top_ods == Settings().top_ods
